@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language_id import identify
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources
+from .url_filter import URL_RULES, URL_SQL, filter_urls
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,17 +17,27 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return done.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": op3_line_dedup, "op8_mixing": op8_mixing}
+    return {"op3_line_dedup": op3_line_dedup, "op5_url_filters": op5_url_filters, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": LINE_DEDUP_SQL.format(documents="documents")
         + "SELECT l.doc_id, coalesce(len(l.lines), 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM lined l LEFT JOIN kept k ON l.doc_id = k.doc_id",
+        "op5_url_filters": URL_SQL,
         "op8_mixing": MIX_SQL.format(documents="documents"),
     }
