@@ -6,9 +6,9 @@ frequency and normalised. Document frequencies cover every training row; the
 centroids come from a bounded sample of them: the ``per_language`` rows of each
 language with the smallest hashes, ``max_sample`` rows in all. Each language's
 sample is clustered by spherical k-means into ``centroids`` centres. A text gets
-the language of the centre with the largest cosine; it is rejected if it is
-farther from that centre than ``slack`` times the distance budget of its
-training members (half of the smallest cosine they have).
+the language of the centre with the largest cosine; it is rejected if that
+cosine is below ``slack`` times the smallest that the centre's language has
+among its own sample, so only texts far from every language go.
 
 Defined results: a null text, or one without a letter, is ``und``, score 0 and
 rejected; rows with null language are predicted but never learned from; repeated
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIMS = 4096
@@ -111,8 +112,6 @@ def training_sample(train: DataFrame, per_language: int, max_sample: int) -> lis
     languages = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_sample).count()
     share = max(1, min(per_language, max_sample // max(languages, 1)))
     bounds = hashed.groupBy("lang", F.shiftright("h", 48).alias("cell")).agg(F.countDistinct("h").alias("n"))
-    from pyspark.sql import Window as W
-
     upto = F.sum("n").over(W.partitionBy("lang").orderBy("cell"))
     bounds = bounds.withColumn("upto", upto).filter(F.col("upto") - F.col("n") < share).groupBy("lang").agg(F.max("cell").alias("cell"))
     rows = hashed.join(bounds.withColumnRenamed("cell", "last"), "lang").filter(F.shiftright("h", 48) <= F.col("last")).dropDuplicates(["lang", "h"])
@@ -126,7 +125,7 @@ def training_sample(train: DataFrame, per_language: int, max_sample: int) -> lis
     return chosen.select("lang", "text").mapInPandas(features, "lang string, counts array<int>").orderBy("lang", "counts").collect()
 
 
-def fit(train: DataFrame, centroids: int = 4, per_language: int = 400, max_sample: int = 4000, slack: float = 0.5) -> LanguageModel:
+def fit(train: DataFrame, centroids: int = 4, per_language: int = 400, max_sample: int = 4000, slack: float = 0.25) -> LanguageModel:
     """A model of the rows of ``train`` (doc_id, text, lang) that have a language."""
     train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(train)
