@@ -9,6 +9,7 @@ from .common import table
 from .language_id import identify
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources
+from .suffix_dedup import dedup_substrings
 from .url_filter import URL_RULES, URL_SQL, filter_urls
 
 
@@ -30,8 +31,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def queries() -> dict:
-    return {"op3_line_dedup": op3_line_dedup, "op5_url_filters": op5_url_filters, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing}
+    return {"op3_line_dedup": op3_line_dedup, "op5_url_filters": op5_url_filters, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
