@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import DECONTAMINATION_SQL, find_contamination
 from .language_id import identify
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources
@@ -18,6 +19,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    done = find_contamination(docs, benchmark)
+    return done.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -36,13 +43,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": op3_line_dedup, "op5_url_filters": op5_url_filters, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op3_line_dedup": op3_line_dedup, "op4_decontamination": op4_decontamination, "op5_url_filters": op5_url_filters, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": LINE_DEDUP_SQL.format(documents="documents")
         + "SELECT l.doc_id, coalesce(len(l.lines), 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM lined l LEFT JOIN kept k ON l.doc_id = k.doc_id",
+        "op4_decontamination": DECONTAMINATION_SQL.format(documents="documents") + "SELECT doc_id, n_words, n_hit, n_items, sha256(joined) AS items_sha256, contaminated FROM judged",
         "op5_url_filters": URL_SQL,
         "op8_mixing": MIX_SQL.format(documents="documents"),
     }
