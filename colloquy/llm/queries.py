@@ -11,9 +11,15 @@ from .language_id import identify
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources
 from .suffix_dedup import dedup_substrings
+from .toxicity import judge
 from .url_filter import URL_RULES, URL_SQL, filter_urls
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -43,7 +49,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": op3_line_dedup, "op4_decontamination": op4_decontamination, "op5_url_filters": op5_url_filters, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_toxicity": op1_toxicity, "op3_line_dedup": op3_line_dedup, "op4_decontamination": op4_decontamination, "op5_url_filters": op5_url_filters, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
