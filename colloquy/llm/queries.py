@@ -10,7 +10,9 @@ from .decontamination import DECONTAMINATION_SQL, find_contamination
 from .language_id import identify
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources
+from .neighbours import nearest
 from .suffix_dedup import dedup_substrings
+from .token_counts import count_tokens
 from .toxicity import judge
 from .url_filter import URL_RULES, URL_SQL, filter_urls
 
@@ -20,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -35,6 +41,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return done.select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -49,7 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_line_dedup": op3_line_dedup, "op4_decontamination": op4_decontamination, "op5_url_filters": op5_url_filters, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_decontamination": op4_decontamination, "op5_url_filters": op5_url_filters, "op6_neighbours": op6_neighbours, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
