@@ -2,17 +2,18 @@
 
 Suffixes are ordered only through ``depth`` bytes; a group of suffixes that are
 equal that far is a repeated window, and every byte of it goes. The passes take
-the most significant digit first, and a suffix that is alone in its group never
-reaches the next pass:
+the most significant digit first, and suffixes that are alone in their group
+never reach the next pass:
 
 1. The digit of ``depth // 2`` bytes at anchor suffixes: those chosen by their
    content so that any two equal windows hold the same anchor at the same place
-   (smallest hash in a sliding range). What has no second anchor is unique.
-2. The whole context of an anchor, ``depth - digit`` bytes to either side. A group
-   of two or more settles all windows around it at once.
-3. All ``depth`` bytes, for the suffixes whose smallest digit repeats but has a
-   context of its own (the edges of copies), and for one partner of each context
-   group beside them.
+   (smallest hash in a sliding range). An anchor stands for all windows around it.
+   If its digit is unique, so are they. If all bytes that they cover repeat, they
+   all do, and are settled at once.
+2. What is left, the edges of copies and one copy beside each of them, is cut to
+   blocks of ``BLOCK`` windows. Their digit is what the windows of a block share;
+   again a unique one ends a block and a repeated whole block settles it.
+3. All ``depth`` bytes of each window in the blocks that are still left.
 
 Groups are held together by 96-bit keys. Hot groups are combined in the tasks
 that make them: a key that several rows of a batch share is settled there, and
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,77 +41,113 @@ from .common import with_key
 from .suffixes import Digits, anchors, owned
 
 DEPTH = 200
+BLOCK = 10
 WIDE = 16
-#: What is known of a row when it leaves its task: nothing; its context repeats; its digit repeats; both wide and sent on.
-OPEN, COPY, EDGE, WIDE_EDGE = 0, 1, 2, 3
+#: What is known of a row when it leaves its task: nothing; its context repeats; its digit repeats.
+OPEN, COPY, EDGE = 0, 1, 2
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: A place stands for the windows that start from hi - width to hi.
+GROUPED = "g long, c long, _k long, n int, hi int, width int, state byte, done boolean, mixed boolean"
 
 
-def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint8) for b in batch.column("bytes").to_pylist()]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts compressed, for the one exchange that holds them."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("bytes")
+        yield batch.set_column(at, "bytes", pa.array([pack(b) for b in batch.column(at).to_pylist()], pa.binary()))
 
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order, and for each row in it where a new run of equal keys begins."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, new
+def _unpacked(column: pa.Array) -> Iterator[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (np.frombuffer(unpack(b), np.uint8) for b in column.to_pylist())
 
 
-def _lengths(new: np.ndarray) -> np.ndarray:
-    """The length of the run that each row belongs to."""
-    starts = np.flatnonzero(new)
-    return np.repeat(np.diff(np.append(starts, len(new))), np.diff(np.append(starts, len(new))))
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of each row's list, and all values."""
+    return column.offsets.to_numpy(), column.values
 
 
-def _anchor_rows(depth: int, digit: int):
-    side = depth - digit
+def _places(column: pa.Array, wanted: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row (lo, hi) of its places with that mark."""
+    bounds, values = _lists(column)
+    hi, width, mark = (values.field(x).to_numpy(zero_copy_only=False) for x in ("hi", "width", wanted))
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        chosen = hi[i:j][mark[i:j]].astype(np.int64)
+        yield chosen - width[i:j][mark[i:j]], chosen
+
+
+def _run_lengths(new: np.ndarray) -> np.ndarray:
+    """For each row, how many rows its run has; new: where a run begins."""
+    sizes = np.diff(np.append(np.flatnonzero(new), len(new)))
+    return np.repeat(sizes, sizes)
+
+
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def _combined(g: np.ndarray, c: np.ndarray, k: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """One task's rows of a pass, with what can be settled among them."""
+    order = np.lexsort((c, g))
+    sg, sc = g[order], c[order]
+    new, digits = _begins(sg, sc), _begins(sg)
+    state = np.where(_run_lengths(new) > 1, COPY, OPEN)
+    done = ~new  # a context's first row goes on for all of them
+    sizes = np.diff(np.append(np.flatnonzero(digits), len(sg)))
+    wide = np.repeat(np.add.reduceat(new, np.flatnonzero(digits)) > WIDE, sizes) if len(sg) else np.zeros(0, bool)
+    state = np.where(wide & (state == OPEN), EDGE, state)
+    done |= wide & (state == EDGE) & ~digits
+    mixed = wide & ~done
+    state_, done_, mixed_ = np.empty(len(g), np.int8), np.empty(len(g), bool), np.empty(len(g), bool)
+    state_[order], done_[order], mixed_[order] = state, done, mixed
+    g = np.where(done_, (k.view(np.uint64) + hi.astype(np.uint64)) * _SPREAD, g)
+    made = [g.view(np.int64), c.astype(np.int64), k, n.astype(np.int32), hi.astype(np.int32), (hi - lo).astype(np.int32), state_, done_, mixed_]
+    return pa.record_batch([pa.array(x) for x in made], names=[x.split()[0] for x in GROUPED.split(", ")])
+
+
+def _places_of_pass(depth: int, digit: int, in_blocks: bool):
+    """The rows of pass 1 (anchors), or of pass 2 (blocks around the anchors that probe)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if in_blocks:
+                texts, found = _unpacked(batch.column("bytes")), _places(batch.column("found"), "probe")
+            else:
+                texts, found = (np.frombuffer(b, np.uint8) for b in batch.column("bytes").to_pylist()), [None] * len(batch)
             parts = []
-            for key, data in zip(batch.column("_k").to_numpy(), _texts(batch)):
+            for key, data, places in zip(batch.column("_k").to_numpy(), texts, found):
                 d = Digits(data)
-                at, g = anchors(d, digit, depth)
-                left = np.maximum(at - side, 0)
-                c = (d.at(1, left, np.minimum(at + depth, d.n)) ^ ((at - left).astype(np.uint64) * _SPREAD)) >> np.uint64(32)
-                parts.append((g, c, np.full(len(at), key, np.int64), at, np.full(len(at), d.n, np.int64)))
-            if not parts:
-                continue
-            g, c, k, at, n = map(np.concatenate, zip(*parts))
-            order, new = _runs(g, c)
-            g, c, k, at, n = g[order], c[order], k[order], at[order], n[order]
-            state = np.where(_lengths(new) > 1, COPY, OPEN)
-            done = ~new  # its context's first row goes on for all of them
-            digits = np.ones(len(g), bool)
-            digits[1:] = g[1:] != g[:-1]
-            contexts = np.add.reduceat(new, np.flatnonzero(digits)) if len(g) else np.empty(0, int)
-            wide = np.repeat(contexts > WIDE, np.diff(np.append(np.flatnonzero(digits), len(g))))
-            state = np.where(wide & (state == OPEN), EDGE, state)
-            done |= wide & (state == EDGE)
-            first = wide & digits
-            state, done = np.where(first, np.where(state == COPY, COPY, WIDE_EDGE), state), done & ~first
-            mixed = first | (wide & (state == COPY) & ~done)
-            g = np.where(done, (k.view(np.uint64) + at.astype(np.uint64)) * _SPREAD, g)
-            yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(k), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(state.astype(np.int8)), pa.array(done), pa.array(mixed)], names=["g", "c", "_k", "at", "n", "state", "done", "mixed"])
+                if in_blocks:
+                    at, p = owned(d, digit, depth, np.unique(places[1]))
+                    block = np.unique(np.stack((at, (at - p) // BLOCK)), axis=1)
+                    lo, hi = np.maximum(block[0] - block[1] * BLOCK - (BLOCK - 1), block[0] - (depth - digit)), block[0] - block[1] * BLOCK
+                    g = d.at(0, hi, lo + depth) + block[1].astype(np.uint64) * _SPREAD
+                else:
+                    at, g = anchors(d, digit, depth)
+                    lo, hi = at - (depth - digit), at
+                left = np.maximum(lo, 0)
+                c = (d.at(1, left, np.minimum(hi + depth, d.n)) ^ ((hi - left).astype(np.uint64) * _SPREAD)) >> np.uint64(32)
+                parts.append((g, c, np.full(len(g), key, np.int64), np.full(len(g), d.n, np.int64), lo, hi))
+            if parts:
+                yield _combined(*map(np.concatenate, zip(*parts)))
 
     return make
 
 
-def surviving_anchors(keyed: DataFrame, depth: int, digit: int) -> DataFrame:
-    """Passes 1 and 2: (_k, n, anchors) with anchors (at, copy, probe) of every document that has any."""
-    rows = keyed.select("_k", "bytes").mapInArrow(_anchor_rows(depth, digit), "g long, c long, _k long, at int, n int, state byte, done boolean, mixed boolean")
+def survivors(rows: DataFrame) -> DataFrame:
+    """(_k, n, found): the places of each document whose digit repeats; copies are settled, the rest probes on."""
     same_context, same_digit = W.partitionBy("g", "done", "c"), W.partitionBy("g", "done")
-    rows = rows.repartition("g", "done")
-    seen = rows.withColumn("n_context", F.count("*").over(same_context))
+    seen = rows.repartition("g", "done").withColumns({"n_context": F.count("*").over(same_context), "first": F.min(F.struct("_k", "hi")).over(same_context)})
     seen = seen.withColumns({"n_digit": F.count("*").over(same_digit), "several": (F.min("c").over(same_digit) != F.max("c").over(same_digit)) | F.max("mixed").over(same_digit)})
     copy = (F.col("state") == COPY) | (~F.col("done") & (F.col("n_context") > 1))
-    alive = copy | (F.col("state") != OPEN) | (~F.col("done") & (F.col("n_digit") > 1))
-    # Edges probe their windows; so does one copy of each context beside another context (here: one a batch).
-    probe = ~copy | (~F.col("done") & F.col("several"))
-    return seen.filter(alive).groupBy("_k", "n").agg(F.collect_list(F.struct("at", copy.alias("copy"), probe.alias("probe"))).alias("anchors"))
+    alive = copy | (F.col("state") == EDGE) | (~F.col("done") & (F.col("n_digit") > 1))
+    # Beside another context, one copy of a context goes on as a partner.
+    probe = ~copy | (~F.col("done") & F.col("several") & (F.struct("_k", "hi") == F.col("first")))
+    place = F.struct("hi", "width", copy.alias("copy"), probe.alias("probe"))
+    return seen.filter(alive).groupBy("_k", "n").agg(F.collect_list(place).alias("found"))
 
 
 def _paint(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -121,50 +159,44 @@ def _paint(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _window_rows(depth: int, digit: int):
+def _window_rows(depth: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for key, data, found in zip(batch.column("_k").to_numpy(), _texts(batch), batch.column("anchors").to_pylist()):
+            for key, data, (lo, hi) in zip(batch.column("_k").to_numpy(), _unpacked(batch.column("bytes")), _places(batch.column("found"), "probe")):
                 d = Digits(data)
-                p = owned(d, digit, depth, np.array([x["at"] for x in found if x["probe"]], np.int64))
-                parts.append((d.at(0, p, p + depth), d.at(1, p, p + depth) >> np.uint64(32), np.full(len(p), key, np.int64), p, np.full(len(p), d.n, np.int64)))
-            if not parts:
-                continue
-            w1, w2, k, p, n = map(np.concatenate, zip(*parts))
-            order, new = _runs(w1, w2)
-            w1, w2, k, p, n = w1[order], w2[order], k[order], p[order], n[order]
-            repeated, done = _lengths(new) > 1, ~new
-            w1 = np.where(done, (k.view(np.uint64) + p.astype(np.uint64)) * _SPREAD, w1)
-            yield pa.record_batch([pa.array(w1.view(np.int64)), pa.array(w2.astype(np.int64)), pa.array(k), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(repeated), pa.array(done)], names=["w1", "w2", "_k", "p", "n", "repeated", "done"])
+                p = np.flatnonzero(_paint(d.n - depth + 1, lo, hi + 1))
+                parts.append((d.at(0, p, p + depth), d.at(1, p, p + depth) >> np.uint64(32), np.full(len(p), key, np.int64), np.full(len(p), d.n, np.int64), p, p))
+            if parts:
+                yield _combined(*map(np.concatenate, zip(*parts)))
 
     return make
 
 
-def repeated_windows(probing: DataFrame, depth: int, digit: int) -> DataFrame:
-    """Pass 3: (_k, n, starts) of the windows near edges that occur twice or more."""
-    rows = probing.mapInArrow(_window_rows(depth, digit), "w1 long, w2 long, _k long, p int, n int, repeated boolean, done boolean")
-    same = W.partitionBy("w1", "w2", "done")
-    rows = rows.withColumn("times", F.count("*").over(same)).filter(F.col("repeated") | (~F.col("done") & (F.col("times") > 1)))
-    return rows.groupBy("_k", "n").agg(F.collect_set("p").alias("starts"))
+def repeated_windows(rows: DataFrame) -> DataFrame:
+    """Pass 3: (_k, n, starts) of the windows that occur twice or more."""
+    times = F.count("*").over(W.partitionBy("g", "c", "done"))
+    again = rows.withColumn("times", times).filter((F.col("state") == COPY) | (~F.col("done") & (F.col("times") > 1)))
+    return again.groupBy("_k", "n").agg(F.collect_set("hi").alias("starts"))
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
-def _cut_out(depth: int, digit: int):
+def _cut_out(depth: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [i for i, name in enumerate(batch.schema.names) if name not in ("bytes", "anchors", "starts")]
+            own = [i for i, name in enumerate(batch.schema.names) if name.startswith("_own_")]
             out: list[tuple] = []
-            for data, found, starts in zip(_texts(batch), batch.column("anchors").to_pylist(), batch.column("starts").to_pylist()):
-                at = np.array([x["at"] for x in found or () if x["copy"]], np.int64)
-                p = np.array(starts or (), np.int64)
-                left, right = np.maximum(at - (depth - digit), 0), np.minimum(at + depth, len(data))
-                whole = right - left >= depth
-                gone = _paint(len(data), np.concatenate((left[whole], p)), np.concatenate((right[whole], p + depth)))
+            bounds, starts = _lists(batch.column("starts"))
+            starts = starts.to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, (data, *found) in enumerate(zip(_unpacked(batch.column("bytes")), *[_places(batch.column(c), "copy") for c in ("found_1", "found_2")])):
+                p = starts[bounds[i] : bounds[i + 1]]
+                lo, hi = map(np.concatenate, zip((p, p), *found))
+                gone = _paint(len(data), lo, np.minimum(hi, len(data) - depth) + depth)
                 kept = data[~gone].tobytes()
-                out.append((len(data), int(gone.sum()), int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(data) else 0, kept, hashlib.sha256(kept).hexdigest()))
+                spans = int(gone.sum() and gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                out.append((len(data), int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
             made = [pa.array([row[i] for row in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]
             yield pa.record_batch([*[batch.column(i) for i in own], *made], names=[*[batch.schema.names[i] for i in own], *[x.split()[0] for x in RESULT.split(", ")]])
 
@@ -172,17 +204,29 @@ def _cut_out(depth: int, digit: int):
 
 
 def dedup_substrings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """All columns but ``text``, and n_bytes, n_removed, n_spans, kept (bytes), kept_sha256."""
+    """All columns but ``text``, and n_bytes, n_removed, n_spans, kept (bytes), kept_sha256.
+
+    One plan: the documents are dealt out by key once, and all passes read that exchange.
+    """
     digit = depth // 2
-    made = {x.split()[0] for x in RESULT.split(", ")}
+    made = [x.split()[0] for x in RESULT.split(", ")]
     own = [c for c in docs.columns if c != "text" and c not in made]
-    keyed = with_key(docs).select(*[F.col(c).alias(f"_own_{i}") for i, c in enumerate(own)], "_k", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"))
-    alive = surviving_anchors(keyed, depth, digit).withColumnsRenamed({"_k": "_ak", "n": "_an"})
-    keyed = keyed.withColumn("n", F.octet_length("bytes"))
-    near = keyed.join(alive, (F.col("_k") == F.col("_ak")) & (F.col("n") == F.col("_an")), "left")
-    probing = near.filter(F.exists("anchors", lambda a: a["probe"])).select("_k", "bytes", "anchors")
-    windows = repeated_windows(probing, depth, digit).withColumnsRenamed({"_k": "_wk", "n": "_wn"})
-    known = near.join(windows, (F.col("_k") == F.col("_wk")) & (F.col("n") == F.col("_wn")), "left")
-    schema = ", ".join([*[f"`_own_{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own)], RESULT])
-    done = known.select(*[f"_own_{i}" for i in range(len(own))], "bytes", "anchors", "starts").mapInArrow(_cut_out(depth, digit), schema)
-    return done.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(own)], *sorted(made, key=RESULT.index))
+    held = [f"_own_{i}" for i in range(len(own))]
+    keyed = with_key(docs).select(*[F.col(c).alias(h) for c, h in zip(own, held)], "_k", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"))
+    sized = keyed.withColumn("n", F.octet_length("bytes"))
+    sized = sized.mapInArrow(_packed, sized.schema)
+
+    def beside(left: DataFrame, found: DataFrame, column: str, name: str, how: str = "left") -> DataFrame:
+        right = found.select(F.col("_k").alias(f"_k_{name}"), F.col("n").alias(f"_n_{name}"), F.col(column).alias(name))
+        return left.join(right, (F.col("_k") == F.col(f"_k_{name}")) & (F.col("n") == F.col(f"_n_{name}")), how).drop(f"_k_{name}", f"_n_{name}")
+
+    def probing(found: DataFrame) -> DataFrame:
+        return beside(sized, found, "found", "found").filter(F.exists("found", lambda x: x["probe"]))
+
+    first = survivors(keyed.select("_k", "bytes").mapInArrow(_places_of_pass(depth, digit, False), GROUPED))
+    second = survivors(probing(first).mapInArrow(_places_of_pass(depth, digit, True), GROUPED))
+    third = repeated_windows(probing(second).mapInArrow(_window_rows(depth), GROUPED))
+    known = beside(beside(beside(sized, first, "found", "found_1"), second, "found", "found_2"), third, "starts", "starts")
+    schema = ", ".join([*[f"{h} {docs.schema[c].dataType.simpleString()}" for c, h in zip(own, held)], RESULT])
+    done = known.mapInArrow(_cut_out(depth), schema)
+    return done.select(*[F.col(h).alias(c) for c, h in zip(own, held)], *made)

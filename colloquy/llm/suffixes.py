@@ -66,10 +66,14 @@ def anchors(digits: Digits, digit: int, depth: int) -> tuple[np.ndarray, np.ndar
     return chosen, h[chosen]
 
 
-def owned(digits: Digits, digit: int, depth: int, at: np.ndarray) -> np.ndarray:
-    """Starts of the ranges of ``depth`` bytes whose smallest digit is at one of the places ``at``."""
+def owned(digits: Digits, digit: int, depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, start) of the ranges of ``depth`` bytes whose smallest digit is at one of the places ``at``."""
     h = digits.all(0, digit)
     width = depth - digit + 1
-    at_least = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
-    at_least[at] = h[at]
-    return np.flatnonzero(_sliding(np.minimum, at_least, width) == _sliding(np.minimum, h, width))
+    least = _sliding(np.minimum, h, width)
+    near = (at[:, None] - np.arange(width)).ravel()
+    anchor = np.repeat(at, width)
+    inside = (near >= 0) & (near < len(least))
+    anchor, near = anchor[inside], near[inside]
+    own = least[near] == h[anchor]
+    return anchor[own], near[own]
