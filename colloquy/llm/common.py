@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word of the fixed word rule: ASCII letters and digits, and every non-ASCII character.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts that are not lower-cased yet.
+CASED_WORD_CLASS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CASED_NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

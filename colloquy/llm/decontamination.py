@@ -4,7 +4,7 @@ Words are the runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII
 characters. Test phrases are the windows of ``width`` consecutive words of each
 item; an item with fewer words, but not none, is one phrase.
 
-1. Document frequencies of all words that any item uses, over the whole corpus.
+1. Frequencies of all words that any item uses, over the whole corpus.
 2. The index terms: of each phrase the two rarest words (ties: the smaller word).
    The index holds one posting list (term, document, positions) for each of them.
 3. Lists are intersected after their offsets in the item are taken off: postings
@@ -23,6 +23,8 @@ columns pass through.
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +33,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NON_WORD_CLASS, cut, lower_ascii, with_key
+from .common import CASED_NON_WORD_CLASS, CASED_WORD_CLASS, NON_WORD_CLASS, cut, lower_ascii, with_key
 
 WIDTH = 13
 BROADCAST_BYTES = 32 << 20
 
 
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 def words_of(text: Column) -> Column:
-    """The words of a text, an empty array for null."""
+    """The words of an item, an empty array for null."""
     return F.coalesce(F.filter(F.split(lower_ascii(text), NON_WORD_CLASS), lambda w: w != ""), F.array().cast("array<string>"))
 
 
+def lower_word(word: Column) -> Column:
+    """As lower_ascii, at lower's price for words of ASCII alone."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(lower_ascii(word))
+
+
+def places(text: str) -> list[str]:
+    """The pieces that Spark's split gives, lower-cased: all words, and empty pieces at the ends."""
+    return re.split(NON_WORD_CLASS, text.translate(_LOWER))
+
+
 def item_words(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, words) of the rows that have words; ``item`` names the row's words, not its place."""
     rows = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
@@ -65,14 +80,15 @@ def sized(terms: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each of the terms occurs, over the whole corpus."""
-    tokens = docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+    """(term, n): how often each of the terms occurs in the whole corpus."""
+    tokens = docs.select(F.explode(F.split("text", CASED_NON_WORD_CLASS)).alias("word")).select(lower_word(F.col("word")).alias("term"))
     return tokens.join(sized(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def posting_lists(keyed: DataFrame, terms: DataFrame) -> DataFrame:
     """The index: (term, doc_id, _k, positions), one row for each index term of a document."""
-    tokens = keyed.select("doc_id", "_k", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    tokens = keyed.select("doc_id", "_k", F.posexplode(F.split("text", CASED_NON_WORD_CLASS)).alias("pos", "word"))
+    tokens = tokens.select("doc_id", "_k", "pos", lower_word(F.col("word")).alias("term"))
     return tokens.join(sized(terms), "term").groupBy("term", "doc_id", "_k").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
@@ -87,7 +103,8 @@ def _matches(width: int):
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, key, words, many in zip(batch["doc_id"], batch["_k"], batch["_words"], batch["lines"]):
+            for doc_id, key, text, many in zip(batch["doc_id"], batch["_k"], batch["text"], batch["lines"]):
+                words = places(text)
                 hit, found = np.zeros(len(words), bool), set()
                 for line in many:
                     item, delta, n = line["words"], line["delta"], len(line["words"])
@@ -121,7 +138,7 @@ def exact_matches(keyed: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     by_document = by_document.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2"), "lines")
     texts = keyed.select("doc_id", "_k", "text").join(by_document, (F.col("_k") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    texts = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "_k", words_of(F.col("text")).alias("_words"), "lines")
+    texts = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "_k", "text", "lines")
     found = texts.mapInPandas(_matches(width), "doc_id string, _k long, n_hit long, item_ids array<string>")
     return found.withColumn("doc_id", F.col("doc_id").cast(kind)).dropDuplicates(["doc_id", "_k"])
 
@@ -157,7 +174,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     own = [c for c in docs.columns if c not in made]
     keyed = with_key(docs)
     found = exact_matches(keyed, benchmark, width).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2"), F.col("n_hit").alias("_hit"), F.col("item_ids").alias("_ids"))
-    counted = keyed.select(*own, "_k", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = keyed.select(*own, "_k", F.coalesce(F.regexp_count("text", F.lit(CASED_WORD_CLASS)), F.lit(0)).cast("long").alias("n_words"))
     joined = counted.join(found, (F.col("_k") == F.col("_k2")) & counted["doc_id"].eqNullSafe(F.col("_d")), "left")
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
     ids = F.coalesce("_ids", F.array().cast("array<string>"))
