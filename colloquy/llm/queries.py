@@ -11,6 +11,7 @@ from .language_id import identify
 from .line_dedup import LINE_DEDUP_SQL, dedup_lines
 from .mixing import MIX_SQL, mix_sources
 from .neighbours import nearest
+from .ngram_join import join_similar
 from .suffix_dedup import dedup_substrings
 from .token_counts import count_tokens
 from .toxicity import judge
@@ -54,12 +55,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_decontamination": op4_decontamination, "op5_url_filters": op5_url_filters, "op6_neighbours": op6_neighbours, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_token_counts": op2_token_counts, "op3_line_dedup": op3_line_dedup, "op4_decontamination": op4_decontamination, "op5_url_filters": op5_url_filters, "op6_neighbours": op6_neighbours, "op7_language_id": op7_language_id, "op8_mixing": op8_mixing, "op9_ngram_join": op9_ngram_join, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
