@@ -24,6 +24,8 @@ from .common import cut
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS = 12
 LEVELS = 3
+#: Up to so many sources their thresholds are broadcast; beyond, the join shuffles.
+BROADCAST_SOURCES = 100_000
 
 
 def word_size(text: Column) -> Column:
@@ -79,13 +81,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     document is taken more than ``most`` times.
     """
     kept = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    sizes = docs.select(*kept, "source", word_size(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h"))
-    sizes = cut(sizes)  # the text is read once; all that follows reads this narrow table
+    measured = [F.col("source"), word_size(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h")]
+    narrow = "text" not in keep
+    # the thresholds are found on a narrow table; texts that are kept are not written but read once more
+    sizes = cut(docs.select(*(kept if narrow else []), *measured))
     targets = cut(source_targets(sizes, weights, most))
     edges = hash_thresholds(sizes, targets)
     plan = targets.join(edges.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
-    dealt = sizes.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
+    plan = F.broadcast(plan) if targets.count() <= BROADCAST_SOURCES else plan
+    dealt = (sizes if narrow else docs.select(*kept, *measured)).join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
     copies = F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
     named = [F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]
     return dealt.select(*named, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

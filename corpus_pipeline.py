@@ -1,9 +1,75 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language ID, line dedup, n-gram Jaccard join, decontamination, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next one's docs. All but the last return the
+columns of documents. The last adds how often the mix takes each document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.llm.common import shared_checkpoints, table
+from colloquy.llm.decontamination import find_contamination
+from colloquy.llm.language_id import identify
+from colloquy.llm.line_dedup import dedup_lines
+from colloquy.llm.mixing import mix_sources
+from colloquy.llm.ngram_join import keep_first
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model recognises."""
+    own = docs.columns
+    judged = identify(docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(own) if c not in ("doc_id", "text", "lang")}))
+    kept = judged.filter(~F.col("rejected"))
+    return kept.select(*[F.col(c if c in ("doc_id", "text", "lang") else f"_own_{i}").alias(c) for i, c in enumerate(own)])
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat; one that has nothing else left goes."""
+    done = dedup_lines(docs)
+    left = (F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x09-\x0D\x20]"))
+    kept = done.filter(left)
+    counted = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return kept.select(*[counted.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return keep_first(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    judged = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with ``copies`` and the words taken."""
+    done = mix_sources(docs, keep=tuple(docs.columns))
+    return done.filter("copies > 0").select(*docs.columns, "size", "copies", "taken", "target")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing", mixed),
+]
+
+#: The learned language model and the similarity join are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages one after another over documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of ``sf_dir``."""
+    shared_checkpoints(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{spark.sparkContext.applicationId}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{place}/{i}-{name}")
+        docs = spark.read.parquet(f"{place}/{i}-{name}")
+    return docs
