@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for texts that are not lower-cased yet.
-CASED_WORD_CLASS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CASED_NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CASED_NON_WORD_CLASS, CASED_WORD_CLASS, NON_WORD_CLASS, cut, lower_ascii, with_key
+from .common import CASED_NON_WORD_CLASS, NON_WORD_CLASS, cut, lower_ascii, with_key
 
 WIDTH = 13
 BROADCAST_BYTES = 32 << 20
@@ -52,6 +52,14 @@ def lower_word(word: Column) -> Column:
     return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(lower_ascii(word))
 
 
+def word_count(text: Column) -> Column:
+    """Pieces of the split without the empty ones, which stand at the ends alone."""
+    pieces = F.split(text, CASED_NON_WORD_CLASS)
+    first, last = F.get(pieces, F.lit(0)), F.get(pieces, F.size(pieces) - 1)
+    empty = (first == "").cast("int") + ((last == "") & (F.size(pieces) > 1)).cast("int")
+    return F.coalesce(F.size(pieces) - empty, F.lit(0)).cast("long")
+
+
 def places(text: str) -> list[str]:
     """The pieces that Spark's split gives, lower-cased: all words, and empty pieces at the ends."""
     return re.split(NON_WORD_CLASS, text.translate(_LOWER))
@@ -174,7 +182,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     own = [c for c in docs.columns if c not in made]
     keyed = with_key(docs)
     found = exact_matches(keyed, benchmark, width).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2"), F.col("n_hit").alias("_hit"), F.col("item_ids").alias("_ids"))
-    counted = keyed.select(*own, "_k", F.coalesce(F.regexp_count("text", F.lit(CASED_WORD_CLASS)), F.lit(0)).cast("long").alias("n_words"))
+    counted = keyed.select(*own, "_k", word_count(F.col("text")).alias("n_words"))
     joined = counted.join(found, (F.col("_k") == F.col("_k2")) & counted["doc_id"].eqNullSafe(F.col("_d")), "left")
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
     ids = F.coalesce("_ids", F.array().cast("array<string>"))
