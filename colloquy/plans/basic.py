@@ -23,9 +23,9 @@ def agg_speaker_stats(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("spoken", times.total_minutes(F.col("spoken_us")))
 
 
-@query(f"{WITH}, {MEETINGS} SELECT meeting_id, date FROM meetings m WHERE contains(lower(title), 'semana 3') OR contains(strftime(date, '%d/%m/%Y'), 'semana 3') OR EXISTS (SELECT 1 FROM segments s WHERE s.meeting_id = m.meeting_id AND contains(lower(s.text), 'semana 3'))")
+@query(f"{WITH}, {MEETINGS} SELECT meeting_id, strftime(date, '%Y-%m-%d') AS date FROM meetings m WHERE contains(lower(title), 'semana 3') OR contains(strftime(date, '%d/%m/%Y'), 'semana 3') OR EXISTS (SELECT 1 FROM segments s WHERE s.meeting_id = m.meeting_id AND contains(lower(s.text), 'semana 3'))")
 def flt_history_search(spark, sf):
-    return search_history(meetings(spark, sf), segments(spark, sf), " Semana 3 ").select("meeting_id", "date")
+    return search_history(meetings(spark, sf), segments(spark, sf), " Semana 3 ").select("meeting_id", F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
 def search_history(m: DataFrame, s: DataFrame, wanted: str) -> DataFrame:

@@ -45,10 +45,12 @@ def jn_fallback_names(spark, sf):
     return named.select("meeting_id", "ord", speaker.alias("speaker"), F.coalesce("name", "speaker_id").alias("name"))
 
 
-@query(f"{WITH}, pos AS (SELECT meeting_id, ord * 3100000 AS pos_us FROM segments), c AS (SELECT p.meeting_id, p.pos_us, s.ord, s.end_us, row_number() OVER (PARTITION BY p.meeting_id, p.pos_us ORDER BY s.start_us DESC, s.ord DESC) AS rn FROM pos p LEFT JOIN segments s ON s.meeting_id = p.meeting_id AND s.start_us <= p.pos_us) SELECT meeting_id, pos_us, CASE WHEN pos_us < end_us THEN ord END AS ord FROM c WHERE rn = 1")
+@query(f"{WITH}, pos AS (SELECT meeting_id, ord * 3100000 AS pos_us FROM segments), c AS (SELECT p.meeting_id, p.pos_us, s.ord, s.end_us, row_number() OVER (PARTITION BY p.meeting_id, p.pos_us ORDER BY s.start_us DESC, s.ord DESC) AS rn FROM pos p LEFT JOIN segments s ON s.meeting_id = p.meeting_id AND s.start_us <= p.pos_us) SELECT meeting_id, pos_us, CASE WHEN pos_us < end_us THEN ord ELSE -1 END AS ord FROM c WHERE rn = 1")
 def jn_asof_active(spark, sf):
+    """The active segment at each position; -1 for none."""
     s = segments(spark, sf)
-    return timeline.as_of(s.select("meeting_id", (F.col("ord") * 3_100_000).alias("pos_us")), s)
+    active = timeline.as_of(s.select("meeting_id", (F.col("ord") * 3_100_000).alias("pos_us")), s)
+    return active.withColumn("ord", F.coalesce("ord", F.lit(-1)))
 
 
 @query(f"{WITH} SELECT meeting_id, lower(speaker_id) AS speaker, min_by(ord, start_us) AS ord, min(start_us) AS start_us FROM segments GROUP BY ALL")

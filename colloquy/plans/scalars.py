@@ -23,14 +23,14 @@ def str_count_words(spark, sf):
 INCOMPLETE = rf"""CASE WHEN length(trim(t)) = 0 THEN false ELSE regexp_matches(t, '[,:;\-–]$') OR NOT regexp_matches(t, '[.?!…]$')
   OR coalesce(regexp_matches(nxt, '^\s*\p{{Ll}}'), false)
   OR coalesce(list_contains({_list(INCOMPLETE_ENDINGS)}, lower(list_filter(string_split_regex(regexp_replace(t, '[.!?…,;:]+$', ''), '\s+'), lambda x: len(x) > 0)[-1])), false) END"""
-PAIRS = f"{WITH}, p AS (SELECT meeting_id, ord, trim(text[1:60]) AS t, trim(lead(text) OVER (PARTITION BY meeting_id ORDER BY ord)[1:40]) AS nxt FROM segments)"
+PAIRS = f"{WITH}, p AS (SELECT meeting_id, ord, trim(text[1:60], ' ' || chr(9) || chr(10) || chr(13)) AS t, trim(lead(text) OVER (PARTITION BY meeting_id ORDER BY ord)[1:40], ' ' || chr(9) || chr(10) || chr(13)) AS nxt FROM segments)"
 
 
 def _pairs(spark, sf):
     from pyspark.sql import Window as W
 
-    following = F.trim(F.substring(F.lead("text").over(W.partitionBy("meeting_id").orderBy("ord")), 1, 40))
-    return segments(spark, sf).select("meeting_id", "ord", F.trim(F.substring("text", 1, 60)).alias("t"), following.alias("nxt"))
+    following = F.substring(F.lead("text").over(W.partitionBy("meeting_id").orderBy("ord")), 1, 40)
+    return segments(spark, sf).select("meeting_id", "ord", F.substring("text", 1, 60).alias("t"), following.alias("nxt"))
 
 
 @query(f"{PAIRS} SELECT meeting_id, ord, {INCOMPLETE} AS incomplete FROM p")
