@@ -16,9 +16,10 @@ item; an item with fewer words, but not none, is one phrase.
 
 Defined results: null texts have no words and match nothing, null or empty items
 give no phrases; an item id that occurs in several rows is matched if any of its
-rows is; rows that agree in id and text are one document and get the same result;
-an empty corpus gives no rows, an empty benchmark leaves everything clean; other
-columns pass through.
+rows is; items with null id count as one item, which joined ids leave out; rows
+that agree in id and text are one document and get the same result; an empty
+corpus gives no rows, an empty benchmark leaves everything clean; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def places(text: str) -> list[str]:
 
 def item_words(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, words) of the rows that have words; ``item`` names the row's words, not its place."""
-    rows = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     return rows.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item", "item_id"])
 
 
@@ -126,9 +127,9 @@ def _matches(width: int):
                     for s in whole:
                         hit[low + delta + s : low + delta + s + need] = True
                     if len(whole):
-                        found.add(str(line["item_id"]))
+                        found.add(line["item_id"])
                 if found:
-                    out.append((doc_id, key, int(hit.sum()), sorted(found)))
+                    out.append((doc_id, key, int(hit.sum()), sorted(found - {None}) + [None] * (None in found)))
             yield pd.DataFrame(out, columns=["doc_id", "_k", "n_hit", "item_ids"])
 
     return match
@@ -180,14 +181,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     """
     made = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
     own = [c for c in docs.columns if c not in made]
-    keyed = with_key(docs)
+    # columns of the operator's own names are kept aside under others
+    aside = {c: f"_own_{i}" for i, c in enumerate(own) if c not in ("doc_id", "text")}
+    keyed = with_key(docs.select(*own).withColumnsRenamed(aside))
     found = exact_matches(keyed, benchmark, width).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2"), F.col("n_hit").alias("_hit"), F.col("item_ids").alias("_ids"))
-    counted = keyed.select(*own, "_k", word_count(F.col("text")).alias("n_words"))
+    counted = keyed.select(*[aside.get(c, c) for c in own], "_k", word_count(F.col("text")).alias("n_words"))
     joined = counted.join(found, (F.col("_k") == F.col("_k2")) & counted["doc_id"].eqNullSafe(F.col("_d")), "left")
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
     ids = F.coalesce("_ids", F.array().cast("array<string>"))
     bad = (n_hit > 0) & (n_hit * round(1 / least_share) >= F.col("n_words"))
-    return joined.select(*own, "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), bad.alias("contaminated"))
+    return joined.select(*[F.col(aside.get(c, c)).alias(c) for c in own], "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), bad.alias("contaminated"))
 
 
 DECONTAMINATION_SQL = """

@@ -9,7 +9,8 @@ covered positions merge by set difference over line numbers.
 Defined results: null text gives null text and no lines; an empty text is one
 empty line; texts of fewer than three lines have no window and stay whole;
 windows of blank lines alone are no windows; rows that agree in id and text are
-one document and are all treated as it; other columns are passed through.
+one document and are all treated as it; other columns are passed through
+(``n_lines`` and ``n_removed`` are replaced).
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ def later_positions(keyed: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the shortened ``text``, and ``n_lines``, ``n_removed``."""
     own = docs.columns
-    keyed = with_key(docs)
+    # columns of the operator's own names are kept aside under others
+    aside = {c: f"_own_{i}" for i, c in enumerate(own) if c not in ("doc_id", "text")}
+    keyed = with_key(docs.withColumnsRenamed(aside))
     later = later_positions(keyed).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2"), "later")
     joined = keyed.join(later, (F.col("_k") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     joined = joined.withColumn("_lines", F.split("text", "\n", -1))
@@ -57,7 +60,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("later").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
     n_removed = F.when(F.col("later").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in own], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(aside.get(c, c)).alias(c) for c in own if c not in ("n_lines", "n_removed")], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 LINE_DEDUP_SQL = """
