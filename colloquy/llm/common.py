@@ -6,6 +6,7 @@ import string
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word of the fixed word rule: ASCII letters and digits, and every non-ASCII character.
@@ -45,3 +46,19 @@ def with_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     in both id and text are one document that was written more than once.
     """
     return docs.withColumn("_k", F.xxhash64(F.col(doc_id), F.col(text)))
+
+
+def sample_ends(hashed: DataFrame, by: str, share: int) -> DataFrame:
+    """(by, upto): the hash at which each group's ``share`` smallest different hashes end, for rows (by, h).
+
+    Counts by the hash's first 16 bits find the cell, a ranking within that cell
+    alone finds the end, so no group is sorted as a whole. The groups' number must
+    be bounded by the caller, as their ends are broadcast.
+    """
+    cell = F.shiftright("h", 48)
+    cells = hashed.groupBy(by, cell.alias("cell")).agg(F.countDistinct("h").alias("n"))
+    before = F.sum("n").over(W.partitionBy(by).orderBy("cell")) - F.col("n")
+    last = cells.withColumn("before", before).filter(F.col("before") < share).groupBy(by).agg(F.max_by(F.struct("cell", "before"), "cell").alias("last"))
+    edge = hashed.join(F.broadcast(last), by).filter(cell == F.col("last.cell")).select(by, "h", "last.before").distinct()
+    place = F.col("before") + F.row_number().over(W.partitionBy(by).orderBy("h"))
+    return edge.withColumn("place", place).filter(F.col("place") <= share).groupBy(by).agg(F.max("h").alias("upto"))

@@ -24,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import sample_ends
+
 DIMS = 4096
 NGRAMS = 3
 UNDETERMINED = "und"
@@ -109,20 +110,14 @@ class LanguageModel:
 def training_sample(train: DataFrame, per_language: int, max_sample: int) -> list:
     """At most ``max_sample`` rows (lang, counts): of each language those with the smallest hashes.
 
-    The hash at which each language's sample ends is found on hashes alone, first
-    its cell, then its place in the cell; texts are read once more and only those
-    below it are dealt out. The table of ends has ``max_sample`` rows at most.
+    Of more languages than ``max_sample`` the most frequent are learned. The hash
+    at which each one's sample ends is found on hashes alone; texts are read once
+    more and only those below it are dealt out.
     """
-    hashed = train.select("lang", F.xxhash64("doc_id", "text").alias("h"))
-    cells = hashed.groupBy("lang", F.shiftright("h", 48).alias("cell")).agg(F.countDistinct("h").alias("n"))
-    languages = cells.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_sample)
+    languages = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_sample).select("lang")
     share = max(1, min(per_language, max_sample // max(languages.count(), 1)))
-    before = F.sum("n").over(W.partitionBy("lang").orderBy("cell")) - F.col("n")
-    reached = cells.join(F.broadcast(languages.select("lang")), "lang").withColumn("before", before).filter(F.col("before") < share)
-    last = F.broadcast(reached.groupBy("lang").agg(F.max_by(F.struct("cell", "before"), "cell").alias("last")))
-    edge = hashed.join(last, "lang").filter(F.shiftright("h", 48) == F.col("last.cell")).select("lang", "h", "last.before").distinct()
-    place = F.col("before") + F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    ends = F.broadcast(edge.withColumn("place", place).filter(F.col("place") <= share).groupBy("lang").agg(F.max("h").alias("upto")))
+    hashed = train.select("lang", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(languages), "lang")
+    ends = F.broadcast(sample_ends(hashed, "lang", share))
     chosen = train.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").join(ends, "lang").filter(F.col("h") <= F.col("upto")).dropDuplicates(["lang", "h"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

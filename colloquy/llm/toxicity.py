@@ -10,8 +10,8 @@ chosen and weighed by logistic regression on a bounded sample of labelled rows
 (``per_class`` rows of either label, those with the smallest hashes).
 
 Defined results: null and empty texts score what a text without any feature
-scores; an id labelled more than once is toxic if any label says so, null labels
-are left out; rows with null ids are never learned from; without both labels the
+scores; an id labelled more than once is toxic if any label says so, labels but 0
+and 1 are left out; rows with null ids are never learned from; without both labels the
 score is 0.5 for a text without features and nothing is learned; repeated rows
 score alike; an empty table gives no rows; other columns pass through.
 """
@@ -25,9 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import sample_ends
 from .language_id import fold
 
 # Letters that a sign commonly stands for.
@@ -178,9 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: i
     grams = character_model(docs)
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     labels = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    first = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labels.withColumn("r", first).filter(F.col("r") <= per_class).select("doc_id", "toxic")
-    # at most 2 * per_class ids by the filter above
+    labels = labels.filter("toxic IN (0, 1)").withColumn("h", F.xxhash64("doc_id"))
+    # two rows, one for each label
+    ends = F.broadcast(sample_ends(labels.select("toxic", "h"), "toxic", per_class))
+    chosen = labels.join(ends, "toxic").filter(F.col("h") <= F.col("upto")).select("doc_id", "toxic")
+    # at most 2 * per_class ids by the filter above, as their hashes differ
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
