@@ -171,14 +171,3 @@ def jaccard(a: Column, b: Column) -> Column:
         return F.when(none, F.lit(0.0)).otherwise(F.size(F.array_intersect(x["a"], x["b"])) / F.size(F.array_union(x["a"], x["b"])))
 
     return let(F.struct(a.alias("a"), b.alias("b")), share)
-
-
-def clean_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<!\d)[.,;:!?]|[.,;:!?](?!\d)", "")
-
-
-def minutes_valid(text: Column, headers: tuple[str, ...] = ("#", "##")) -> Column:
-    """Long enough, with a plausible end and two section headers."""
-    t = strip(text)
-    n = F.size(F.filter(F.split(t, "\n"), lambda line: line.rlike(r"^#{1,4}\s+\S")))
-    return ~none_or_blank(text) & (F.length(t) >= 100) & t.rlike(r"[.!?|)\]*_\-\p{L}\p{Nd}]$") & (n >= 2)

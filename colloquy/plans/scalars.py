@@ -157,16 +157,6 @@ def str_function_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(F.filter(text.words(F.lower("text")), lambda x: x.isin(FUNCTION_WORDS))).cast("long").alias("n"))
 
 
-@query()
-def str_clean_punct(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.clean_punctuation(F.col("text")).alias("text"))
-
-
-@query()
-def str_minutes_valid(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.minutes_valid(F.concat(F.lit("# Acta\n## Temas\n"), "text")).alias("valid"))
-
-
 # Times, JSON, maps, vectors
 
 
