@@ -43,6 +43,8 @@ from .suffixes import Digits, anchors, owned
 DEPTH = 200
 BLOCK = 10
 WIDE = 16
+#: So many rows of a pass are combined and sent on at a time, whatever an Arrow batch holds.
+HELD_ROWS = 150_000
 #: What is known of a row when it leaves its task: nothing; its context repeats; its digit repeats.
 OPEN, COPY, EDGE = 0, 1, 2
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +62,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(column: pa.Array) -> Iterator[np.ndarray]:
     unpack = zstandard.ZstdDecompressor().decompress
-    return (np.frombuffer(unpack(b), np.uint8) for b in column.to_pylist())
+    return (np.frombuffer(unpack(b.as_buffer()), np.uint8) for b in column)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -108,20 +110,33 @@ def _combined(g: np.ndarray, c: np.ndarray, k: np.ndarray, n: np.ndarray, lo: np
     return pa.record_batch([pa.array(x) for x in made], names=[x.split()[0] for x in GROUPED.split(", ")])
 
 
+def _sent(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's documents, combined ``HELD_ROWS`` or a document at a time; freed memory goes back to the system."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= HELD_ROWS:
+            yield _combined(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+            pa.default_memory_pool().release_unused()
+    if n:
+        yield _combined(*map(np.concatenate, zip(*held)))
+
+
 def _places_of_pass(depth: int, digit: int, in_blocks: bool):
     """The rows of pass 1 (anchors), or of pass 2 (blocks around the anchors that probe)."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             if in_blocks:
                 texts, found = _unpacked(batch.column("bytes")), _places(batch.column("found"), "probe")
             else:
-                texts, found = (np.frombuffer(b, np.uint8) for b in batch.column("bytes").to_pylist()), [None] * len(batch)
-            parts = []
-            for key, data, places in zip(batch.column("_k").to_numpy(), texts, found):
+                texts, found = (np.frombuffer(b.as_buffer(), np.uint8) for b in batch.column("bytes")), [None] * len(batch)
+            for key, data, chosen in zip(batch.column("_k").to_numpy(), texts, found):
                 d = Digits(data)
                 if in_blocks:
-                    at, p = owned(d, digit, depth, np.unique(places[1]))
+                    at, p = owned(d, digit, depth, np.unique(chosen[1]))
                     block = np.unique(np.stack((at, (at - p) // BLOCK)), axis=1)
                     lo, hi = np.maximum(block[0] - block[1] * BLOCK - (BLOCK - 1), block[0] - (depth - digit)), block[0] - block[1] * BLOCK
                     g = d.at(0, hi, lo + depth) + block[1].astype(np.uint64) * _SPREAD
@@ -130,11 +145,9 @@ def _places_of_pass(depth: int, digit: int, in_blocks: bool):
                     lo, hi = at - (depth - digit), at
                 left = np.maximum(lo, 0)
                 c = (d.at(1, left, np.minimum(hi + depth, d.n)) ^ ((hi - left).astype(np.uint64) * _SPREAD)) >> np.uint64(32)
-                parts.append((g, c, np.full(len(g), key, np.int64), np.full(len(g), d.n, np.int64), lo, hi))
-            if parts:
-                yield _combined(*map(np.concatenate, zip(*parts)))
+                yield g, c, np.full(len(g), key, np.int64), np.full(len(g), d.n, np.int64), lo, hi
 
-    return make
+    return lambda batches: _sent(places(batches))
 
 
 def survivors(rows: DataFrame) -> DataFrame:
@@ -160,17 +173,14 @@ def _paint(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def _window_rows(depth: int):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            parts = []
             for key, data, (lo, hi) in zip(batch.column("_k").to_numpy(), _unpacked(batch.column("bytes")), _places(batch.column("found"), "probe")):
                 d = Digits(data)
                 p = np.flatnonzero(_paint(d.n - depth + 1, lo, hi + 1))
-                parts.append((d.at(0, p, p + depth), d.at(1, p, p + depth) >> np.uint64(32), np.full(len(p), key, np.int64), np.full(len(p), d.n, np.int64), p, p))
-            if parts:
-                yield _combined(*map(np.concatenate, zip(*parts)))
+                yield d.at(0, p, p + depth), d.at(1, p, p + depth) >> np.uint64(32), np.full(len(p), key, np.int64), np.full(len(p), d.n, np.int64), p, p
 
-    return make
+    return lambda batches: _sent(rows(batches))
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
