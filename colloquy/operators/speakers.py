@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def resolve_aliases(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, resolved) for links (id, target): each id's last target; chains halve every round, a cycle ends after ``most_rounds``."""
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-ckpt-"))
+    shared_folder(links.sparkSession)
     state = links.select("id", F.col("target").alias("resolved")).checkpoint()
     for _ in range(most_rounds):
         onward = state.select(F.col("id").alias("_id"), F.col("resolved").alias("_next"))

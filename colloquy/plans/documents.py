@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from ..functions import minutes, text
 from ..functions.times import hms
 from ..operators import catalog, speakers
 from ..sinks import exports
+from ..sources import meetings as meeting_files
 from ..sources import transcripts
 from ..sources.meetings import clean_aliases
+from ..sources.shared import shared_folder
 from .basic import HMS, TECHNICAL, VOCABULARY, vocabulary
 from .derived import MEETINGS, WITH, meetings, segments, table
 from .registry import query
@@ -113,6 +117,35 @@ def src_vocab_json(spark, sf):
     return t.select("t.item_id", F.array_join(clean_aliases(F.col("t.aliases")), "|").alias("aliases")).filter("aliases <> ''")
 
 
+def saved_meetings(spark, sf) -> str:
+    """A folder for each meeting with its JSON document, in the shared folder; every run writes its own."""
+    root = f"{shared_folder(spark)}/meetings-{uuid.uuid4().hex}"
+    said = F.struct(exports.interval_string(F.col("start_us")).alias("startTime"), exports.interval_string(F.col("end_us")).alias("endTime"), F.col("speaker_id").alias("speakerId"), F.col("text").alias("text"))
+    m = _meeting_rows(spark, sf).join(exports.ordered(segments(spark, sf), said, "transcript"), "meeting_id", "left")
+    rows = m.select(F.col("meeting_id").cast("string").alias("id"), "title", F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("acta").alias("actaMarkdown"), "transcript", exports.folder_name(F.col("date"), F.col("title"), F.col("meeting_id")).alias("folder"))
+    rows.repartition("folder").write.partitionBy("folder").json(root)
+    return root
+
+
+@query(f"{WITH}, {MEETINGS} SELECT meeting_id::VARCHAR AS id, title, n_segments AS n FROM meetings")
+def src_meeting_scan(spark, sf):
+    found = meeting_files.read_meetings(spark, saved_meetings(spark, sf))
+    return found.select("id", "title", F.size("transcript").cast("long").alias("n"))
+
+
+@query("SELECT '42' AS id, 1 AS folders FROM conversations WHERE conv_id = 42 LIMIT 1")
+def src_find_dir(spark, sf):
+    found = meeting_files.find_folder(spark, saved_meetings(spark, sf), "42")
+    return found.agg(F.lit("42").alias("id"), F.count("*").alias("folders")).filter("folders > 0")
+
+
+@query(f"{WITH}, {MEETINGS} SELECT 'legacy-' || meeting_id AS version_id, '# Acta ' || meeting_id AS markdown FROM meetings WHERE meeting_id % 4 = 0")
+def src_acta_versions(spark, sf):
+    """Meetings without an index: their own minutes are the one version."""
+    root = saved_meetings(spark, sf)
+    return meeting_files.acta_versions(spark, root, meeting_files.read_meetings(spark, root)).select("version_id", "markdown")
+
+
 # Sinks
 
 
