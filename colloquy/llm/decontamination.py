@@ -68,7 +68,7 @@ def places(text: str) -> list[str]:
 
 def item_words(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, words) of the rows that have words; ``item`` names the row's words, not its place."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    rows = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     return rows.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item", "item_id"])
 
 
@@ -142,7 +142,7 @@ def exact_matches(keyed: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     anchors = cut(phrase_terms(items, term_frequencies(keyed, cut(vocabulary)), width, 2))
     index = cut(posting_lists(keyed, cut(anchors.select("term").distinct())))
     needed = anchors.groupBy("item", "start").agg(F.count("*").alias("n")).groupBy("item").agg(F.min("n").alias("needed"))
-    lines = diagonals(index, anchors).join(needed, "item").filter("terms >= needed").join(items.select("item", "item_id", "words"), "item")
+    lines = diagonals(index, anchors).join(needed, "item").filter("terms >= needed").join(items.select("item", F.col("item_id").cast("string").alias("item_id"), "words"), "item")
     by_document = lines.groupBy("doc_id", "_k").agg(F.collect_list(F.struct("item_id", "words", "delta")).alias("lines"))
     by_document = by_document.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2"), "lines")
     texts = keyed.select("doc_id", "_k", "text").join(by_document, (F.col("_k") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_d")))
