@@ -9,7 +9,9 @@ stored string of every hit, so that a digest collision never decides a verdict.
 
 The file reaches executors through ``SparkContext.addFile`` from the shared
 checkpoint folder. It holds ``max_rules`` rules at most; a larger rule table is
-joined on the candidate strings instead, with the same result.
+joined on the candidate strings instead, with the same result. Candidates are made
+for the ``LENGTHS`` shortest path lengths; rules with longer paths are joined on the
+host and the start of the path that all of them reach, then compared in full.
 
 Defined results: a null url, or one without ``://``, has empty host and path and
 fits no rule; what fits no rule gets ``default``; host labels are compared as
@@ -35,6 +37,8 @@ from .common import lower_ascii, shared_checkpoints
 #: Seed with which Spark's xxhash64 hashes a string column.
 SEED = 42
 MAX_RULES = 20_000_000
+#: So many path lengths of rules are probed by candidates, the shortest first; longer rules are joined.
+LENGTHS = 1024
 PROBED = "rule string, verdict string"
 
 
@@ -108,12 +112,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def suffixes_of(host: Column) -> Column:
+    """Every host suffix at a label."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
 def candidates_of(host: Column, path: Column, lengths: list[int]) -> Column:
     """Every host suffix at a label with every path prefix of a length that some rule has."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n) if n else F.lit("")) for n in lengths]), lambda p: p.isNotNull())
-    return F.flatten(F.transform(hosts, lambda h: F.transform(starts, lambda p: F.concat(h, p))))
+    return F.flatten(F.transform(suffixes_of(host), lambda h: F.transform(starts, lambda p: F.concat(h, p))))
 
 
 def _probe(name: str, default: str):
@@ -144,6 +152,26 @@ def _joined(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     return out.withColumn("rule", F.col("_best._rule")).withColumn("verdict", F.coalesce("_best._verdict", F.lit(default))).drop("_best", "_row")
 
 
+def _rank(rule: Column, verdict: Column) -> Column:
+    """Order among fitting rules: longer, then the longer host, then block."""
+    return F.struct(F.length(rule).alias("n"), F.length(F.substring_index(rule, "/", 1)).alias("n_host"), (verdict == "block").alias("blocked"), rule.alias("rule"), verdict.alias("verdict"))
+
+
+def _with_long_rules(done: DataFrame, rules: DataFrame, upto: int, default: str) -> DataFrame:
+    """``done`` with rule and verdict settled among what was found and the rules whose paths are longer than ``upto``."""
+    slash = F.length(F.substring_index("rule", "/", 1))
+    long = rules.filter(F.length("rule") - slash > upto).select(F.substring(F.col("rule"), F.lit(1), slash + upto).alias("_key"), F.col("rule").alias("_rule"), F.col("verdict").alias("_verdict"))
+    row = F.struct("_host", "_path")
+    wanted = done.filter(F.length("_path") > upto).select(row.alias("_row")).distinct()
+    wanted = wanted.withColumn("_suffix", F.explode(F.array_distinct(suffixes_of(F.col("_row._host")))))
+    wanted = wanted.withColumn("_key", F.concat("_suffix", F.substring("_row._path", 1, upto)))
+    fits = F.startswith(F.concat("_suffix", "_row._path"), F.col("_rule"))
+    best = wanted.join(long, "_key").filter(fits).groupBy("_row").agg(F.max(_rank(F.col("_rule"), F.col("_verdict"))).alias("_best"))
+    out = done.withColumn("_row", row).join(best, "_row", "left")
+    own = F.when(F.col("rule").isNotNull(), _rank(F.col("rule"), F.col("verdict")))
+    return out.withColumn("_best", F.greatest(own, "_best")).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best", "_row")
+
+
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame, url: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
     """All columns of ``pages`` and ``host``, ``path``, ``rule``, ``verdict``.
 
@@ -156,7 +184,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame,
     else:
         rules = spark.createDataFrame(sorted({r: max(v for q, v in rules if q == r) for r, _ in rules}.items()), "rule string, verdict string")
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    lengths = [r[0] for r in rules.select(F.length("rule") - F.length(F.substring_index("rule", "/", 1))).distinct().orderBy(F.lit(1)).limit(1024).collect()]
+    lengths = [r[0] for r in rules.select(F.length("rule") - F.length(F.substring_index("rule", "/", 1))).distinct().orderBy(F.lit(1)).limit(LENGTHS + 1).collect()]
+    lengths, longer = lengths[:LENGTHS], lengths[LENGTHS:]
     sited = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
     sited = sited.withColumn("_candidates", candidates_of(F.col("_host"), F.col("_path"), lengths) if lengths else F.array().cast("array<string>"))
     head = rules.limit(max_rules + 1).count()
@@ -166,6 +195,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame,
         name = publish(spark, {r["rule"]: r["verdict"] for r in rules.toLocalIterator()})
         keys = F.transform("_candidates", lambda c: F.xxhash64(c))
         done = sited.withColumn("_hit", _probe(name, default)("_candidates", keys)).select("*", "_hit.rule", "_hit.verdict") if not {"rule", "verdict"} & set(pages.columns) else sited.drop("rule", "verdict").withColumn("_hit", _probe(name, default)("_candidates", keys)).select("*", "_hit.rule", "_hit.verdict")
+    if longer:
+        done = _with_long_rules(done, rules, lengths[-1], default)
     return done.select(*own, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", "verdict")
 
 

@@ -117,6 +117,19 @@ def test_url_filter_and_its_join_for_large_rule_tables(spark):
         assert [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in done] == want
 
 
+def test_url_rules_of_more_path_lengths_than_are_probed(spark):
+    far = "/" + "x" * 1100
+    rules = [("net" + far[:n], "block" if n % 2 else "allow") for n in range(1, 1101)]
+    rules += [("a.long-host.net/x", "allow"), ("long-host.net" + far[:1050] + "y", "block"), ("net" + far[:1060] + "é", "block")]
+    urls = [f"http://{host}{far[:n]}{end}" for host in ("net", "a.net", "a.long-host.net") for n in (1, 5, 1023, 1024, 1025, 1026, 1050, 1060, 1099, 1101) for end in ("", "y", "é/z", "?q")]
+    want = [brute.url_verdict(u, rules) for u in urls]
+    assert {len(w[2] or "") > 1040 for w in want} == {True, False}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for most in (10_000, 2):
+        done = filter_urls(pages, rules, max_rules=most).orderBy("page_id").collect()
+        assert [(r.host, r.path, r.rule, r.verdict) for r in done] == want
+
+
 def test_digest_collisions_are_confirmed_on_the_strings(tmp_path, monkeypatch):
     monkeypatch.setattr("colloquy.llm.url_filter.digest", lambda text: 7)
     (tmp_path / "rules").write_bytes(DigestArray.pack({"net/": "block", "org/": "allow"}))
