@@ -1,10 +1,12 @@
 """Toxicity: noisy-channel deobfuscation, then a classifier over the restored words.
 
 A character trigram model is counted over all documents. Suspicious segments
-(a digit or sign before a letter, a letter three times in a row, single letters
-with separators between them) become lattices: a sign may stand for letters, a
-repeated letter or a separator may be dropped. Viterbi decoding finds the most
-likely text under channel and character model. Scores come from the words of the
+(a digit or sign beside a letter, a letter twice in a row, separators between
+letters, single characters with white space between them) become lattices: a sign
+may stand for letters, a repeated letter or a separator may be dropped. Viterbi
+decoding finds the most likely text under channel and character model; it also
+decides which white space beside a piece of up to ``PIECE`` letters, restored or not, is
+dropped. Scores come from the words of the
 text and of the restored segments: whole words and their first 4 to 8 letters,
 chosen and weighed by logistic regression on a bounded sample of labelled rows
 (``per_class`` rows of either label, those with the smallest hashes).
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,14 +34,23 @@ from .language_id import fold
 
 # Letters that a sign commonly stands for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "li", "*": "aeiou"}
-SEPARATORS = " .-_*"
+SEPARATORS = " .-_*,:;/\\~'’`´·•\""
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûü"
 #: Symbol 0 is the space (and all that is no letter), the last symbol any other letter.
 SYMBOLS = len(ALPHABET) + 2
 SIGN_COST, GAP_COST, DROP_COST, DOUBLE_COST, TRIPLE_COST = -1.0, -1.5, -0.1, -2.0, -6.0
 
-SUSPICIOUS = re.compile(r"[01345789@$!+|*][^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])[^\W_]([.\-_*])[^\W_]\2[^\W_]")
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+SIGN, BETWEEN = "[" + re.escape("".join(SIGNS)) + "]", "[" + re.escape(SEPARATORS.replace(" ", "")) + "]"
+#: A sign next to a letter, letters with separators between them; or a letter twice.
+NOISY = re.compile(rf"{SIGN}[^\W\d_]|[^\W\d_]{SIGN}|[^\W\d_](?:{BETWEEN}|{SIGN})+[^\W\d_]")
+SUSPICIOUS = re.compile(rf"{NOISY.pattern}|([^\W\d_])\1")
+#: Single characters with white space between them; the decoder sees one space for each.
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: White space is between whole words where both have more letters than this.
+PIECE = 3
+#: Beginnings of words have this many letters at most.
+LONGEST = 8
+REPEATED = re.compile(r"(.)\1+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -75,12 +86,17 @@ def character_model(texts: DataFrame) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi over a segment's lattice."""
+    """Viterbi over a segment's lattice; with ``only``, what cannot give one of these features need not be restored."""
 
-    def __init__(self, model: np.ndarray):
+    def __init__(self, model: np.ndarray, only: Iterable[str] | None = None):
+        self.only = only
+        self.wholes = {_once(f.lstrip("=")) for f in only or ()}
+        self.starts = {w[:k] for w in self.wholes for k in range(1, len(w) + 1)}
+        self.begins: dict[str, bool] = {}
         self.model = model.tolist()
         self.index = {c: i + 1 for i, c in enumerate(ALPHABET)}
         self.known: dict[str, str] = {}
+        self.gaps: dict[str, list[bool]] = {}
 
     def options(self, segment: str) -> list[list[tuple[str, float]]]:
         out, run = [], 0
@@ -126,12 +142,122 @@ class Decoder:
         self.known[segment] = restored
         return restored
 
+    def closed(self, around: str) -> list[bool]:
+        """For each space in ``around`` whether it is dropped."""
+        if around not in self.gaps:
+            if len(self.gaps) > 200_000:
+                self.gaps.clear()
+            out, at, restored = [], 0, self.decode(around)
+            for piece in around.split(" ")[:-1]:
+                at += len(piece)
+                out.append(not restored.startswith(" ", at))
+                at += not out[-1]
+            self.gaps[around] = out
+        return self.gaps[around]
+
+    def joined(self, pieces: list[str]) -> list[str]:
+        """What neighbouring words make where the space between them is dropped.
+
+        A trigram sees two letters on either side, so these (and whole runs of
+        single letters) decide as the whole text would. Each piece of a chain begins
+        forms, which end with the chain or beyond the longest beginning that counts.
+        """
+        out, i, n = [], 0, len(pieces) - 1
+        chain = [pieces[0]] if pieces else []
+        while i < n:
+            j = i + 1
+            while j < n and len(pieces[j]) == 1 and pieces[j].isalpha():
+                j += 1
+            around = [pieces[i][-2:], *pieces[i + 1 : j], pieces[j][:2]]
+            if j > i + 1 and not around[-1].isalpha():
+                around, j = around[:-1], j - 1
+            whole = len(pieces[i]) > PIECE and len(pieces[i + 1]) > PIECE
+            dropped = [False] if whole else self.closed(" ".join(around)) if all(map(str.isalpha, around)) else [False] * (j - i)
+            for k, drop in enumerate(dropped, i + 1):
+                if not drop:
+                    self._forms(chain, out)
+                    chain = []
+                chain.append(pieces[k])
+            i = j
+        self._forms(chain, out)
+        return out
+
+    @staticmethod
+    def _forms(chain: list[str], out: list[str]) -> None:
+        for i in range(len(chain) - 1):
+            form = chain[i]
+            for piece in chain[i + 1 :][: LONGEST + 1]:
+                form += piece
+                out.append(form)
+                if len(form) > LONGEST:
+                    break
+
+    def ranges(self, pieces: list[str], alone: list[str]) -> list[tuple[int, int]]:
+        """Places of the words whose forms can matter for the ``only`` features, with all that decides on them.
+
+        Whatever is dropped from it, a word of letters and the forms that it begins
+        start with its own first letters, repeated ones taken once. Words that matter
+        by themselves only are added to ``alone``.
+        """
+        out: list[tuple[int, int]] = []
+        if len(self.begins) > 200_000:
+            self.begins.clear()
+        begins, n = self.begins, len(pieces)
+        for i, t in enumerate(pieces):
+            hit = begins.get(t[:4])
+            if hit is None:
+                hit = begins[t[:4]] = self._may_begin(t[:4])
+            if not t.isalpha():  # what is restored can begin anywhere
+                hit = begins.get(f" {t}")
+                if hit is None:
+                    hit = begins[f" {t}"] = any(map(self._may_begin, WORD.findall(f"{t} {self.decode(t)}" if NOISY.search(t) else t)))
+            if hit and t.isalpha() and not self._may_go_on(t, pieces[i + 1] if i + 1 < n else ""):
+                alone.append(t)
+            elif hit:
+                first, last = max(i - 1, 0), min(i + LONGEST + 2, n)
+                while first and len(pieces[first]) < 3 and not (out and first <= out[-1][1]):
+                    first -= 1
+                while last < n and len(pieces[last - 1]) < 3:
+                    last += 1
+                if out and first <= out[-1][1]:
+                    out[-1] = (out[-1][0], max(last, out[-1][1]))
+                else:
+                    out.append((first, last))
+        return out
+
+    def _may_begin(self, head: str) -> bool:
+        own = _once(WORD.match(head).group()) if WORD.match(head) else ""
+        return not own or own in self.starts or any(own[:k] in self.wholes for k in range(1, len(own)))
+
+    def _may_go_on(self, t: str, following: str) -> bool:
+        own = len(_once(t))
+        if own > PIECE and following.isalpha() and len(_once(following)) > PIECE:
+            return False
+        both = WORD.match(t + following).group()
+        if len(both) == len(t):  # a sign next, which may be any letter
+            return bool(following)
+        both = _once(both[: len(t) + LONGEST])
+        return both in self.starts or any(both[:k] in self.wholes for k in range(own, len(both)))
+
     def restored(self, text: str) -> list[str]:
         """The restored forms of the suspicious segments of a lower-cased text."""
-        out = []
-        if SUSPICIOUS.search(text):
-            out = [self.decode(t) for t in text.split() if SUSPICIOUS.search(t)]
-        return out + [self.decode(m.group()) for m in SPACED.finditer(text)]
+        words = text.split()
+        out = [self.decode(" ".join(m.group().split())) for m in SPACED.finditer(text)]
+        alone: list[str] = []
+        for first, last in [(0, len(words))] if self.only is None else self.ranges(words, alone):
+            pieces = []
+            for t in words[first:last]:
+                if SUSPICIOUS.search(t):
+                    out.append(self.decode(t))
+                    pieces += out[-1].split()
+                else:
+                    pieces.append(t)
+            out += self.joined(pieces)
+        return out + [self.decode(t) for t in alone if SUSPICIOUS.search(t)]
+
+
+def _once(word: str) -> str:
+    return REPEATED.sub(r"\1", word)
 
 
 def features(decoder: Decoder, text: str | None) -> set[str]:
@@ -143,7 +269,7 @@ def features(decoder: Decoder, text: str | None) -> set[str]:
     for segment in decoder.restored(text):
         words.update(WORD.findall(segment))
     made = {f"={w}" for w in words}
-    for n in range(4, 9):
+    for n in range(4, LONGEST + 1):
         made.update(w[:n] for w in words if len(w) >= n)
     return made
 
@@ -153,7 +279,7 @@ class ToxicityModel:
         self.character_model, self.weights, self.bias = character_model, weights, bias
 
     def scorer(self):
-        decoder, weights, bias = Decoder(self.character_model), self.weights, self.bias
+        decoder, weights, bias = Decoder(self.character_model, self.weights), self.weights, self.bias
         known = weights.keys()
 
         def score(text: str | None) -> float:
@@ -199,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: i
     place = {f: i for i, f in enumerate(names)}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(grams)
+        decoder = Decoder(grams, names)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "toxic": batch["toxic"], "at": [sorted(place[f] for f in features(decoder, t) & place.keys()) for t in batch["text"]]})
 

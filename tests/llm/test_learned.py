@@ -105,6 +105,20 @@ def test_viterbi_restores_what_was_hidden(judged):
     assert decoder.restored("plain words only") == []
 
 
+HIDDEN = ["wrretches", "wrettches", "w,r,e,t,c,h,e,s", "w-r.e-t.c-h.e-s", "wretche$", "wr etches", "wre-tches", "w\tr\te\tt\tc\th\te\ts", "w\nr e  t c h e s", "wretch es", "w retches"]
+
+
+@pytest.mark.parametrize("hidden", HIDDEN)
+def test_features_of_a_hidden_word(judged, hidden):
+    plain = judged[0].sparkSession.createDataFrame([(-1, " ".join(FOUL * 200))], judged[0].schema)
+    model = toxicity.character_model(judged[0].union(plain))
+    decoder = toxicity.Decoder(model)
+    for text in (hidden, f"garden {hidden} bridges"):
+        assert {"=wretches", "wretc"} <= toxicity.features(decoder, text), text
+        few = ["=wretches", "wretc", "bridg", "sscu"]
+        assert toxicity.features(toxicity.Decoder(model, few), text) & set(few) == toxicity.features(decoder, text) & set(few)
+
+
 def test_toxicity_without_both_labels(judged, spark):
     docs, labels = judged
     assert {r.score for r in toxicity.judge(docs, labels.filter("toxic = 0")).collect()} == {0.5}
