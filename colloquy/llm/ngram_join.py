@@ -2,9 +2,9 @@
 
 Texts are sets of ``n``-word shingles (words by the fixed word rule, A-Z
 lower-cased; a text of fewer words is one shingle). Texts with equal sets form a
-class and go on as one. MinHash values of each class are cut into bands; classes
-that share a band are candidates, and the connected candidates of one cluster are
-compared in blocks inside tasks, where no pair is ever written out. A pair's
+class and go on as one. MinHash values of each class are cut into bands; only
+classes that share a band are compared. Classes that bands connect form a cluster,
+whose blocks are compared inside tasks, where no pair is ever written out. A pair's
 MinHash values are compared ``STEP`` at a time; as soon as the posterior
 probability (uniform prior) that its similarity reaches the threshold falls below
 ``tolerance``, the pair is dropped. Pairs that stay are verified on the exact sets.
@@ -13,12 +13,13 @@ Tasks return link counts and the links of a spanning forest, never all pairs.
 Clusters that are too large for a task are split into blocks of about
 ``BLOCK_SHINGLES`` shingles by hash, and each pair of blocks is a task's work of its own.
 
-With 48 bands of 6 values a pair of similarity 0.8 is missed as a candidate with
-probability below 1e-6, and pruning loses it with at most about 1e-6 a step.
+With 32 bands of 5 values a pair of similarity 0.8 is missed as a candidate with
+probability 3e-6, and pruning loses it with at most about 1e-6 a step.
 
 Defined results: null texts and texts without words have no links and are their
 own class; rows that agree in id and text are one document and get the same
-result (they are not links of one another); an empty table gives no rows.
+result (they are not links of one another); an empty table gives no rows; columns
+beside doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,26 +30,26 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_CLASS, cut, with_key
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, BAND_ROWS = 48, 6
+BANDS, BAND_ROWS = 32, 5
 HASHES = BANDS * BAND_ROWS
 STEP = 32
 TOLERANCE = 1e-6
-BLOCK_SHINGLES = 400_000
+#: A block's shingles; each text counts as ROW_SHINGLES more, which bounds its rows too.
+BLOCK_SHINGLES, ROW_SHINGLES = 400_000, 100
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _WORD = re.compile(WORD_CLASS)
 _rng = np.random.default_rng(11)
-_A = _rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, HASHES, np.uint64)
+_A = _rng.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, HASHES, np.uint32)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -69,11 +70,23 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 def minhashes(s: np.ndarray) -> np.ndarray:
     """HASHES values of 32 bits."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 512):
-        part = s[i : i + 512]
-        np.minimum(out, (part[None] * _A[:, None] + _B[:, None]).min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    h = (s >> np.uint64(32)).astype(np.uint32)
+    out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(h), 512):
+        part = h[None, i : i + 512] * _A[:, None]
+        part += _B[:, None]
+        np.minimum(out, part.min(axis=1), out=out)
+    return out
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A hash of each band's values, different from band to band: (rows, HASHES) to (rows, BANDS)."""
+    values = values.reshape(len(values), BANDS, BAND_ROWS).astype(np.uint64)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(values), BANDS)).copy()
+    for i in range(BAND_ROWS):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + values[:, :, i]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(29))
 
 
 def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
@@ -98,62 +111,96 @@ SKETCH = "doc_id string, _k long, c1 long, c2 long, n int, bands array<long>, va
 def _sketch(n: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, n)
-                raw = s.tobytes()
-                if len(s):
-                    v = minhashes(s)
-                    bands = [xxhash.xxh3_64_intdigest(band.tobytes(), seed=i) for i, band in enumerate(v.reshape(BANDS, BAND_ROWS))]
-                    made.append((xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, seed=1), len(s), bands, v.astype(np.uint16).tobytes()))
-                else:
-                    made.append((0, 0, 0, [], b""))
-            signed = [np.array(x, np.uint64).view(np.int64) for x in ([m[0] for m in made], [m[1] for m in made])]
-            bands = pa.array([np.array(m[3], np.uint64).view(np.int64) for m in made], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("_k"), pa.array(signed[0]), pa.array(signed[1]), pa.array([m[2] for m in made], pa.int32()), bands, pa.array([m[4] for m in made], pa.binary())], names=["doc_id", "_k", "c1", "c2", "n", "bands", "values"])
+            sets = [shingles(text, n) for text in batch.column("text").to_pylist()]
+            some = [len(s) > 0 for s in sets]
+            values = np.stack([minhashes(s) for s in sets]) if sets else np.empty((0, HASHES), np.uint32)
+            keys = band_keys(values).view(np.int64)
+            short = values.astype(np.uint16)
+            hashed = [[xxhash.xxh3_64_intdigest(s.tobytes(), seed=seed) if len(s) else 0 for s in sets] for seed in (0, 1)]
+            columns = [
+                *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in hashed),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([k if has else [] for k, has in zip(keys, some)], pa.list_(pa.int64())),
+                pa.array([v.tobytes() if has else b"" for v, has in zip(short, some)], pa.binary()),
+            ]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("_k"), *columns], names=["doc_id", "_k", "c1", "c2", "n", "bands", "values"])
 
     return sketch
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of each node's component, for links (a, b).
+    """(node, component) of every node of the links (a, b); the component is one of its nodes.
 
-    Every node takes the smallest label among its neighbours' labels, and labels
-    jump to their own label, until none changes; the labels are cut each round.
+    Each round every node joins the first of its neighbours and itself in an order
+    drawn for the round, and links go on between what they joined. That leaves a
+    constant share of the nodes on average, however long the chains and whatever
+    the hubs; links that fall together are one.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("label").alias("least"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "least").alias("new"))
-        up = step.select(F.col("node").alias("new"), F.col("new").alias("upper"))
-        jumped = cut(step.join(up, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("upper", "new")).alias("label")))
-        labels = jumped.select("node", "label")
-        if jumped.filter("old <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    edges, levels = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
+    while not edges.isEmpty():
+
+        def place(node: str) -> Column:
+            return F.struct(F.xxhash64(F.col(node), F.lit(len(levels))).alias("h"), F.col(node).alias("node"))
+
+        both = edges.union(edges.select("b", "a"))
+        near = both.groupBy("a").agg(F.min(place("b")).alias("near"))
+        joined = cut(near.select(F.col("a").alias("node"), F.least("near", place("a"))["node"].alias("component")))
+        ends = [joined.select(F.col("node").alias(end), F.col("component").alias(f"new_{end}")) for end in ("a", "b")]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").filter("new_a <> new_b")
+        edges = cut(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
+        levels.append(joined)
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = levels.pop()
+    while levels:
+        upper = labels.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+        labels = cut(levels.pop().join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component")))
+    return labels
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes that share a band with another one."""
-    bands = classes.filter("n > 0").select("node", F.posexplode("bands").alias("band", "value"))
-    # a band's value was hashed with the band's number, so the value alone names the bucket
+    """(node, component) of the classes that share a band with another one.
+
+    A class stands for its bands' buckets by their first classes; it joins the
+    least of them, and only the different links between such first classes go on.
+    """
+    bands = classes.filter("n > 0").select("node", F.explode("bands").alias("value"))
     firsts = cut(bands.groupBy("value").agg(F.min("node").alias("first"), F.count("*").alias("m")).filter("m > 1").select("value", "first"))
-    links = bands.join(firsts, "value").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    return connected(links)
+    heads = cut(bands.join(firsts, "value").groupBy("node").agg(F.min("first").alias("head"), F.collect_set("first").alias("firsts")))  # BANDS firsts at most
+    links = heads.select(F.col("head").alias("a"), F.explode("firsts").alias("b"))
+    upper = connected(links).select(F.col("node").alias("head"), "component")
+    return cut(heads.select("node", "head").join(upper, "head", "left").select("node", F.coalesce("component", "head").alias("component")))
+
+
+def _sharing(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of either list that share a band's key with some place of the other one."""
+    l, r = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    for band in range(BANDS):
+        l |= np.isin(keys[left, band], keys[right, band])
+        r |= np.isin(keys[right, band], keys[left, band])
+    return left[l], right[r]
 
 
 def _links_within(sets: list[np.ndarray], values: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (i, j) between two lists of places; same: the lists are one."""
+    """Verified pairs (i, j) between two lists of places that share a band; same: the lists are one."""
     sizes = np.array([len(s) for s in sets])
+    # the values are cut to 16 bits, so keys agree where the whole bands do
+    keys = band_keys(values)
+    if not same:
+        left, right = _sharing(keys, left, right)
     out_i, out_j = [], []
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, int)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    columns = np.ascontiguousarray(keys[right].T)
     for start in range(0, len(left), 256):
         rows = left[start : start + 256]
         a = sizes[rows][:, None]
         b = sizes[right][None]
-        i, j = np.nonzero((np.minimum(a, b) >= threshold * np.maximum(a, b)) & ((rows[:, None] < right[None]) if same else True))
+        near = np.zeros((len(rows), len(right)), bool)
+        for band in range(BANDS):
+            near |= keys[rows, band][:, None] == columns[band][None]
+        i, j = np.nonzero(near & (np.minimum(a, b) >= threshold * np.maximum(a, b)) & ((rows[:, None] < right[None]) if same else True))
         i, j = rows[i], right[j]
         matched, done = np.zeros(len(i), np.int32), 0
         for compared, least in steps:
@@ -247,14 +294,14 @@ def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     # rows that agree in id and text are one document
     members = sketches.filter("n > 0").select("doc_id", "_k", "c1", "c2").distinct()
     first = members.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "_k")).alias("first"), F.count("*").alias("times"))
-    heads = first.select("c1", "c2", "times", F.col("first.doc_id").alias("doc_id"), F.col("first._k").alias("_k"))
-    heads = heads.withColumn("node", F.xxhash64("c1", "c2"))
+    # the class's number is drawn before the rows are written, so it stays what it is
+    heads = cut(first.select("c1", "c2", "times", F.col("first.doc_id").alias("doc_id"), F.col("first._k").alias("_k"), F.monotonically_increasing_id().alias("node")))
     chosen = sketches.select("doc_id", "_k", "n", "bands", "values").dropDuplicates(["doc_id", "_k"])
     same = (F.col("s._k") == F.col("h._k")) & F.col("s.doc_id").eqNullSafe(F.col("h.doc_id"))
-    classes = cut(chosen.alias("s").join(heads.alias("h"), same).select("h.doc_id", "h._k", "h.node", "h.times", "s.n", "s.bands", "s.values"))
+    classes = cut(chosen.alias("s").join(heads.alias("h"), same).select("h.doc_id", "h._k", "h.node", "h.times", "h.c1", "h.c2", "s.n", "s.bands", "s.values"))
 
-    clusters = cut(candidate_clusters(classes))
-    weights = clusters.join(classes.select("node", "n"), "node").groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    clusters = candidate_clusters(classes)
+    weights = clusters.join(classes.select("node", "n"), "node").groupBy("component").agg(F.ceil(F.sum(F.col("n") + ROW_SHINGLES) / BLOCK_SHINGLES).cast("int").alias("blocks"))
     work = classes.select("doc_id", "_k", "node", "times", "values").join(clusters, "node").join(weights, "component")
     work = work.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     same = (F.col("t._k") == F.col("w._k")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
@@ -267,11 +314,11 @@ def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
 
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     components = connected(found.filter("b IS NOT NULL").select("a", "b"))
-    named = classes.select("node", "times", "doc_id", "_k").join(counts, "node", "left").join(components, "node", "left")
-    named = named.withColumns({"component": F.coalesce("component", "node"), "links": F.coalesce("links", F.lit(0)) + F.col("times") - 1})
+    named = classes.select("node", "times", "c1", "c2", "doc_id", "_k").join(counts, "node", "left").join(components, "node", "left")
+    named = cut(named.withColumns({"component": F.coalesce("component", "node"), "links": F.coalesce("links", F.lit(0)) + F.col("times") - 1}))
     heads_of = named.groupBy("component").agg(F.min(F.struct("doc_id", "_k")).alias("head"))
-    named = named.select("node", "links", "component").join(heads_of, "component").select("node", "links", "head")
-    placed = sketches.select("doc_id", "_k", F.when(F.col("n") > 0, F.xxhash64("c1", "c2")).alias("node")).join(named, "node", "left")
+    named = named.select("c1", "c2", "links", "component").join(heads_of, "component").select("c1", "c2", "links", "head")
+    placed = sketches.select("doc_id", "_k", "n", "c1", "c2").join(named, ["c1", "c2"], "left").withColumns({"head": F.when(F.col("n") > 0, F.col("head")), "links": F.when(F.col("n") > 0, F.col("links"))})
     alone = F.struct("doc_id", "_k")
     head = F.coalesce("head", alone)
     return placed.select("doc_id", "_k", head["doc_id"].alias("class_id"), head["_k"].alias("class_k"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
