@@ -131,20 +131,22 @@ def _sketch(n: int):
 def connected(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b); the component is one of its nodes.
 
-    Each round every node joins the first of its neighbours and itself in an order
-    drawn for the round, and links go on between what they joined. That leaves a
-    constant share of the nodes on average, however long the chains and whatever
-    the hubs; links that fall together are one.
+    Each round every node joins the least of its neighbours and itself, and links
+    go on between what they joined; links that fall together are one. Stars around
+    their least node, which most links make, take one round. From the third round
+    on the order is drawn anew each time, which leaves a constant share of the
+    nodes on average, however long the chains and whatever the hubs.
     """
     edges, levels = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
     while not edges.isEmpty():
 
         def place(node: str) -> Column:
-            return F.struct(F.xxhash64(F.col(node), F.lit(len(levels))).alias("h"), F.col(node).alias("node"))
+            return F.col(node) if len(levels) < 2 else F.struct(F.xxhash64(F.col(node), F.lit(len(levels))).alias("h"), F.col(node).alias("node"))
 
         both = edges.union(edges.select("b", "a"))
         near = both.groupBy("a").agg(F.min(place("b")).alias("near"))
-        joined = cut(near.select(F.col("a").alias("node"), F.least("near", place("a"))["node"].alias("component")))
+        least = F.least("near", place("a"))
+        joined = cut(near.select(F.col("a").alias("node"), (least if len(levels) < 2 else least["node"]).alias("component")))
         ends = [joined.select(F.col("node").alias(end), F.col("component").alias(f"new_{end}")) for end in ("a", "b")]
         moved = edges.join(ends[0], "a").join(ends[1], "b").filter("new_a <> new_b")
         edges = cut(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
