@@ -21,8 +21,10 @@ score alike; an empty table gives no rows; other columns pass through.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,13 +45,20 @@ SIGN_COST, GAP_COST, DROP_COST, DOUBLE_COST, TRIPLE_COST = -1.0, -1.5, -0.1, -2.
 SIGN, BETWEEN = "[" + re.escape("".join(SIGNS)) + "]", "[" + re.escape(SEPARATORS.replace(" ", "")) + "]"
 #: A sign next to a letter, letters with separators between them; or a letter twice.
 NOISY = re.compile(rf"{SIGN}[^\W\d_]|[^\W\d_]{SIGN}|[^\W\d_](?:{BETWEEN}|{SIGN})+[^\W\d_]")
-SUSPICIOUS = re.compile(rf"{NOISY.pattern}|([^\W\d_])\1")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+SUSPICIOUS = re.compile(rf"{NOISY.pattern}|{DOUBLED.pattern}")
+#: Where a word may be noisy: a sign, or something between letters.
+SIGNED = re.compile(rf"(?:{BETWEEN}|{SIGN})+(?=[^\W\d_])|{SIGN}")
 #: Single characters with white space between them; the decoder sees one space for each.
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 #: White space is between whole words where both have more letters than this.
 PIECE = 3
 #: Beginnings of words have this many letters at most.
 LONGEST = 8
+#: Longer segments are decoded in blocks, each from the end of the best path of the one before.
+BLOCK = 4096
+#: A cache's entries, and the length up to which a segment gets into one.
+CACHED, CACHED_LENGTH = 200_000, 64
 REPEATED = re.compile(r"(.)\1+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -89,14 +98,15 @@ class Decoder:
     """Viterbi over a segment's lattice; with ``only``, what cannot give one of these features need not be restored."""
 
     def __init__(self, model: np.ndarray, only: Iterable[str] | None = None):
-        self.only = only
+        self.only = None if only is None else frozenset(only)
         self.wholes = {_once(f.lstrip("=")) for f in only or ()}
         self.starts = {w[:k] for w in self.wholes for k in range(1, len(w) + 1)}
-        self.begins: dict[str, bool] = {}
+        self.begin = _beginning_like(self.wholes)
         self.model = model.tolist()
         self.index = {c: i + 1 for i, c in enumerate(ALPHABET)}
         self.known: dict[str, str] = {}
         self.gaps: dict[str, list[bool]] = {}
+        self.tokens: dict[str, _Token] = {}
 
     def options(self, segment: str) -> list[list[tuple[str, float]]]:
         out, run = [], 0
@@ -116,9 +126,18 @@ class Decoder:
         """The restored segment; ends count as spaces."""
         if segment in self.known:
             return self.known[segment]
-        index, model, last = self.index, self.model, SYMBOLS - 1
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for options in self.options(segment):
+        out, state = [], (0, 0)
+        for start in range(0, len(segment), BLOCK):
+            last = start + BLOCK >= len(segment)
+            letters, state = self._best(self.options(segment[max(start - 1, 0) : start + BLOCK])[min(start, 1) :], state, last)
+            out += letters
+        return self._kept(self.known, segment, "".join(out))
+
+    def _best(self, lattice: list[list[tuple[str, float]]], state: tuple[int, int], last: bool) -> tuple[list[str], tuple[int, int]]:
+        """The letters of the best path from a state, and the state in which it ends; ``last``: a space follows."""
+        index, model, other = self.index, self.model, SYMBOLS - 1
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {state: (0.0, None)}
+        for options in lattice:
             reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in states.items():
                 row = model[a][b]
@@ -126,34 +145,36 @@ class Decoder:
                     if not letter:
                         state, total, way = (a, b), score + cost, path
                     else:
-                        s = 0 if letter == " " else index.get(letter, last)
+                        s = 0 if letter == " " else index.get(letter, other)
                         state, total, way = (b, s), score + cost + (row[s] if s or b else 0.0), (letter, path)
                     if state not in reached or reached[state][0] < total:
                         reached[state] = (total, way)
             states = reached
-        _, path = max(((score + model[a][b][0], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])
+        _, path, state = max(((score + (model[a][b][0] if last else 0.0), path, (a, b)) for (a, b), (score, path) in states.items()), key=lambda x: x[0])
         letters = []
         while path:
             letters.append(path[0])
             path = path[1]
-        restored = "".join(reversed(letters))
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[segment] = restored
-        return restored
+        return letters[::-1], state
+
+    @staticmethod
+    def _kept(cache: dict, key: str, value):
+        if len(key) <= CACHED_LENGTH:
+            if len(cache) >= CACHED:
+                cache.clear()
+            cache[key] = value
+        return value
 
     def closed(self, around: str) -> list[bool]:
         """For each space in ``around`` whether it is dropped."""
-        if around not in self.gaps:
-            if len(self.gaps) > 200_000:
-                self.gaps.clear()
-            out, at, restored = [], 0, self.decode(around)
-            for piece in around.split(" ")[:-1]:
-                at += len(piece)
-                out.append(not restored.startswith(" ", at))
-                at += not out[-1]
-            self.gaps[around] = out
-        return self.gaps[around]
+        if around in self.gaps:
+            return self.gaps[around]
+        out, at, restored = [], 0, self.decode(around)
+        for piece in around.split(" ")[:-1]:
+            at += len(piece)
+            out.append(not restored.startswith(" ", at))
+            at += not out[-1]
+        return self._kept(self.gaps, around, out)
 
     def joined(self, pieces: list[str]) -> list[str]:
         """What neighbouring words make where the space between them is dropped.
@@ -192,110 +213,187 @@ class Decoder:
                 if len(form) > LONGEST:
                     break
 
-    def ranges(self, pieces: list[str], alone: list[str]) -> list[tuple[int, int]]:
-        """Places of the words whose forms can matter for the ``only`` features, with all that decides on them.
+    def token(self, t: str) -> _Token:
+        """What a word between white space gives by itself and may give with its neighbours, for the ``only`` features."""
+        found = self.tokens.get(t)
+        if found is not None:
+            return found
+        words, noisy = WORD.findall(t), NOISY.search(t) is not None
+        if noisy:
+            pieces = self.decode(t).split()
+            made = words + WORD.findall(" ".join(pieces))
+            begins = any(self._may_begin(w) for p in pieces for w in WORD.findall(p)[-1:])
+            first = WORD.match(pieces[0]) if pieces else None
+            found = _Token(self._features(made), begins, None, first.group() if first else "")
+        elif DOUBLED.search(t):
+            found = _Token(self._features(words + WORD.findall(self.decode(t))), self._may_begin(words[-1]), words[-1], words[0])
+        else:
+            tail = words[-1] if words and t.endswith(words[-1]) else ""
+            head = words[0] if words and t.startswith(words[0]) else ""
+            found = _Token(self._features(words), bool(tail) and self._may_begin(tail), tail, head)
+        return self._kept(self.tokens, t, found)
+
+    def _features(self, words: Iterable[str]) -> frozenset[str]:
+        return frozenset(word_features(words) & self.only) if words else frozenset()
+
+    def _may_begin(self, word: str) -> bool:
+        own = _once(word[:4])
+        return own in self.starts or any(own[:k] in self.wholes for k in range(1, len(own)))
+
+    def _may_go_on(self, tail: str, head: str) -> bool:
+        """Whether a form of a word's end and the next one's beginning can begin like a feature, for all that repeats."""
+        own = len(_once(tail))
+        if not head or (own > PIECE and len(_once(head)) > PIECE):
+            return False
+        both = _once(tail + head[:LONGEST])
+        return both in self.starts or any(both[:k] in self.wholes for k in range(own, len(both)))
 
-        Whatever is dropped from it, a word of letters and the forms that it begins
-        start with its own first letters, repeated ones taken once. Words that matter
-        by themselves only are added to ``alone``.
-        """
-        out: list[tuple[int, int]] = []
-        if len(self.begins) > 200_000:
-            self.begins.clear()
-        begins, n = self.begins, len(pieces)
-        for i, t in enumerate(pieces):
-            hit = begins.get(t[:4])
-            if hit is None:
-                hit = begins[t[:4]] = self._may_begin(t[:4])
-            if not t.isalpha():  # what is restored can begin anywhere
-                hit = begins.get(f" {t}")
-                if hit is None:
-                    hit = begins[f" {t}"] = any(map(self._may_begin, WORD.findall(f"{t} {self.decode(t)}" if NOISY.search(t) else t)))
-            if hit and t.isalpha() and not self._may_go_on(t, pieces[i + 1] if i + 1 < n else ""):
-                alone.append(t)
-            elif hit:
-                first, last = max(i - 1, 0), min(i + LONGEST + 2, n)
-                while first and len(pieces[first]) < 3 and not (out and first <= out[-1][1]):
-                    first -= 1
-                while last < n and len(pieces[last - 1]) < 3:
-                    last += 1
-                if out and first <= out[-1][1]:
-                    out[-1] = (out[-1][0], max(last, out[-1][1]))
-                else:
-                    out.append((first, last))
+    def pieces(self, tokens: list[str]) -> list[str]:
+        """Words between white space, restored where they are suspicious."""
+        out: list[str] = []
+        for t in tokens:
+            if SUSPICIOUS.search(t):
+                out += self.decode(t).split()
+            else:
+                out.append(t)
         return out
 
-    def _may_begin(self, head: str) -> bool:
-        own = _once(WORD.match(head).group()) if WORD.match(head) else ""
-        return not own or own in self.starts or any(own[:k] in self.wholes for k in range(1, len(own)))
+    def found(self, text: str) -> set[str]:
+        """The ``only`` features of a lower-cased text and of all that is restored of it.
 
-    def _may_go_on(self, t: str, following: str) -> bool:
-        own = len(_once(t))
-        if own > PIECE and following.isalpha() and len(_once(following)) > PIECE:
-            return False
-        both = WORD.match(t + following).group()
-        if len(both) == len(t):  # a sign next, which may be any letter
-            return bool(following)
-        both = _once(both[: len(t) + LONGEST])
-        return both in self.starts or any(both[:k] in self.wholes for k in range(own, len(both)))
+        A feature can only be where letters, for all that repeats or stands between
+        them, begin like one, or where a sign stands for a letter; only there words are looked at.
+        """
+        out: set[str] = set()
+        if self.begin is None:
+            return out
+        for m in SPACED.finditer(text):
+            out |= self._features(WORD.findall(self.decode(" ".join(m.group().split()))))
+        near, signs = [m.start() for m in self.begin.finditer(text)], [m.start() for m in SIGNED.finditer(text)]
+        if not near and not signs:
+            return out
+        places = [m.span() for m in re.finditer(r"\S+", text)]
+        starts = [a for a, _ in places]
+        word = lambda i: text[places[i][0] : places[i][1]]
+        at = {bisect_right(starts, c) - 1 for c in near}
+        for i in {bisect_right(starts, c) - 1 for c in signs}:
+            if NOISY.search(word(i)):
+                at.add(i)
+                letters = 0
+                for j in range(i - 1, -1, -1):  # what it is restored to may go on from the words before, too
+                    letters += sum(map(str.isalpha, _once(word(j))))
+                    if letters > LONGEST:
+                        break
+                    at.add(j)
+        spans: list[tuple[int, int]] = []
+        for i in sorted(at):
+            note = self.token(word(i))
+            out |= note.features
+            if not note.begins or (note.tail is not None and not (i + 1 < len(places) and self._may_go_on(note.tail, self.token(word(i + 1)).head))):
+                continue
+            # with all that decides on the spaces around it
+            first, last = max(i - 1, 0), min(i + LONGEST + 2, len(places))
+            while first and places[first][1] - places[first][0] < 3 and not (spans and first <= spans[-1][1]):
+                first -= 1
+            while last < len(places) and places[last - 1][1] - places[last - 1][0] < 3:
+                last += 1
+            if spans and first <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(last, spans[-1][1]))
+            else:
+                spans.append((first, last))
+        for first, last in spans:
+            out |= self._features([w for form in self.joined(self.pieces([word(i) for i in range(first, last)])) for w in WORD.findall(form)])
+        return out
 
     def restored(self, text: str) -> list[str]:
         """The restored forms of the suspicious segments of a lower-cased text."""
-        words = text.split()
+        tokens = text.split()
         out = [self.decode(" ".join(m.group().split())) for m in SPACED.finditer(text)]
-        alone: list[str] = []
-        for first, last in [(0, len(words))] if self.only is None else self.ranges(words, alone):
-            pieces = []
-            for t in words[first:last]:
-                if SUSPICIOUS.search(t):
-                    out.append(self.decode(t))
-                    pieces += out[-1].split()
-                else:
-                    pieces.append(t)
-            out += self.joined(pieces)
-        return out + [self.decode(t) for t in alone if SUSPICIOUS.search(t)]
+        out += [self.decode(t) for t in tokens if SUSPICIOUS.search(t)]
+        return out + self.joined(self.pieces(tokens))
+
+
+@dataclass
+class _Token:
+    features: frozenset[str]
+    #: Whether a feature may begin in its last word and go on in the next one.
+    begins: bool
+    #: Its last word, None where it was restored to several; its first word.
+    tail: str | None
+    head: str
 
 
 def _once(word: str) -> str:
     return REPEATED.sub(r"\1", word)
 
 
-def features(decoder: Decoder, text: str | None) -> set[str]:
-    """Whole words (in ``=``) and beginnings of words, of the text and of what was restored."""
-    if not text:
-        return set()
-    text = text.lower()
-    words = set(WORD.findall(text))
-    for segment in decoder.restored(text):
-        words.update(WORD.findall(segment))
+def _beginning_like(words: Iterable[str], letters: int = LONGEST) -> re.Pattern | None:
+    """Finds where a word begins with the first letters of one of these, each once or repeated, with anything but letters between them."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w[:letters]:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def branches(node: dict) -> str:
+        if "" in node:
+            return ""
+        made = [rf"{c}(?:[\W\d_]*{c})*" + (rf"[\W\d_]*{below}" if (below := branches(n)) else "") for c, n in sorted(node.items())]
+        return made[0] if len(made) == 1 else f"(?:{'|'.join(made)})"
+
+    return re.compile(rf"(?<![^\W\d_])(?={branches(tree)})") if tree and "" not in tree else None
+
+
+def word_features(words: Iterable[str]) -> set[str]:
+    """Whole words (in ``=``) and beginnings of words."""
+    words = set(words)
     made = {f"={w}" for w in words}
     for n in range(4, LONGEST + 1):
         made.update(w[:n] for w in words if len(w) >= n)
     return made
 
 
+def features(decoder: Decoder, text: str | None) -> set[str]:
+    """The features of the text's words and of what was restored; of a decoder's ``only`` ones all that are there."""
+    if not text:
+        return set()
+    text = text.lower()
+    if decoder.only is not None:
+        return decoder.found(text)
+    return word_features(WORD.findall(text) + [w for segment in decoder.restored(text) for w in WORD.findall(segment)])
+
+
 class ToxicityModel:
-    def __init__(self, character_model: np.ndarray, weights: dict[str, float], bias: float):
-        self.character_model, self.weights, self.bias = character_model, weights, bias
+    """Weights of the features, and of a text's length, which offsets that long texts hold more of everything."""
+
+    def __init__(self, character_model: np.ndarray, weights: dict[str, float], bias: float, length: float = 0.0):
+        self.character_model, self.weights, self.bias, self.length = character_model, weights, bias, length
 
     def scorer(self):
-        decoder, weights, bias = Decoder(self.character_model, self.weights), self.weights, self.bias
-        known = weights.keys()
+        decoder, weights, bias, length = Decoder(self.character_model, self.weights), self.weights, self.bias, self.length
 
         def score(text: str | None) -> float:
             # summed in one order, so that equal texts score alike in every process
-            return 1.0 / (1.0 + float(np.exp(-np.clip(bias + sum(weights[f] for f in sorted(features(decoder, text) & known)), -500, 500))))
+            total = bias + length * _length(text) + sum(weights[f] for f in sorted(features(decoder, text)))
+            return 1.0 / (1.0 + float(np.exp(-np.clip(total, -500, 500))))
 
         return score
 
 
+def _length(text: str | None) -> float:
+    return float(np.log1p(len(text.split()))) / 10 if text else 0.0
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 600, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights by gradient descent; either label has half the weight of the sample."""
+    """Weights by gradient descent, those of all columns but the last not below zero; either label has half the weight of the sample."""
     w, b = np.zeros(x.shape[1]), 0.0
+    least = np.zeros(x.shape[1])
+    least[-1] = -np.inf
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     for _ in range(rounds):
         error = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * share
-        w, b = np.maximum(w - rate * 20 * (x.T @ error + ridge * w), 0), b - rate * 5 * error.sum()
+        w, b = np.maximum(w - rate * 20 * (x.T @ error + ridge * w), least), b - rate * 5 * error.sum()
     return w, b
 
 
@@ -327,17 +425,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: i
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(grams, names)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "toxic": batch["toxic"], "at": [sorted(place[f] for f in features(decoder, t) & place.keys()) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype(str), "toxic": batch["toxic"], "length": [_length(t) for t in batch["text"]], "at": [sorted(place[f] for f in features(decoder, t)) for t in batch["text"]]})
 
-    rows = sample.mapInPandas(present, "doc_id string, toxic int, at array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = sample.mapInPandas(present, "doc_id string, toxic int, length double, at array<int>")
+    # of an id with several texts one counts, the same in every run
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "length", "at")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
     y = np.array([r["toxic"] for r in rows], float)
     if not names or len(set(y)) < 2:
         return ToxicityModel(grams, {}, 0.0)
-    x = np.zeros((len(rows), len(names)), np.float32)
+    x = np.zeros((len(rows), len(names) + 1), np.float32)
     for i, r in enumerate(rows):
         x[i, r["at"]] = 1
+        x[i, -1] = r["length"]
     w, b = _logistic(x, y)
-    return ToxicityModel(grams, {f: float(v) for f, v in zip(names, w) if v > 0}, float(b))
+    return ToxicityModel(grams, {f: float(v) for f, v in zip(names, w) if v > 0}, float(b), float(w[-1]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
