@@ -121,6 +121,17 @@ def live_anomaly(text: Column, seconds: Column, official: Column) -> Column:
     return F.coalesce(let(words(text), judge), F.lit(False))
 
 
+def recovered(heard: Column, again: Column, seconds: Column, terms: Column) -> Column:
+    """What stays of a region's text: itself if no fault is found, else what a second hearing gave, if that has none.
+
+    Where neither is usable, a silent second hearing of less than 0.6 s drops the
+    region (null), anything else is marked for review.
+    """
+    faulty = lambda x: detect_anomaly(x, seconds, terms).isNotNull()
+    second = F.when(~none_or_blank(again) & ~faulty(again), again).when(none_or_blank(again) & (seconds < 0.6), F.lit(None)).otherwise(F.lit(lists.UNINTELLIGIBLE))
+    return F.when(none_or_blank(heard), F.lit(None)).when(~faulty(heard), heard).otherwise(second)
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), strip), lambda s: s != "")
 

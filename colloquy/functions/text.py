@@ -19,7 +19,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def none_or_blank(x: Column) -> Column:
-    return x.isNull() | (F.length(F.regexp_replace(x, SPACE, "")) == 0)
+    return x.isNull() | ~x.rlike(r"(?U)\S")
 
 
 def strip(x: Column) -> Column:
@@ -89,11 +89,10 @@ def _quoted(literal: str) -> str:
 
 def first_spellings(items: Column) -> Column:
     """The array without later items that differ in case alone."""
-
-    def firsts(both: Column) -> Column:
-        return F.filter(both["all"], lambda x, i: F.array_position(both["low"], F.lower(x)) == i + 1)
-
-    return let(F.struct(items.alias("all"), F.transform(items, lambda y: F.lower(y)).alias("low")), firsts)
+    # sorted by spelling, equal ones are neighbours; sorted by place again, the first of each remain
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    firsts = let(placed, lambda a: F.filter(a, lambda y, i: (i == 0) | (y["low"] != F.get(a, i - 1)["low"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
 
 
 def parse_aliases(text: Column) -> Column:

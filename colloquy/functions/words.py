@@ -61,3 +61,6 @@ PREAMBLES = (
     "it was mentioned that ",
     "the speaker explained that ",
 )
+
+# What stands for speech that could not be recognised.
+UNINTELLIGIBLE = "[Ininteligible / pendiente de revisión]"

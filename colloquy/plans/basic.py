@@ -38,12 +38,12 @@ def search_history(m: DataFrame, s: DataFrame, wanted: str) -> DataFrame:
     return m.join(spoken, "meeting_id", "left").filter(own | F.col("_spoken")).drop("_spoken").orderBy(F.desc("date"))
 
 
-VOCABULARY = "vocab AS (SELECT item_id, text[1:12] AS word, list_filter(string_split_regex(text, '\\s+'), lambda x: len(x) > 0)[1:4] AS aliases FROM benchmark)"
+VOCABULARY = "vocab AS (SELECT item_id, text AS word, list_filter(string_split_regex(text, '\\s+'), lambda x: len(x) > 0) AS aliases FROM benchmark)"
 
 
 def vocabulary(spark, sf):
-    b = table(spark, sf, "benchmark")
-    return b.select("item_id", F.substring("text", 1, 12).alias("word"), F.slice(text.words(F.col("text")), 1, 4).alias("aliases"))
+    """(item_id, word, aliases): each item's text as a term, its words as the aliases"""
+    return table(spark, sf, "benchmark").select("item_id", F.col("text").alias("word"), text.words(F.col("text")).alias("aliases"))
 
 
 @query(f"WITH {VOCABULARY} SELECT item_id, word FROM vocab WHERE contains(lower(word), 'the') OR len(list_filter(aliases, lambda a: contains(lower(a), 'the'))) > 0")
@@ -71,9 +71,9 @@ def flt_technical_name(spark, sf):
     return segments(spark, sf).select("meeting_id", "ord", technical_name(F.col("speaker_id")).alias("technical_id"), technical_name(F.col("speaker_name")).alias("technical_name"))
 
 
-@query("SELECT page_id FROM pages WHERE length(regexp_replace(html[1:1], '\\s+', '', 'g')) = 0 OR html IS NULL")
+@query("SELECT page_id FROM pages WHERE html IS NULL OR NOT regexp_matches(html, '\\S')")
 def flt_blank(spark, sf):
-    return table(spark, sf, "pages").filter(text.none_or_blank(F.substring("html", 1, 1))).select("page_id")
+    return table(spark, sf, "pages").filter(text.none_or_blank(F.col("html"))).select("page_id")
 
 
 @query(f"{WITH} SELECT meeting_id, ord FROM spans WHERE end_us > start_us AND end_us - start_us >= 8000000 AND trim(speaker_id) <> ''")

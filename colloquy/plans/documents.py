@@ -15,7 +15,7 @@ from ..sources import meetings as meeting_files
 from ..sources import transcripts
 from ..sources.meetings import clean_aliases
 from ..sources.shared import shared_folder
-from .basic import HMS, TECHNICAL, VOCABULARY, vocabulary
+from .basic import HMS, TECHNICAL, TOKENS, VOCABULARY, vocabulary
 from .derived import MEETINGS, WITH, meetings, segments, table
 from .registry import query
 
@@ -117,33 +117,40 @@ def src_vocab_json(spark, sf):
     return t.select("t.item_id", F.array_join(clean_aliases(F.col("t.aliases")), "|").alias("aliases")).filter("aliases <> ''")
 
 
-def saved_meetings(spark, sf) -> str:
-    """A folder for each meeting with its JSON document, in the shared folder; every run writes its own."""
+def saved_meetings(spark, sf) -> DataFrame:
+    """The meetings saved to the shared folder, and the files of their folders read back; every run writes its own."""
     root = f"{shared_folder(spark)}/meetings-{uuid.uuid4().hex}"
-    said = F.struct(exports.interval_string(F.col("start_us")).alias("startTime"), exports.interval_string(F.col("end_us")).alias("endTime"), F.col("speaker_id").alias("speakerId"), F.col("text").alias("text"))
-    m = _meeting_rows(spark, sf).join(exports.ordered(segments(spark, sf), said, "transcript"), "meeting_id", "left")
-    rows = m.select(F.col("meeting_id").cast("string").alias("id"), "title", F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("acta").alias("actaMarkdown"), "transcript", exports.folder_name(F.col("date"), F.col("title"), F.col("meeting_id")).alias("folder"))
-    rows.repartition("folder").write.partitionBy("folder").json(root)
-    return root
+    exports.save_meetings(_meeting_files(spark, sf), root)
+    return meeting_files.archived_files(spark, root)
 
 
 @query(f"{WITH}, {MEETINGS} SELECT meeting_id::VARCHAR AS id, title, n_segments AS n FROM meetings")
 def src_meeting_scan(spark, sf):
-    found = meeting_files.read_meetings(spark, saved_meetings(spark, sf))
+    found = meeting_files.read_meetings(saved_meetings(spark, sf))
     return found.select("id", "title", F.size("transcript").cast("long").alias("n"))
 
 
 @query("SELECT '42' AS id, 1 AS folders FROM conversations WHERE conv_id = 42 LIMIT 1")
 def src_find_dir(spark, sf):
-    found = meeting_files.find_folder(spark, saved_meetings(spark, sf), "42")
+    found = meeting_files.find_folder(saved_meetings(spark, sf), "42")
     return found.agg(F.lit("42").alias("id"), F.count("*").alias("folders")).filter("folders > 0")
 
 
-@query(f"{WITH}, {MEETINGS} SELECT 'legacy-' || meeting_id AS version_id, '# Acta ' || meeting_id AS markdown FROM meetings WHERE meeting_id % 4 = 0")
+@query(f"{WITH}, {MEETINGS} SELECT 'legacy-' || meeting_id AS version_id, '# Acta ' || meeting_id AS markdown FROM meetings WHERE meeting_id % 4 = 0 UNION ALL SELECT 'v' || i || '-' || meeting_id, '# Acta ' || meeting_id || ' ' || i FROM meetings, (SELECT unnest([1, 2]) AS i) WHERE meeting_id % 4 = 1")
 def src_acta_versions(spark, sf):
-    """Meetings without an index: their own minutes are the one version."""
-    root = saved_meetings(spark, sf)
-    return meeting_files.acta_versions(spark, root, meeting_files.read_meetings(spark, root)).select("version_id", "markdown")
+    """Every fourth meeting has an index of two versions, every fourth none: there its own minutes are the one version."""
+    files = saved_meetings(spark, sf)
+    return meeting_files.acta_versions(files, meeting_files.read_meetings(files)).select("version_id", "markdown")
+
+
+def _meeting_files(spark, sf) -> DataFrame:
+    m, s = _meeting_rows(spark, sf), segments(spark, sf)
+    cards = s.filter("meeting_id % 2 = 0").withColumn("range", F.lit(None).cast("string"))
+    number = F.explode(F.array(F.lit(1), F.lit(2))).alias("i")
+    v = m.filter("meeting_id % 4 = 1").select("meeting_id", number)
+    name = F.col("meeting_id").cast("string")
+    v = v.select("meeting_id", F.concat(F.lit("v"), "i", F.lit("-"), name).alias("version_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i")).alias("created_at"), F.lit("es").alias("language"), F.lit("full").alias("detail"), F.concat(F.lit("# Acta "), name, F.lit(" "), "i").alias("markdown"), (F.col("i") == 1).alias("active"))
+    return exports.meeting_files(m, _people(spark, sf), s, cards, v)
 
 
 # Sinks
@@ -192,6 +199,17 @@ def snk_json(spark, sf):
     return t.select("meeting_id", F.col("ord").cast("long").alias("ord"), exports.parse_interval(F.col("s.startTime")).alias("start_us"), exports.parse_interval(F.col("s.endTime")).alias("end_us"), F.col("s.speakerId").alias("speaker"), "s.text")
 
 
+@query(f"""{WITH}, {MEETINGS}, b AS (SELECT meeting_id, strftime(date, '%Y-%m-%d') || '_' || replace(regexp_replace(title, '[<>:"/\\\\|?*]', '_', 'g'), ' ', '-') || '_' || (meeting_id::VARCHAR)[1:6] AS folder, replace(regexp_replace(title, '[<>:"/\\\\|?*]', '_', 'g'), ' ', '-') || '_' || strftime(date, '%Y-%m-%d_%H-%M') AS base FROM meetings),
+f AS (SELECT meeting_id, folder, base || unnest(['_meeting.json', '_transcript.md', '_transcript.txt', '_params.json']) AS file FROM b UNION ALL SELECT meeting_id, folder, base || '_resumen.txt' FROM b WHERE meeting_id % 2 = 0 UNION ALL SELECT meeting_id, folder, base || '_acta.md' FROM b WHERE meeting_id % 4 IN (0, 1) UNION ALL SELECT meeting_id, folder, unnest(['actas/index.json', 'actas/acta_20231114_221321_es_full_' || ('v1-' || meeting_id)[1:6] || '.md', 'actas/acta_20231114_221322_es_full_' || ('v2-' || meeting_id)[1:6] || '.md']) FROM b WHERE meeting_id % 4 = 1)
+SELECT folder, count(*) AS files, string_agg(file, '|' ORDER BY file) AS names, CASE WHEN meeting_id % 4 = 1 THEN '# Acta ' || meeting_id || ' 1' WHEN meeting_id % 4 = 0 THEN '# Acta ' || meeting_id ELSE '' END AS acta FROM f GROUP BY folder, meeting_id""")
+def snk_save_meeting(spark, sf):
+    """What is in each saved folder, and the minutes in its document."""
+    files = saved_meetings(spark, sf)
+    acta = meeting_files.read_meetings(files).select("folder", F.coalesce("actaMarkdown", F.lit("")).alias("acta"))
+    names = files.groupBy("folder").agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_list("file")), "|").alias("names"))
+    return names.join(acta, "folder")
+
+
 @query(f"{WITH}, {MEETINGS} SELECT meeting_id, strftime(date, '%Y-%m-%d') || '_' || replace(regexp_replace(title, '[<>:\"/\\\\|?*]', '_', 'g'), ' ', '-') || '_' || (meeting_id::VARCHAR)[1:6] AS folder FROM meetings")
 def snk_file_naming(spark, sf):
     return meetings(spark, sf).select("meeting_id", exports.folder_name(F.col("date"), F.col("title"), F.col("meeting_id")).alias("folder"))
@@ -259,7 +277,14 @@ def dml_minutes_edit(spark, sf):
 # Generated texts
 
 
-@query()
+def _kept_marks(text: str) -> str:
+    """SQL of a text in which marks beside a digit are others, out of reach."""
+    for i, mark in enumerate(".,;:!?"):
+        text = rf"regexp_replace(regexp_replace({text}, '(\d)[{mark}]', '\1' || chr({0xE000 + i}), 'g'), '[{mark}](\d)', chr({0xE000 + i}) || '\1', 'g')"
+    return text
+
+
+@query(rf"SELECT doc_id, regexp_replace(translate(regexp_replace({_kept_marks('text')}, '[.,;:!?]', '', 'g'), {' || '.join(f'chr({0xE000 + i})' for i in range(6))}, '.,;:!?'), '^\s+|\s+$', '', 'g') AS text FROM documents")
 def str_clean_punct(spark, sf):
     return table(spark, sf, "documents").select("doc_id", minutes.clean_punctuation(F.col("text")).alias("text"))
 
@@ -272,18 +297,18 @@ def str_minutes_valid(spark, sf):
 
 @query()
 def str_complete_sentence(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", minutes.complete_sentences(F.substring("text", 1, 200)).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", minutes.complete_sentences(F.col("text")).alias("text"))
 
 
 @query()
 def str_sanitize_summary(spark, sf):
     lead = F.element_at(F.array(*[F.lit(x) for x in ("Resumen: ", "En esta reunión, se comenta que ", "Ninguno. ", "", "<|im_end|>")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", minutes.sanitize_summary(F.concat(lead, F.substring("text", 1, 200)), F.lit("antes"), "Acme").alias("text"))
+    return table(spark, sf, "documents").select("doc_id", minutes.sanitize_summary(F.concat(lead, "text"), F.lit("antes"), "Acme").alias("text"))
 
 
 @query()
 def str_sanitize_minutes(spark, sf):
-    body = F.concat(F.lit("# Acta\n## Participantes\n- SPEAKER_00\n- SPEAKER_01\n## Temas\nSPEAKER_01 propuso "), F.substring("text", 1, 60), F.lit("\n| SPEAKER_00 | tarea |\nsegún SPEAKER_01, sigue."))
+    body = F.concat(F.lit("# Acta\n## Participantes\n- SPEAKER_00\n- SPEAKER_01\n## Temas\nSPEAKER_01 propuso "), "text", F.lit("\n| SPEAKER_00 | tarea |\nsegún SPEAKER_01, sigue."))
     s = segments(spark, sf)
     return s.select("meeting_id", "ord", minutes.sanitize_minutes(body, F.array("speaker_name"), F.col("ord") % 2 == 1).alias("text"))
 
@@ -295,15 +320,29 @@ def str_prompts(spark, sf):
     return lines.select("meeting_id", minutes.prompt(F.lit("Resume."), F.col("meeting_id").cast("string"), F.col("lines")).alias("prompt"))
 
 
-@query()
+BARE = r"CASE WHEN regexp_replace(w, '[.,?!:;\-]+$', '') = '' THEN w ELSE regexp_replace(w, '[.,?!:;\-]+$', '') END"
+LEAD = r"length(regexp_extract(b, '^\P{L}*'))"
+
+
+@query(rf"{WITH}, t AS (SELECT meeting_id, ord, words, unnest({TOKENS}) AS w, unnest(range(words)) AS i FROM segments), b AS (SELECT *, {BARE} AS b FROM t), p AS (SELECT meeting_id, ord, i, CASE WHEN i = 0 THEN b[:{LEAD}] || upper(b[{LEAD} + 1:{LEAD} + 1]) || b[{LEAD} + 2:] ELSE b END || CASE WHEN i + 1 = words THEN '.' WHEN i % 7 = 6 THEN ',' ELSE '' END AS x FROM b), j AS (SELECT meeting_id, ord, string_agg(x, ' ' ORDER BY i) AS x FROM p GROUP BY ALL) SELECT s.meeting_id, s.ord, coalesce(regexp_replace(j.x, '[.,?!:;]+([.,?!:;])', '\1', 'g'), '') AS text FROM segments s LEFT JOIN j USING (meeting_id, ord)")
 def str_restore_punct(spark, sf):
     """Labels of a fake model: a comma every seventh word, a stop at the end."""
-    w = text.words(F.col("text"))
-    labels = F.transform(w, lambda x, i: F.when(i + 1 == F.size(w), ".").when(i % 7 == 6, ",").otherwise("0"))
-    return segments(spark, sf).select("meeting_id", "ord", minutes.restore_punctuation(w, labels).alias("text"))
+    w = segments(spark, sf).select("meeting_id", "ord", text.words(F.col("text")).alias("w"))
+    labels = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.when(i == F.size("w"), ".").when(i % 7 == 0, ",").otherwise("0"))
+    labels = F.when(F.size("w") > 0, labels).otherwise(F.array().cast("array<string>"))
+    return w.select("meeting_id", "ord", minutes.restore_punctuation(F.col("w"), labels).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE ceil(greatest(n - 200, 0) / 170)::BIGINT + 1 END AS windows FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: len(x) > 0)) AS n FROM documents WHERE text IS NOT NULL)")
 def win_word_windows(spark, sf):
     d = table(spark, sf, "documents").filter("text IS NOT NULL")
     return d.select("doc_id", F.size(minutes.word_windows(text.count_words(F.col("text")))).cast("long").alias("windows"))
+
+
+@query("WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: len(x) > 0)) AS n FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, n, unnest(range(n)) AS i FROM w), l AS (SELECT doc_id, string_agg(((i + least(i // 170 * 170, ceil(greatest(n - 200, 0) / 170)::BIGINT * 170)) % 5)::VARCHAR, '' ORDER BY i) AS labels FROM i GROUP BY doc_id) SELECT doc_id, coalesce(labels, '') AS labels FROM w LEFT JOIN l USING (doc_id)")
+def win_word_labels(spark, sf):
+    """Labels of a fake model that depend on word and window, one for each word."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", text.count_words(F.col("text")).alias("n"))
+    label = lambda start: lambda j: ((start + j + start) % 5).cast("string")
+    of = lambda start: F.struct(start.alias("start"), F.transform(F.sequence(F.lit(0), F.least(F.lit(200), F.col("n") - start) - 1), label(start)).alias("labels"))
+    return d.select("doc_id", F.array_join(minutes.window_labels(F.transform(minutes.word_windows(F.col("n")), of)), "").alias("labels"))

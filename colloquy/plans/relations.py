@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import timeline
+from ..operators.ranking import placed
 from .basic import TOKENS, VOCABULARY, vocabulary
 from .derived import MEETINGS, WITH, meetings, segments, spans, table
 from .registry import query
@@ -22,12 +23,15 @@ def jn_overlap_argmax(spark, sf):
     return timeline.overlap_argmax(segments(spark, sf), spans(spark, sf))
 
 
-GAP = "n AS (SELECT s.meeting_id, s.ord, p.speaker_id, p.ord AS p_ord, greatest(0, s.start_us - p.end_us, p.start_us - s.end_us) AS distance_us FROM segments s JOIN sparse p ON s.meeting_id = p.meeting_id AND greatest(0, s.start_us - p.end_us, p.start_us - s.end_us) < 1500000)"
+PAUSES = "pauses AS (SELECT meeting_id, ord, end_us + 400000 AS start_us, end_us + 500000 AS end_us FROM segments)"
+GAP = "n AS (SELECT s.meeting_id, s.ord, p.speaker_id, p.ord AS p_ord, greatest(0, s.start_us - p.end_us, p.start_us - s.end_us) AS distance_us FROM pauses s JOIN spans p ON s.meeting_id = p.meeting_id AND greatest(0, s.start_us - p.end_us, p.start_us - s.end_us) < 1500000)"
 
 
-@query(f"{WITH}, sparse AS (SELECT * FROM spans WHERE ord % 2 = 0), {GAP} SELECT meeting_id, ord, speaker_id AS speaker, distance_us FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, ord ORDER BY distance_us, p_ord) AS rn FROM n) WHERE rn = 1")
+@query(f"{WITH}, {PAUSES}, {GAP} SELECT meeting_id, ord, speaker_id AS speaker, distance_us FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, ord ORDER BY distance_us, p_ord) AS rn FROM n) WHERE rn = 1")
 def jn_nearest(spark, sf):
-    return timeline.nearest_span(segments(spark, sf), spans(spark, sf).filter("ord % 2 = 0"), 1_500_000)
+    """Who speaks nearest to a moment in the pause after each segment."""
+    pauses = segments(spark, sf).select("meeting_id", "ord", (F.col("end_us") + 400_000).alias("start_us"), (F.col("end_us") + 500_000).alias("end_us"))
+    return timeline.nearest_span(pauses, spans(spark, sf), 1_500_000)
 
 
 NAMES = "names AS (SELECT meeting_id, lower(speaker_id) AS k, min_by(speaker_name, ord) AS name FROM segments WHERE ord % 2 = 1 GROUP BY ALL)"
@@ -91,13 +95,14 @@ def jn_inventory_diff(spark, sf):
 
 @query(f"{WITH}, {MEETINGS} SELECT meeting_id, row_number() OVER (ORDER BY date DESC, start_us DESC NULLS LAST, meeting_id) AS place FROM meetings")
 def srt_meetings(spark, sf):
-    m = meetings(spark, sf)
-    return m.select("meeting_id", F.row_number().over(W.orderBy(F.desc("date"), F.desc_nulls_last("start_us"), "meeting_id")).alias("place"))
+    m = meetings(spark, sf).select("meeting_id", "date", "start_us")
+    return placed(m, F.desc("date"), F.desc_nulls_last("start_us"), F.asc("meeting_id")).select("meeting_id", "place")
 
 
 @query(f"WITH {VOCABULARY} SELECT item_id, word, rank() OVER (ORDER BY lower(word), word) AS place FROM vocab")
 def srt_vocab(spark, sf):
-    return vocabulary(spark, sf).select("item_id", "word", F.rank().over(W.orderBy(F.lower("word"), "word")).alias("place"))
+    v = vocabulary(spark, sf).select("item_id", "word", F.lower("word").alias("k"))
+    return placed(v, F.asc("k"), F.asc("word"), ties=True).select("item_id", "word", "place")
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")

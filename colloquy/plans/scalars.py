@@ -23,14 +23,14 @@ def str_count_words(spark, sf):
 INCOMPLETE = rf"""CASE WHEN length(trim(t)) = 0 THEN false ELSE regexp_matches(t, '[,:;\-–]$') OR NOT regexp_matches(t, '[.?!…]$')
   OR coalesce(regexp_matches(nxt, '^\s*\p{{Ll}}'), false)
   OR coalesce(list_contains({_list(INCOMPLETE_ENDINGS)}, lower(list_filter(string_split_regex(regexp_replace(t, '[.!?…,;:]+$', ''), '\s+'), lambda x: len(x) > 0)[-1])), false) END"""
-PAIRS = f"{WITH}, p AS (SELECT meeting_id, ord, trim(text[1:60], ' ' || chr(9) || chr(10) || chr(13)) AS t, trim(lead(text) OVER (PARTITION BY meeting_id ORDER BY ord)[1:40], ' ' || chr(9) || chr(10) || chr(13)) AS nxt FROM segments)"
+PAIRS = f"{WITH}, p AS (SELECT meeting_id, ord, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, trim(lead(text) OVER (PARTITION BY meeting_id ORDER BY ord), ' ' || chr(9) || chr(10) || chr(13)) AS nxt FROM segments)"
 
 
 def _pairs(spark, sf):
     from pyspark.sql import Window as W
 
-    following = F.substring(F.lead("text").over(W.partitionBy("meeting_id").orderBy("ord")), 1, 40)
-    return segments(spark, sf).select("meeting_id", "ord", F.substring("text", 1, 60).alias("t"), following.alias("nxt"))
+    following = F.lead("text").over(W.partitionBy("meeting_id").orderBy("ord"))
+    return segments(spark, sf).select("meeting_id", "ord", F.col("text").alias("t"), following.alias("nxt"))
 
 
 @query(f"{PAIRS} SELECT meeting_id, ord, {INCOMPLETE} AS incomplete FROM p")
@@ -47,14 +47,21 @@ SANITIZED = rf"""CASE WHEN length(t) > 1 AND ((starts_with(t, '[') AND ends_with
   WHEN len(list_filter({_list(HALLUCINATIONS)}, lambda p: contains(lower(c), p))) > 0 OR regexp_matches(c, '^[\p{{P}}\s]*$') OR length(c) < 2 THEN '' ELSE c END"""
 
 
-@query(rf"SELECT doc_id, {SANITIZED} AS clean FROM (SELECT doc_id, t, trim(regexp_replace(regexp_replace(t, '\[.*?\]|\(.*?\)', '', 'g'), '\s{{2,}}', ' ', 'g')) AS c FROM (SELECT doc_id, trim(CASE WHEN doc_id % 5 = 0 THEN '[Música]' WHEN doc_id % 5 = 1 THEN '(risas) ' || text[1:40] WHEN doc_id % 7 = 0 THEN text[1:20] || ' gracias por ver' WHEN doc_id % 11 = 0 THEN '...' ELSE text[1:80] END, chr(10) || ' ') AS t FROM documents))")
+@query(rf"SELECT doc_id, {SANITIZED} AS clean FROM (SELECT doc_id, t, trim(regexp_replace(regexp_replace(t, '\[.*?\]|\(.*?\)', '', 'g'), '\s{{2,}}', ' ', 'g')) AS c FROM (SELECT doc_id, trim(CASE WHEN doc_id % 5 = 0 THEN '[Música]' WHEN doc_id % 5 = 1 THEN '(risas) ' || text WHEN doc_id % 7 = 0 THEN text || ' gracias por ver' WHEN doc_id % 11 = 0 THEN '...' ELSE text END, chr(10) || ' ') AS t FROM documents))")
 def str_sanitize_asr(spark, sf):
     d, t = F.col("doc_id"), F.col("text")
-    heard = F.when(d % 5 == 0, F.lit("[Música]")).when(d % 5 == 1, F.concat(F.lit("(risas) "), F.substring(t, 1, 40))).when(d % 7 == 0, F.concat(F.substring(t, 1, 20), F.lit(" gracias por ver"))).when(d % 11 == 0, F.lit("...")).otherwise(F.substring(t, 1, 80))
+    heard = F.when(d % 5 == 0, F.lit("[Música]")).when(d % 5 == 1, F.concat(F.lit("(risas) "), t)).when(d % 7 == 0, F.concat(t, F.lit(" gracias por ver"))).when(d % 11 == 0, F.lit("...")).otherwise(t)
     return table(spark, sf, "documents").select("doc_id", text.sanitize_asr(heard).alias("clean"))
 
 
-@query()
+def _replaced(text: str, alias: str, word: str) -> str:
+    """SQL of a text with an alias replaced between what are no letters; twice, as neighbours share what is between them."""
+    for _ in range(2):
+        text = rf"regexp_replace({text}, '(^|[^\p{{L}}])(?i:{alias})([^\p{{L}}]|$)', '\1{word}\2', 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, {_replaced(_replaced(_replaced('text', 'thing', 'cosa'), 'the', 'ze'), 'and', 'y')} AS text FROM documents")
 def str_replace_aliases(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.replace_aliases(F.col("text"), [("the", "ze"), ("thing", "cosa"), ("and", "y")]).alias("text"))
 
@@ -65,9 +72,9 @@ def str_phonetic_aliases(spark, sf):
     return w.select("word", F.array_join(text.phonetic_aliases(F.col("word")), "|").alias("aliases"))
 
 
-@query(r"WITH p AS (SELECT doc_id, unnest(l) AS a, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text[1:300], '[,;\n\r]'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)), f AS (SELECT doc_id, min_by(a, i) AS a, min(i) AS i FROM p GROUP BY doc_id, lower(a)) SELECT doc_id, string_agg(a, '|' ORDER BY i) AS aliases FROM f GROUP BY doc_id")
+@query(r"WITH p AS (SELECT doc_id, unnest(l) AS a, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[,;\n\r]'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)), f AS (SELECT doc_id, min_by(a, i) AS a, min(i) AS i FROM p GROUP BY doc_id, lower(a)) SELECT doc_id, string_agg(a, '|' ORDER BY i) AS aliases FROM f GROUP BY doc_id")
 def str_parse_aliases(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(text.parse_aliases(F.substring("text", 1, 300)), "|").alias("aliases")).filter("aliases <> ''")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.parse_aliases(F.col("text")), "|").alias("aliases")).filter("aliases <> ''")
 
 
 @query(rf"SELECT item_id, 'Glosario: ' || array_to_string(({TOKENS})[1:5], ', ') || '.' AS prompt FROM benchmark WHERE len({TOKENS}) > 0")
@@ -102,31 +109,65 @@ LOOP = """CASE WHEN len(w) < 4 THEN NULL WHEN len(list_filter(range(1, len(w) -
  WHEN len(w) >= 15 AND len(list_distinct(w)) / len(w) < 0.25 THEN 0 END"""
 
 
-@query(f"SELECT doc_id, ({LOOP}) IS NOT NULL AS looped FROM (SELECT doc_id, list_transform({ASR}, lambda x: lower(x)) AS w FROM documents WHERE n_chars <= 20000)")
+# how many words in a row equal the one so many places on; a loop is a long enough run of them
+SHIFTED = ", ".join(f"w = lead(w, {n}) OVER p AS e{n}" for n in range(1, 6))
+LOOPED = " OR ".join(f"sum(e{n}::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {max(2 * n, 3) - 1} FOLLOWING) = {max(2 * n, 3)}" for n in range(1, 6))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_transform({ASR}, lambda x: lower(x)) AS a FROM documents), w AS (SELECT doc_id, unnest(a) AS w, unnest(range(len(a))) AS i FROM t),
+e AS (SELECT doc_id, i, {SHIFTED} FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)), r AS (SELECT doc_id, bool_or(coalesce(looped, false)) AS looped FROM (SELECT doc_id, {LOOPED} AS looped FROM e) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(r.looped, false) OR (len(a) >= 15 AND len(list_distinct(a)) / len(a) < 0.25) AS looped FROM t LEFT JOIN r USING (doc_id)""")
 def qa_ngram_loop(spark, sf):
-    return table(spark, sf, "documents").filter("n_chars <= 20000").select("doc_id", quality.ngram_loop(text.asr_words(F.col("text"))).isNotNull().alias("looped"))
+    return table(spark, sf, "documents").select("doc_id", quality.ngram_loop(text.asr_words(F.col("text"))).isNotNull().alias("looped"))
 
 
-def _glossary(spark, sf):
-    b = table(spark, sf, "benchmark").filter("item_id < 20")
-    return b.agg(F.collect_list(F.struct("item_id", F.substring("text", 1, 30).alias("t"))).alias("g")).select(F.transform(F.array_sort("g"), lambda x: x["t"]).alias("terms"))
+def _with_terms(spark, sf):
+    """Segments with the glossary of their meeting: twenty items each, all items over all meetings."""
+    b = table(spark, sf, "benchmark").filter("text IS NOT NULL")
+    glossaries = b.groupBy(F.floor(F.col("item_id") / 20).alias("g")).agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("t"))
+    glossaries = glossaries.select("g", F.transform("t", lambda x: x["text"]).alias("terms"))
+    groups = F.broadcast(b.agg((F.max(F.floor(F.col("item_id") / 20)) + 1).alias("n")))  # one row
+    s = segments(spark, sf).join(groups).withColumn("g", F.pmod("meeting_id", "n"))
+    return s.join(glossaries, "g", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
-@query()
+TERMS = "gl AS (SELECT item_id // 20 AS g, list(text ORDER BY item_id, text) AS terms FROM benchmark WHERE text IS NOT NULL GROUP BY ALL), gs AS (SELECT s.*, coalesce(gl.terms, []) AS terms FROM (SELECT *, meeting_id % (SELECT max(item_id // 20) + 1 FROM benchmark) AS g FROM segments) s LEFT JOIN gl USING (g))"
+# the words in order: a state of (place, matches) taken from word to word
+ECHO = rf"""ge AS (SELECT meeting_id, ord, w, len(terms) AS terms, list_filter(flatten(list_transform(terms, lambda t: string_split_regex(lower(t), '[ \t\r\n,.;:!?()\[\]"«»]+'))), lambda x: length(x) >= 2) AS g FROM (SELECT *, list_transform({ASR}, lambda x: lower(x)) AS w FROM gs)),
+gq AS (SELECT *, len(list_filter(w, lambda x: list_contains(g, x))) / len(w) AS share, len(list_filter(w, lambda x: list_contains({_list(FUNCTION_WORDS)}, x))) / len(w) AS usual, list_reduce(list_prepend({{'at': 0, 'n': 0, 'w': ''}}, list_transform(w, lambda x: {{'at': 0, 'n': 0, 'w': x}})),
+  lambda s, x: CASE WHEN s.at >= len(g) THEN s WHEN list_contains(g[s.at + 1:], x.w) THEN {{'at': s.at + list_position(g[s.at + 1:], x.w), 'n': s.n + 1, 'w': ''}} ELSE {{'at': len(g)::INT, 'n': s.n, 'w': ''}} END).n AS in_order FROM ge),
+gf AS (SELECT meeting_id, ord, CASE WHEN len(w) >= 5 AND len(g) > 0 AND share >= 0.70 AND usual < 0.15 THEN share WHEN len(w) >= 5 AND len(g) > 0 AND terms >= 5 AND in_order >= 5 AND in_order / len(w) >= 0.60 THEN in_order END AS echo FROM gq)"""
+
+
+@query(f"{WITH}, {TERMS}, {ECHO} SELECT meeting_id, ord, CASE WHEN echo IS NOT NULL THEN 'VocabularyEchoing' END AS type, round(echo, 6) AS metric FROM gf")
 def qa_vocab_echo(spark, sf):
-    s = segments(spark, sf).crossJoin(F.broadcast(_glossary(spark, sf)))  # one row of twenty terms
-    return s.select("meeting_id", "ord", quality.vocabulary_echo(text.asr_words(F.col("text")), F.col("terms")).alias("fault")).select("meeting_id", "ord", "fault.type", "fault.metric")
+    s = _with_terms(spark, sf).select("meeting_id", "ord", quality.vocabulary_echo(text.asr_words(F.col("text")), F.col("terms")).alias("fault"))
+    return s.select("meeting_id", "ord", "fault.type", F.round("fault.metric", 6).alias("metric"))
 
 
-@query(f"{WITH}, w AS (SELECT meeting_id, ord, list_transform({ASR}, lambda x: lower(x)) AS w, words * (CASE ord % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.1 ELSE 0.4 END)::DOUBLE AS s FROM segments) SELECT meeting_id, ord, CASE WHEN len(w) = 0 THEN NULL WHEN (s < 0.5 AND len(w) >= 3) OR (s < 1 AND len(w) >= 6) OR (s >= 1 AND len(w) / s > 8 AND len(w) >= 10) THEN 'SpeechRateExceeded' WHEN ({LOOP}) IS NOT NULL THEN 'NgramRepetitionLoop' END AS type FROM w")
+@query(f"{WITH}, {TERMS}, {ECHO}, w AS (SELECT meeting_id, ord, list_transform({ASR}, lambda x: lower(x)) AS w, words * (CASE ord % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.1 ELSE 0.4 END)::DOUBLE AS s FROM segments) SELECT meeting_id, ord, CASE WHEN len(w) = 0 THEN NULL WHEN (s < 0.5 AND len(w) >= 3) OR (s < 1 AND len(w) >= 6) OR (s >= 1 AND len(w) / s > 8 AND len(w) >= 10) THEN 'SpeechRateExceeded' WHEN ({LOOP}) IS NOT NULL THEN 'NgramRepetitionLoop' WHEN echo IS NOT NULL THEN 'VocabularyEchoing' END AS type FROM w JOIN gf USING (meeting_id, ord)")
 def qa_detect_anomaly(spark, sf):
-    return segments(spark, sf).select("meeting_id", "ord", quality.detect_anomaly(F.col("text"), _seconds())["type"].alias("type"))
+    return _with_terms(spark, sf).select("meeting_id", "ord", quality.detect_anomaly(F.col("text"), _seconds(), F.col("terms"))["type"].alias("type"))
+
+
+FAULTY = f"(len(w) > 0 AND ((s < 0.5 AND len(w) >= 3) OR (s < 1 AND len(w) >= 6) OR (s >= 1 AND len(w) / s > 8 AND len(w) >= 10) OR ({LOOP}) IS NOT NULL))"
 
 
-@query(rf"{WITH}, w AS (SELECT meeting_id, ord, {TOKENS} AS w, words * (CASE ord % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.1 ELSE 0.4 END)::DOUBLE AS s FROM segments) SELECT meeting_id, ord, len(w) > 4 AND s > 0.05 AND len(w) / s > 6 AS anomalous FROM w")
+@query(rf"""{WITH}, t AS (SELECT meeting_id, ord, words * (CASE ord % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.1 ELSE 0.4 END)::DOUBLE AS s, text, CASE WHEN ord % 4 = 0 THEN '' WHEN ord % 4 = 1 THEN 'Bien.' ELSE text END AS again FROM segments),
+h AS (SELECT meeting_id, ord, s, text, again, list_transform({ASR}, lambda x: lower(x)) AS w FROM t), g AS (SELECT *, {FAULTY} AS bad FROM h), a AS (SELECT *, CASE WHEN again = '' THEN false WHEN again = text THEN bad ELSE false END AS bad_again FROM g)
+SELECT meeting_id, ord, CASE WHEN NOT bad THEN text WHEN again <> '' AND NOT bad_again THEN again WHEN again = '' AND s < 0.6 THEN NULL ELSE '[Ininteligible / pendiente de revisión]' END AS text FROM a WHERE trim(text) <> ''""")
+def qa_region_recovery(spark, sf):
+    """A second hearing that is silent, clear, or the same as the first."""
+    again = F.when(F.col("ord") % 4 == 0, F.lit("")).when(F.col("ord") % 4 == 1, F.lit("Bien.")).otherwise(F.col("text"))
+    none = F.array().cast("array<string>")
+    s = segments(spark, sf).filter(~text.none_or_blank(F.col("text")))
+    return s.select("meeting_id", "ord", quality.recovered(F.col("text"), again, _seconds(), none).alias("text"))
+
+
+@query(rf"{WITH}, {TERMS}, w AS (SELECT meeting_id, ord, {TOKENS} AS w, list_distinct(flatten(list_transform(terms, lambda t: list_filter(string_split_regex(lower(t), '\s+'), lambda x: len(x) > 0)))) AS known, words * (CASE ord % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.1 ELSE 0.4 END)::DOUBLE AS s FROM gs), h AS (SELECT meeting_id, ord, s, len(w) AS n, len(known) AS k, array_to_string(list_transform(w, lambda x: CASE WHEN list_contains(known, regexp_replace(lower(x), '[^\p{{L}}\p{{Nd}}]', '', 'g')) THEN '1' ELSE '0' END), '') AS hits FROM w) SELECT meeting_id, ord, (n > 4 AND s > 0.05 AND n / s > 6) OR (n >= 4 AND k >= 4 AND length(replace(hits, '0', '')) / n >= 0.85 AND contains(hits, '1111')) AS anomalous FROM h")
 def qa_live_anomaly(spark, sf):
-    none = F.array(F.lit("zz"))
-    return segments(spark, sf).select("meeting_id", "ord", quality.live_anomaly(F.col("text"), _seconds(), none).alias("anomalous"))
+    known = F.array_distinct(F.flatten(F.transform("terms", lambda t: text.words(F.lower(t)))))
+    return _with_terms(spark, sf).select("meeting_id", "ord", quality.live_anomaly(F.col("text"), _seconds(), known).alias("anomalous"))
 
 
 @query()
@@ -141,9 +182,9 @@ def qa_validate_card(spark, sf):
 NORM = rf"trim(regexp_replace(regexp_replace(lower(trim(t)), '[^\p{{L}}\p{{Nd}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(rf"SELECT doc_id, CASE WHEN len(pre) > 0 THEN trim(n[length(pre[1]) + 1:]) ELSE n END AS norm FROM (SELECT doc_id, n, list_filter({_list(PREAMBLES)}, lambda p: starts_with(n, p)) AS pre FROM (SELECT doc_id, {NORM} AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Se ha comentado que ' || text[1:60] ELSE text[1:60] END AS t FROM documents)))")
+@query(rf"SELECT doc_id, CASE WHEN len(pre) > 0 THEN trim(n[length(pre[1]) + 1:]) ELSE n END AS norm FROM (SELECT doc_id, n, list_filter({_list(PREAMBLES)}, lambda p: starts_with(n, p)) AS pre FROM (SELECT doc_id, {NORM} AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Se ha comentado que ' || text ELSE text END AS t FROM documents)))")
 def str_normalize_sentence(spark, sf):
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Se ha comentado que "), F.substring("text", 1, 60))).otherwise(F.substring("text", 1, 60))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Se ha comentado que "), "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", text.normalize_sentence(t).alias("norm"))
 
 
@@ -199,12 +240,12 @@ def map_centroids(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.get(vectors.centroid_of(m, asked), F.lit(0)).alias("x"))
 
 
-@query()
+@query("WITH RECURSIVE l AS (SELECT o_orderkey AS id, o_orderkey // 10 * 10 + greatest(o_orderkey % 10 - 1, 0) AS target FROM orders), r AS (SELECT id, target, 0 AS step FROM l UNION ALL SELECT r.id, l.target, step + 1 FROM r JOIN l ON l.id = r.target WHERE l.target <> r.target) SELECT id, max_by(target, step) AS resolved FROM r GROUP BY id")
 def map_alias_chain(spark, sf):
-    """Every id resolved along its chain of aliases to the last one."""
+    """Every id resolved along its chain of aliases to the last one; every tenth stands for itself."""
     from ..operators.speakers import resolve_aliases
 
-    o = table(spark, sf, "orders").filter("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("n"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("n"))
     links = o.select("id", (F.floor(F.col("n") / 10) * 10 + F.greatest(F.col("n") % 10 - 1, F.lit(0))).alias("target"))
     return resolve_aliases(links)
 

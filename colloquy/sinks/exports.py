@@ -134,6 +134,49 @@ def folder_name(date: Column, title: Column, meeting_id: Column) -> Column:
     return F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("_"), safe_name(title), F.lit("_"), F.substring(meeting_id.cast("string"), 1, 6))
 
 
-def save_documents(documents: DataFrame, path: str, by: str = "meeting_date") -> None:
-    """Writes (by, meeting_id, document) partitioned by date; partitions that the rows do not touch stay."""
-    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def base_name(start: Column, title: Column) -> Column:
+    return F.concat(safe_name(title), F.lit("_"), F.date_format(start, "yyyy-MM-dd_HH-mm"))
+
+
+def version_file(created: Column, language: Column, detail: Column, version_id: Column) -> Column:
+    return F.concat(F.lit("acta_"), F.date_format(created, "yyyyMMdd_HHmmss"), F.lit("_"), F.lower(language), F.lit("_"), F.lower(detail), F.lit("_"), F.substring(version_id, 1, 6), F.lit(".md"))
+
+
+def meeting_files(meetings: DataFrame, participants: DataFrame, segments: DataFrame, cards: DataFrame, versions: DataFrame) -> DataFrame:
+    """(meeting_id, folder, file, content): every file of a meeting's folder.
+
+    The meeting as JSON, its transcript as Markdown and text, its summary if it
+    has one, its minutes, and the parameters that list them. ``versions``:
+    (meeting_id, version_id, created_at timestamp, language, detail, markdown,
+    active); they come with an index, and the active one (else the newest) is the meeting's minutes.
+    """
+    v = versions.withColumn("file", version_file(F.col("created_at"), F.col("language"), F.col("detail"), F.col("version_id")))
+    entry = F.struct(F.col("version_id").alias("id"), F.col("meeting_id").cast("string").alias("meetingId"), F.col("file").alias("fileName"), "language", F.col("detail").alias("detailLevel"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("createdAt"), F.col("markdown").alias("originalAiMarkdownContent"))
+    newest = F.max(F.struct(F.coalesce("active", F.lit(False)).alias("active"), "created_at", "version_id", "markdown"))
+    kept = v.groupBy("meeting_id").agg(newest.alias("_best"), F.array_sort(F.collect_list(F.struct("created_at", "version_id", entry.alias("e")))).alias("_index"))
+    m = meetings.join(kept, "meeting_id", "left").withColumn("acta", F.coalesce("_best.markdown", "acta"))
+    named = m.select("meeting_id", folder_name(F.col("date"), F.col("title"), F.col("meeting_id")).alias("folder"), base_name(F.coalesce("start_ts", F.col("date").cast("timestamp")), F.col("title")).alias("base"), "title", "date", "duration_us", "acta", "summary", "_best", "_index")
+    plain = m.drop("_best", "_index")
+
+    def of(documents: DataFrame, suffix: str) -> DataFrame:
+        return documents.join(named.select("meeting_id", "folder", "base"), "meeting_id").select("meeting_id", "folder", F.concat("base", F.lit(suffix)).alias("file"), F.col("document").alias("content"))
+
+    told = cards.select("meeting_id").union(meetings.filter(~none_or_blank(F.col("summary"))).select("meeting_id")).distinct()
+    summaries = summary_text(plain, cards).join(told, "meeting_id", "left_semi")
+    own = named.filter(~none_or_blank(F.col("acta"))).select("meeting_id", F.col("acta").alias("document"))
+    index = F.struct(F.col("meeting_id").cast("string").alias("meetingId"), F.col("_best.version_id").alias("activeVersionId"), F.transform("_index", lambda x: x["e"]).alias("versions"))
+    indexes = named.filter("_index IS NOT NULL").select("meeting_id", "folder", F.lit("actas/index.json").alias("file"), F.to_json(index).alias("content"))
+    texts = v.join(named.select("meeting_id", "folder"), "meeting_id").select("meeting_id", "folder", F.concat(F.lit("actas/"), "file").alias("file"), F.coalesce("markdown", F.lit("")).alias("content"))
+    files = of(meeting_json(plain, participants, segments), "_meeting.json").union(of(markdown(plain, participants, segments), "_transcript.md")).union(of(plain_text(plain, participants, segments), "_transcript.txt"))
+    files = files.union(of(summaries, "_resumen.txt")).union(of(own, "_acta.md")).union(indexes).union(texts)
+    listed = named.join(told.withColumn("_told", F.lit(True)), "meeting_id", "left")
+    file = lambda suffix, when=F.lit(True): F.when(when, F.concat("base", F.lit(suffix)))
+    made = F.struct(file("_meeting.json").alias("MeetingJson"), file("_transcript.md").alias("TranscriptMarkdown"), file("_transcript.txt").alias("TranscriptText"), file("_resumen.txt", F.col("_told")).alias("SummaryText"), file("_acta.md", ~none_or_blank(F.col("acta"))).alias("ActaMarkdown"))
+    parameters = F.struct(F.col("meeting_id").cast("string").alias("meetingId"), "title", F.date_format("date", "yyyy-MM-dd'T'00:00:00").alias("date"), interval_string(F.col("duration_us")).alias("duration"), made.alias("generatedFiles"))
+    return files.union(listed.select("meeting_id", "folder", F.concat("base", F.lit("_params.json")).alias("file"), F.to_json(parameters).alias("content")))
+
+
+def save_meetings(files: DataFrame, path: str, month: Column | None = None) -> None:
+    """Writes ``meeting_files`` as an archive, many folders in few files; months that the rows do not touch stay."""
+    month = F.substring("folder", 1, 7) if month is None else month
+    files.withColumn("month", month).repartition("month").sortWithinPartitions("folder", "file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)

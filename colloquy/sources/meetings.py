@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import first_spellings, none_or_blank, strip
@@ -19,23 +18,37 @@ VERSIONS = "versions array<struct<id:string,meetingId:string,fileName:string,lan
 VOCABULARY = "version int, terms array<struct<id:string,word:string,aliases:array<string>,createdAt:string>>"
 
 
-def folder_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+FILES = "folder string, file string, content string"
 
 
-def read_meetings(spark: SparkSession, root: str) -> DataFrame:
-    """Meetings of the folders right below ``root``, newest first, with their ``folder``.
+def folder_files(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, file, content) of the JSON and Markdown files of the meeting folders right below ``root``; ``file`` has ``actas/`` in front where it is a version of minutes."""
+    globs = [g for g in (f"{root}/*/*.json", f"{root}/*/*.md", f"{root}/*/actas/*") if _exists(spark, g)]
+    if not globs:
+        return spark.createDataFrame([], FILES)
+    path = F.col("_metadata.file_path")
+    parts = spark.read.text(globs, wholetext=True).select(F.regexp_extract(path, r"^(.*?)/(?:actas/)?[^/]*$", 1).alias("folder"), F.regexp_extract(path, r"((?:actas/)?[^/]*)$", 1).alias("file"), F.col("value").alias("content"))
+    return parts
+
+
+def archived_files(spark: SparkSession, path: str) -> DataFrame:
+    """The same of meetings that ``exports.save_meetings`` wrote: many folders in few files."""
+    return spark.read.parquet(path).select("folder", "file", "content")
+
+
+def read_meetings(files: DataFrame) -> DataFrame:
+    """Meetings of the folders that ``files`` holds, newest first, with their ``folder``.
 
     Folders being deleted (``.deleting_``) are passed over. A folder's document is
     ``*_meeting.json``, else ``meeting.json``, else the first JSON file that holds
     no parameters; files that do not parse are left out.
     """
-    files = spark.read.schema(MEETING + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/*/*.json").withColumn("path", F.col("_metadata.file_path"))
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    name = F.col("file")
     rank = F.when(name.endswith("_meeting.json"), 0).when(name == "meeting.json", 1).when(~name.rlike(r"(?:_params|parameters)\.json$"), 2)
-    ranked = files.withColumns({"folder": folder_of(F.col("path")), "_rank": rank, "_name": name}).filter(~F.col("folder").rlike(r"/\.deleting_[^/]*$") & F.col("_rank").isNotNull())
-    chosen = ranked.withColumn("_r", F.row_number().over(W.partitionBy("folder").orderBy("_rank", "_name"))).filter("_r = 1 AND _corrupt IS NULL AND id IS NOT NULL")
-    return chosen.drop("_r", "_rank", "_name", "_corrupt", "path").orderBy(F.desc("date"), F.desc_nulls_last("startTime"))
+    ranked = files.filter(name.endswith(".json") & ~F.contains(name, F.lit("/")) & ~F.col("folder").rlike(r"(?:^|/)\.deleting_[^/]*$")).withColumn("_rank", rank).filter("_rank IS NOT NULL")
+    chosen = ranked.groupBy("folder").agg(F.min_by("content", F.struct("_rank", "file")).alias("content"))
+    parsed = chosen.withColumn("m", F.from_json("content", MEETING + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    return parsed.select("m.*", "folder").filter("_corrupt IS NULL AND id IS NOT NULL").drop("_corrupt").orderBy(F.desc("date"), F.desc_nulls_last("startTime"))
 
 
 def meeting_by_id(meetings: DataFrame, meeting_id: str) -> DataFrame:
@@ -43,14 +56,11 @@ def meeting_by_id(meetings: DataFrame, meeting_id: str) -> DataFrame:
     return meetings.filter(F.col("id") == meeting_id).limit(1)
 
 
-def find_folder(spark: SparkSession, root: str, meeting_id: str) -> DataFrame:
+def find_folder(files: DataFrame, meeting_id: str) -> DataFrame:
     """(folder) of a meeting: only folders named by the id's beginning are read, all others if none of them is it."""
-    named = spark.read.schema("id string").option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{root}/*_{meeting_id[:6]}*") if _exists(spark, f"{root}/*_{meeting_id[:6]}*") else None
-    if named is not None:
-        found = named.filter(F.col("id") == meeting_id).select(folder_of(F.col("_metadata.file_path")).alias("folder")).distinct()
-        if not found.isEmpty():
-            return found
-    return read_meetings(spark, root).filter(F.col("id") == meeting_id).select("folder")
+    of = lambda some: read_meetings(some).filter(F.col("id") == meeting_id).select("folder")
+    named = of(files.filter(F.contains("folder", F.lit(f"_{meeting_id[:6]}"))))
+    return of(files) if named.isEmpty() else named
 
 
 def _exists(spark: SparkSession, glob: str) -> bool:
@@ -70,7 +80,7 @@ def participant_rows(meetings: DataFrame) -> DataFrame:
     return rows.select("meeting_id", "ord", F.col("p.id").alias("speaker_id"), F.col("p.displayName").alias("display_name"), F.col("p.colorHex").alias("color_hex"))
 
 
-def acta_versions(spark: SparkSession, root: str, meetings: DataFrame) -> DataFrame:
+def acta_versions(files: DataFrame, meetings: DataFrame) -> DataFrame:
     """(folder, meeting_id, version_id, language, created_at, markdown, legacy)
 
     Versions of ``actas/index.json`` with the text of their files; a missing file
@@ -78,20 +88,16 @@ def acta_versions(spark: SparkSession, root: str, meetings: DataFrame) -> DataFr
     legacy version, its ``*_acta.md`` or the minutes in its document.
     """
     own = meetings.select("folder", F.col("id").alias("meeting_id"), F.col("actaMarkdown").alias("_own"))
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
-    texts = texts.select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("_text"))
-    listed = None
-    if _exists(spark, f"{root}/*/actas/index.json"):
-        index = spark.read.schema(VERSIONS).option("multiLine", True).json(f"{root}/*/actas/index.json")
-        listed = index.select(folder_of(folder_of(F.col("_metadata.file_path"))).alias("folder"), F.explode("versions").alias("v"))
-        listed = listed.join(own, "folder").withColumn("_path", F.concat("folder", F.lit("/actas/"), "v.fileName")).join(texts, "_path", "left")
-        listed = listed.select("folder", "meeting_id", F.col("v.id").alias("version_id"), F.col("v.language").alias("language"), F.col("v.createdAt").alias("created_at"), F.coalesce("_text", "_own").alias("markdown"), F.lit(False).alias("legacy"))
-        own = own.join(listed.select("folder").distinct(), "folder", "left_anti")
-    beside = texts.filter(F.col("_path").rlike(r"_acta\.md$")).groupBy(folder_of(F.col("_path")).alias("folder")).agg(F.min_by("_text", "_path").alias("_text"))
+    index = files.filter("file = 'actas/index.json'").select("folder", F.explode(F.from_json("content", VERSIONS)["versions"]).alias("v"))
+    texts = files.filter(F.col("file").endswith(".md")).select("folder", "file", F.col("content").alias("_text"))
+    listed = index.join(own, "folder").withColumn("file", F.concat(F.lit("actas/"), "v.fileName")).join(texts, ["folder", "file"], "left")
+    listed = listed.select("folder", "meeting_id", F.col("v.id").alias("version_id"), F.col("v.language").alias("language"), F.col("v.createdAt").alias("created_at"), F.coalesce("_text", "_own").alias("markdown"), F.lit(False).alias("legacy"))
+    beside = texts.filter(F.col("file").rlike(r"^[^/]*_acta\.md$")).groupBy("folder").agg(F.min_by("_text", "file").alias("_text"))
     none = F.lit(None).cast("string")
-    legacy = own.join(beside, "folder", "left").withColumn("markdown", F.coalesce("_text", "_own")).filter(~none_or_blank(F.col("markdown")))
+    alone = own.join(index.select("folder").distinct(), "folder", "left_anti")
+    legacy = alone.join(beside, "folder", "left").withColumn("markdown", F.coalesce("_text", "_own")).filter(~none_or_blank(F.col("markdown")))
     legacy = legacy.select("folder", "meeting_id", F.concat(F.lit("legacy-"), "meeting_id").alias("version_id"), none.alias("language"), none.alias("created_at"), "markdown", F.lit(True).alias("legacy"))
-    return legacy if listed is None else listed.unionByName(legacy)
+    return listed.unionByName(legacy)
 
 
 def clean_aliases(aliases: Column) -> Column:

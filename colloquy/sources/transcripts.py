@@ -14,6 +14,7 @@ from ..functions.text import let, none_or_blank, strip
 SEGMENT = "struct<start_us:bigint,end_us:bigint,speaker:string,text:string>"
 SECOND = 1_000_000
 SLOT = 5 * SECOND
+# The stamps, lines, headings and tags of the formats.
 SRT_STAMP = r"(\d+):(\d{2}):(\d{2}),(\d{3})\s+-->\s+(\d+):(\d{2}):(\d{2}),(\d{3})"
 VTT_STAMP = r"(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})\s+-->\s+(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})"
 LINE = r"(?m)^\[(\d+):(\d{2}):(\d{2})\]\s+([^:]+?)\s*:\s*(.+)$"

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import quality, text
+from ..functions.cards import card_fault
 from ..operators.folds import SECOND, belongs, taken_up
 
 CHUNK, FRAME, RATE = 1600, 512, 16_000
@@ -249,15 +250,16 @@ class Cards(_Keyed):
     when its time has come (45 s for the first, then 60 s, by segment ends), and
     the segments that end after the last card have 25 words, 8 of them different;
     at the stop 10 and 4 are enough. ``model`` is asked again once if ``check``
-    finds a repetition; a card that fails leaves its segments for the next one.
+    (a reason against a card, or None) finds a repetition; a card that fails
+    leaves its segments for the next one.
     """
 
     SCHEMA = "segments array<struct<id:string,text:string,start_us:long,end_us:long>>, last_end long, last_card long, n long, previous string"
     OUT = "meeting_id string, card long, start_us long, end_us long, text string"
-    AGAIN = ("RepeatedSentence", "DegenerativeLoop", "SentenceDominance")
+    AGAIN = ("RepeatedSentence", "DegenerativeLoop")
 
-    def __init__(self, model: Callable[[str, int], str] = first_words, check: Callable[[str, str, str | None], str | None] | None = None):
-        self.model, self.check = model, check or (lambda card, window, previous: None)
+    def __init__(self, model: Callable[[str, int], str] = first_words, check: Callable[[str, str, str | None, int, int, int], str | None] = card_fault):
+        self.model, self.check = model, check
 
     def first(self):
         return [], 0, 0, 0, None
@@ -274,7 +276,7 @@ class Cards(_Keyed):
             window, end = " ".join(s[1] for s in segments), segments[-1][3]
             for again in range(2):
                 card = self.model(window, again)
-                fault = self.check(card, window, previous)
+                fault = self.check(card, window, previous, last_end, end, last_end)
                 if fault is None:
                     made.append((n, last_end, end, card.strip()))
                     last_end, last_card, n, previous = end, now, n + 1, card

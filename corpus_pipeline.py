@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents. The last adds how often the mix takes each document.
+
+In every stage rows that agree in id and text are one document, null ids stay
+ids of their own, and columns beside doc_id, text, lang and source pass through
+untouched, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from colloquy.llm.ngram_join import keep_first
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model recognises."""
+    """Documents whose language the model recognises; null texts and texts without a letter go. Equally near languages: the first in order."""
     own = docs.columns
     judged = identify(docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(own) if c not in ("doc_id", "text", "lang")}))
     kept = judged.filter(~F.col("rejected"))
@@ -27,7 +31,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat; one that has nothing else left goes."""
+    """Documents without the lines that repeat; one that has nothing else left goes.
+
+    Of equal windows the first by doc_id, then by a hash of the text, stays. Null and empty texts stay as they are; ``n_chars`` follows the text.
+    """
     done = dedup_lines(docs)
     left = (F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x09-\x0D\x20]"))
     kept = done.filter(left)
@@ -36,18 +43,24 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document of each group of near duplicates, by doc_id, then by a hash of the text; of repeated rows one.
+
+    Null texts and texts without words are groups of their own.
+    """
     return keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates; texts without words are clean."""
     judged = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return judged.filter(~F.col("contaminated")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``copies`` and the words taken."""
+    """The documents that the mix takes, with ``copies`` and the words taken.
+
+    Which ones is decided by hashes of id and text, so reruns agree; documents without words are never taken; null sources are one source.
+    """
     done = mix_sources(docs, keep=tuple(docs.columns))
     return done.filter("copies > 0").select(*docs.columns, "size", "copies", "taken", "target")
 

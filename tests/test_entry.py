@@ -1,6 +1,7 @@
 """What the entry module registers runs and, where there is SQL, equals it."""
 
 import math
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -44,3 +45,18 @@ def test_query_without_sql_runs(spark, name):
 def test_library_stands_without_the_optional_part():
     code = "import sys; sys.modules['colloquy.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'agg_speaker_stats' in q and not any(n.startswith('op') for n in q) and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent)
+
+
+def test_library_stands_where_the_optional_part_is_deleted(tmp_path):
+    root = Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    code = "import importlib, pkgutil, colloquy; [importlib.import_module(m.name) for m in pkgutil.walk_packages(colloquy.__path__, 'colloquy.')]; import __spark_entry__ as e, bench; assert 'agg_speaker_stats' in e.queries() and not any(n.startswith('op') for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path / "repo")
+    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], check=True, cwd=tmp_path / "repo", stdout=subprocess.DEVNULL)
+
+
+@pytest.mark.skipif(entry.llm_queries is None, reason="the optional part is not here")
+def test_other_import_errors_are_not_swallowed():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True)
+    assert done.returncode and "xxhash" in done.stderr

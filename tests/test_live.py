@@ -2,7 +2,10 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from colloquy.functions import quality
+from colloquy.functions.cards import card_fault
 from colloquy.streaming import live
 
 S = 1_000_000
@@ -34,13 +37,32 @@ def test_cards_wait_for_time_and_words(spark):
 
 def test_card_with_a_loop_is_asked_for_again(spark):
     rows = [segment(0, WORDS + " " + WORDS, 0, 50)]
-    check = lambda card, window, previous: "DegenerativeLoop" if card == "bad" else None
+    check = lambda card, *_: "DegenerativeLoop" if card == "bad" else None
     done = live.run(spark.createDataFrame(rows, SCHEMA), "meeting_id", live.Cards(lambda window, again: "good" if again else "bad", check)).collect()
     assert [r.text for r in done] == ["good"]
-    never = live.Cards(lambda window, again: "bad", lambda card, window, previous: "SemanticDisconnect")
+    never = live.Cards(lambda window, again: "bad", lambda card, *_: "SemanticDisconnect")
     assert live.run(spark.createDataFrame(rows, SCHEMA), "meeting_id", never).collect() == []
 
 
+def test_cards_are_checked_as_the_columns_are(spark):
+    good = "El equipo acuerda revisar el presupuesto del proyecto durante la próxima semana."
+    cards = [
+        (good, "Se habla del presupuesto del proyecto y de quién lo va a revisar la semana que viene.", None, 0, 9, 0),
+        (good, "otra cosa distinta totalmente sobre viajes familiares vacaciones montañas playas", None, 0, 9, 0),
+        (good, good, None, 9, 9, 0), (good, good, None, 0, 5, 7), (good, good, good, 0, 9, 0), ("  ", good, None, 0, 9, 0), ("corto", good, None, 0, 9, 0), (None, good, None, 0, 9, 0),
+        ("Revisar el presupuesto ya. Revisar el presupuesto ya.", good, None, 0, 9, 0),
+        ("se dice que se dice que se dice que nada", good, None, 0, 9, 0),
+        ("uno dos tres cuatro uno dos tres cuatro x uno dos tres cuatro", good, None, 0, 9, 0),
+        ("El equipo revisa el presupuesto anual del proyecto nuevo. El equipo también revisa el presupuesto anual del proyecto nuevo. Nada más se comenta hoy aquí por ahora en la sala.", good, None, 0, 9, 0),
+        (" ".join(f"palabra{i}" for i in range(97)) + ".", good, None, 0, 9, 0),
+    ]
+    schema = "card string, heard string, previous string, start_us long, end_us long, upto long"
+    reason = quality.validate_card(*map(F.col, ("card", "heard", "previous", "start_us", "end_us", "upto")))
+    want = [r.reason for r in spark.createDataFrame(cards, schema).select(reason.alias("reason")).collect()]
+    assert [card_fault(*c) for c in cards] == want
+    assert {None, "SemanticDisconnect", "InvalidTimeRange", "DuplicateOfPreviousCard", "EmptyOrTooShort", "RepeatedSentence", "DegenerativeLoop", "SentenceDominance", "ExcessiveLength"} == set(want)
+
+
 def test_speech_sessions(spark):
     probs = [0.9] * 3 + [0.4] * 50 + [0.1] * 41 + [0.9] + [0.1] * 60
     rows = [("m", i, p) for i, p in enumerate(probs)]

@@ -93,12 +93,12 @@ def test_meeting_folders(spark, meeting, tmp_path):
     (tmp_path / "2024_a_1" / "actas" / "index.json").write_text(json.dumps({"versions": [{"id": "v1", "fileName": "v1.md"}, {"id": "v2", "fileName": "gone.md"}]}))
     (tmp_path / "2024_a_1" / "actas" / "v1.md").write_text("# Uno")
     (tmp_path / "2024_b_2" / "x_acta.md").write_text("# Antes")
-    found = meetings.read_meetings(spark, str(tmp_path))
+    found = meetings.read_meetings(meetings.folder_files(spark, str(tmp_path)))
     assert [r.id for r in found.collect()] == ["2", "1"]
     assert [(r.ord, r.start_us, r.text) for r in meetings.transcript_rows(found).collect()] == [(0, 0, "Hola."), (1, 65 * S, "Adiós.")]
-    versions = {r.version_id: (r.markdown, r.legacy) for r in meetings.acta_versions(spark, str(tmp_path), found).collect()}
+    versions = {r.version_id: (r.markdown, r.legacy) for r in meetings.acta_versions(meetings.folder_files(spark, str(tmp_path)), found).collect()}
     assert versions == {"v1": ("# Uno", False), "v2": (None, False), "legacy-2": ("# Antes", True)}
-    assert meetings.find_folder(spark, str(tmp_path), "1").first().folder.endswith("2024_a_1")
+    assert meetings.find_folder(meetings.folder_files(spark, str(tmp_path)), "1").first().folder.endswith("2024_a_1")
     assert meetings.meeting_by_id(found, "2").count() == 1
 
 
