@@ -3,7 +3,7 @@
 Texts are cut at white space; each pre-token gets the word mark in front. The
 distinct pre-tokens of a batch are sorted into a trie (a node is a prefix shared
 by neighbouring rows), and the best score and token count of each prefix are
-computed once per node, depth by depth. A pre-token's count stands at its
+computed once per node: depth by depth, and along each path for long pre-tokens. A pre-token's count stands at its
 terminal node. Characters that no piece covers cost ``UNKNOWN`` below the least
 piece and count as their UTF-8 bytes (byte fallback).
 
@@ -12,12 +12,14 @@ are ranked, and a piece of rank r scores -log(r + 2.7).
 
 Defined results: null and empty texts have no tokens; of equal scores the
 segmentation with fewer tokens counts; repeated rows count alike; an empty table
-gives no rows; other columns pass through.
+gives no rows; other columns pass through, but for those named ``n_pretokens``
+or ``n_tokens``, which are replaced.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
-#: Longer pre-tokens are counted one by one; as rows of a trie they would pad all others.
+#: The trie is walked level by level for pre-tokens up to this length, path by path for longer ones, which would pad all others.
 LONG = 64
 ROWS = 100_000
-KNOWN = 2_000_000
+#: So many pre-tokens up to that length are remembered.
+KNOWN = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TIE = 1e-9
 
@@ -66,14 +69,26 @@ def _prefix_hashes(matrix: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shared(a: str, b: str) -> int:
+    """How many characters two strings begin with alike."""
+    if b.startswith(a):
+        return len(a)
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return low
+
+
 class UnigramTrie:
-    """Counts of pre-tokens; those counted before are remembered, KNOWN at most."""
+    """Counts of pre-tokens; those counted before are remembered."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
         self.counts: dict[str, int] = {}
+        self.passing: list[str] = []
         hashes = {}
         for piece, score in scores.items():
             hashes[int(_prefix_hashes(_codes(piece)[None])[-1, 0])] = score
@@ -92,29 +107,34 @@ class UnigramTrie:
         out[near[hit]] = self.values[at[hit]]
         return out
 
-    def alone(self, word: str) -> int:
-        best, count = [0.0], [0]
-        for d in range(1, len(word) + 1):
-            score, n = best[d - 1] + self.unknown, count[d - 1] + len(word[d - 1].encode("utf-8", "surrogatepass"))
-            for length in range(1, min(d, self.longest) + 1):
-                piece = self.scores.get(word[d - length : d])
-                if piece is not None:
-                    s, c = best[d - length] + piece, count[d - length] + 1
-                    if s > score + _TIE or (s > score - _TIE and c < n):
-                        score, n = s, c
-            best.append(score)
-            count.append(n)
-        return count[-1]
+    def _paths(self, words: list[str]) -> Iterator[int]:
+        """Counts of sorted pre-tokens, one path of the trie after the other; a path goes on from what it shares with the one before."""
+        best, count, before = array("d", [0.0]), array("q", [0]), ""
+        for word in words:
+            shared = _shared(before, word)
+            del best[shared + 1 :], count[shared + 1 :]
+            for d in range(shared + 1, len(word) + 1):
+                score, n = best[d - 1] + self.unknown, count[d - 1] + len(word[d - 1].encode("utf-8", "surrogatepass"))
+                for length in range(1, min(d, self.longest) + 1):
+                    piece = self.scores.get(word[d - length : d])
+                    if piece is not None:
+                        s, c = best[d - length] + piece, count[d - length] + 1
+                        if s > score + _TIE or (s > score - _TIE and c < n):
+                            score, n = s, c
+                best.append(score)
+                count.append(n)
+            before = word
+            yield count[-1]
 
     def grow(self, words: list[str]) -> None:
-        """Counts the pre-tokens that are not known yet."""
-        new = sorted(w for w in set(words) if w not in self.counts)
-        if len(self.counts) + len(new) > KNOWN:
+        """Counts the pre-tokens that are not known yet; long ones are forgotten with the next words."""
+        for w in self.passing:
+            self.counts.pop(w, None)
+        if len(self.counts) > KNOWN:
             self.counts.clear()
-            new = sorted(set(words))
-        for w in new:
-            if len(w) > LONG:
-                self.counts[w] = self.alone(w)
+        new = sorted(w for w in set(words) if w not in self.counts)
+        self.passing = [w for w in new if len(w) > LONG]
+        self.counts.update(zip(self.passing, self._paths(self.passing)))
         short = [w for w in new if len(w) <= LONG]
         for i in range(0, len(short), ROWS):
             rows = short[i : i + ROWS]
