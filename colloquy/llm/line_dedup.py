@@ -9,7 +9,8 @@ covered positions merge by set difference over line numbers.
 Defined results: null text gives null text and no lines; an empty text is one
 empty line; texts of fewer than three lines have no window and stay whole;
 windows of blank lines alone are no windows; rows that agree in id and text are
-one document and are all treated as it; other columns are passed through
+one document, so each of them keeps what the document keeps (its lines are not
+later occurrences of themselves); other columns are passed through
 (``n_lines`` and ``n_removed`` are replaced).
 """
 
@@ -64,19 +65,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 LINE_DEDUP_SQL = """
-WITH lined AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {documents}),
+WITH lined AS (SELECT doc_id, k, text, string_split(text, chr(10)) AS lines FROM (SELECT DISTINCT doc_id, text, coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '') AS k FROM {documents})),
 win AS (
-  SELECT doc_id, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS w
-  FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM lined WHERE len(lines) >= 3)),
+  SELECT doc_id, k, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS w
+  FROM (SELECT doc_id, k, lines, unnest(range(0, len(lines) - 2)) AS pos FROM lined WHERE len(lines) >= 3)),
 later AS (
-  SELECT doc_id, pos FROM (
-    SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, pos) AS rn FROM win
+  SELECT k, pos FROM (
+    SELECT k, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, k, pos) AS rn FROM win
     WHERE regexp_matches(w, '[^\\x09-\\x0D\\x20]'))
   WHERE rn > 1),
-gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM later, (SELECT unnest(range(0, 3)) AS j)),
+gone AS (SELECT DISTINCT k, pos + j AS pos FROM later, (SELECT unnest(range(0, 3)) AS j)),
 parts AS (
-  SELECT doc_id, pos, lines[pos + 1] AS line FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS pos FROM lined)),
+  SELECT k, pos, lines[pos + 1] AS line FROM (SELECT k, lines, unnest(range(0, len(lines))) AS pos FROM lined)),
 kept AS (
-  SELECT p.doc_id, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS NULL THEN p.line END, chr(10) ORDER BY p.pos) AS text
-  FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+  SELECT p.k, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS NULL THEN p.line END, chr(10) ORDER BY p.pos) AS text
+  FROM parts p LEFT JOIN gone g ON p.k = g.k AND p.pos = g.pos GROUP BY p.k)
 """

@@ -70,7 +70,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": LINE_DEDUP_SQL.format(documents="documents")
-        + "SELECT l.doc_id, coalesce(len(l.lines), 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM lined l LEFT JOIN kept k ON l.doc_id = k.doc_id",
+        + "SELECT l.doc_id, coalesce(len(l.lines), 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d JOIN lined l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text IS NOT DISTINCT FROM l.text LEFT JOIN kept k ON l.k = k.k",
         "op4_decontamination": DECONTAMINATION_SQL.format(documents="documents") + "SELECT doc_id, n_words, n_hit, n_items, sha256(joined) AS items_sha256, contaminated FROM judged",
         "op5_url_filters": URL_SQL,
         "op8_mixing": MIX_SQL.format(documents="documents"),
