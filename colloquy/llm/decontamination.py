@@ -113,15 +113,16 @@ def _matches(width: int):
         for batch in batches:
             out = []
             for doc_id, key, text, many in zip(batch["doc_id"], batch["_k"], batch["text"], batch["lines"]):
-                words = places(text)
+                numbers = {w: i for i, w in enumerate({w for line in many for w in line["words"]})}
+                words = np.fromiter((numbers.get(w, -1) for w in places(text)), np.int64)
                 hit, found = np.zeros(len(words), bool), set()
                 for line in many:
-                    item, delta, n = line["words"], line["delta"], len(line["words"])
+                    item, delta, n = np.fromiter((numbers[w] for w in line["words"]), np.int64), line["delta"], len(line["words"])
                     need = min(width, n)
                     low, high = max(0, -delta), min(n, len(words) - delta)
                     if high - low < need:
                         continue
-                    same = np.asarray(words[low + delta : high + delta]) == np.asarray(item[low:high])
+                    same = words[low + delta : high + delta] == item[low:high]
                     sums = np.concatenate(([0], np.cumsum(same)))
                     whole = np.flatnonzero(sums[need:] - sums[:-need] == need)
                     for s in whole:
