@@ -8,7 +8,7 @@ url's candidate strings by one vectorised binary search a batch, and compare the
 stored string of every hit, so that a digest collision never decides a verdict.
 
 The file reaches executors through ``SparkContext.addFile`` from the shared
-checkpoint folder. It holds ``max_rules`` rules at most; a larger rule table is
+checkpoint folder. It holds ``max_rules`` rules and ``MAX_BYTES`` of text at most; a larger rule table is
 joined on the candidate strings instead, with the same result. Candidates are made
 for the ``LENGTHS`` shortest path lengths; rules with longer paths are joined on the
 host and the start of the path that all of them reach, then compared in full.
@@ -36,7 +36,8 @@ from .common import lower_ascii, shared_checkpoints
 
 #: Seed with which Spark's xxhash64 hashes a string column.
 SEED = 42
-MAX_RULES = 20_000_000
+#: A larger rule table is joined; the packed file passes through the driver.
+MAX_RULES, MAX_BYTES = 1_000_000, 64 << 20
 #: So many path lengths of rules are probed by candidates, the shortest first; longer rules are joined.
 LENGTHS = 1024
 PROBED = "rule string, verdict string"
@@ -182,14 +183,17 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame,
     if isinstance(rules, DataFrame):
         rules = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))
     else:
-        rules = spark.createDataFrame(sorted({r: max(v for q, v in rules if q == r) for r, _ in rules}.items()), "rule string, verdict string")
+        best: dict[str, str] = {}
+        for rule, verdict in rules:
+            best[rule] = max(verdict, best.get(rule, verdict))
+        rules = spark.createDataFrame(sorted(best.items()), "rule string, verdict string")
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     lengths = [r[0] for r in rules.select(F.length("rule") - F.length(F.substring_index("rule", "/", 1))).distinct().orderBy(F.lit(1)).limit(LENGTHS + 1).collect()]
     lengths, longer = lengths[:LENGTHS], lengths[LENGTHS:]
     sited = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
     sited = sited.withColumn("_candidates", candidates_of(F.col("_host"), F.col("_path"), lengths) if lengths else F.array().cast("array<string>"))
-    head = rules.limit(max_rules + 1).count()
-    if head > max_rules:
+    size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("rule")), F.lit(0)).alias("bytes")).first()
+    if size["n"] > max_rules or size["bytes"] > MAX_BYTES:
         done = _joined(sited, rules, default)
     else:
         name = publish(spark, {r["rule"]: r["verdict"] for r in rules.toLocalIterator()})
