@@ -1,13 +1,16 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids come from balanced k-means on a bounded sample (``sample`` vectors,
-those with the smallest hashes); their number follows the number of vectors up
-to ``most_lists``. Every vector goes to its nearest centroid's posting list, and
-boundary vectors also to others at most ``1 + spread`` times as far, ``replicas``
-at most. Centroids are searched by best-first search on their neighbour graph,
-in memory. A query reads the lists whose centroid is at most ``1 + reach`` times
-as far as the nearest one; nothing else limits how many. Lists longer than
-``list_limit`` are dealt out in shards.
+Centroids come from balanced k-means on a bounded sample (``sample`` vectors, or
+eight for each list, those with the smallest hashes). There is a list for every
+``list_size`` vectors up to ``LISTS`` lists, beyond that as many as the root of
+the number of vectors, so a query's work grows with that root. Every vector goes to its
+nearest centroid's posting list, and boundary vectors also to others at most
+``1 + spread`` times as far, ``replicas`` at most. Centroids are searched by
+best-first search on their neighbour graph, in memory. A query reads the lists
+whose centroid is at most ``1 + reach`` times as far as the nearest one; nothing
+else limits how many: a search whose whole beam is that near is made again with
+a wider one. Lists longer than ``list_limit`` are dealt out in shards, and so are
+the queries that read one.
 
 Equal vectors are one entry that carries its ``k + 1`` smallest ids: by the tie
 rule no other of them can be an answer. So neither a hot vector nor the queries
@@ -31,6 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Up to so many lists their number is in proportion to the vectors.
+LISTS = 2048
+
 
 def unit(v: np.ndarray) -> np.ndarray:
     # scaled by the largest component first, so that very small and very large vectors keep their direction
@@ -60,29 +66,43 @@ class CentroidGraph:
     """Each centroid's nearest centroids, and best-first search along them."""
 
     def __init__(self, centroids: np.ndarray, degree: int = 24, entries: int = 16):
-        self.c = centroids
-        near = centroids @ centroids.T
-        np.fill_diagonal(near, -2)
-        self.links = np.argsort(-near, axis=1)[:, : min(degree, len(centroids) - 1)]
-        self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(entries, len(centroids))).astype(int))
+        self.c, n = centroids, len(centroids)
+        degree = min(degree, n - 1)
+        self.links = np.empty((n, degree), np.int64)
+        for start in range(0, n, 1000):
+            near = centroids[start : start + 1000] @ centroids.T
+            near[np.arange(len(near)), np.arange(start, start + len(near))] = -2
+            self.links[start : start + 1000] = np.argsort(-near, axis=1)[:, :degree]
+        self.entries = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(int))
 
     def search(self, v: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cosines) of about the ``beam`` nearest centroids of each row, nearest first."""
-        beam, rows = min(beam, len(self.c)), np.arange(len(v))
-        seen, opened = np.full((len(v), len(self.c)), -2.0), np.zeros((len(v), len(self.c)), bool)
-        seen[:, self.entries] = v @ self.c[self.entries].T
-        active = rows
+        """(ids, cosines) of about the ``beam`` nearest centroids of each row, nearest first; -2 for none."""
+        n, beam = len(v), min(beam, len(self.c))
+        ids, cosines, opened = np.zeros((n, beam), np.int64), np.full((n, beam), -2.0), np.zeros((n, beam), bool)
+        seen = np.zeros((n, len(self.c)), bool)
+
+        def put(rows: np.ndarray, links: np.ndarray) -> None:
+            """The nearest of what the rows hold and of these centroids stay."""
+            found = np.einsum("nd,nkd->nk", v[rows], self.c[links])
+            found[seen[rows[:, None], links]] = -2
+            seen[rows[:, None], links] = True
+            all_cosines = np.concatenate((cosines[rows], found), axis=1)
+            best = np.argsort(-all_cosines, axis=1, kind="stable")[:, :beam]
+            ids[rows] = np.take_along_axis(np.concatenate((ids[rows], links), axis=1), best, axis=1)
+            opened[rows] = np.take_along_axis(np.concatenate((opened[rows], np.zeros(links.shape, bool)), axis=1), best, axis=1)
+            cosines[rows] = np.take_along_axis(all_cosines, best, axis=1)
+
+        active = np.arange(n)
+        put(active, np.broadcast_to(self.entries, (n, len(self.entries))))
         while len(active):
-            cosines = np.where(opened[active], -2.0, seen[active])
-            at = np.argmax(cosines, axis=1)
-            worst = -np.partition(-seen[active], beam - 1, axis=1)[:, beam - 1]
-            going = (cosines[np.arange(len(active)), at] > -2) & (cosines[np.arange(len(active)), at] >= worst)
+            left = np.where(opened[active], -2.0, cosines[active])
+            at = np.argmax(left, axis=1)
+            going = left[np.arange(len(active)), at] > -2
             active, at = active[going], at[going]
             opened[active, at] = True
-            links = self.links[at]
-            seen[active[:, None], links] = np.einsum("nd,nkd->nk", v[active], self.c[links])
-        ids = np.argsort(-seen, axis=1, kind="stable")[:, :beam]
-        return ids, np.take_along_axis(seen, ids, axis=1)
+            if len(active) and self.links.shape[1]:
+                put(active, self.links[ids[active, at]])
+        return ids, cosines
 
 
 def _distances(cosines: np.ndarray) -> np.ndarray:
@@ -90,18 +110,25 @@ def _distances(cosines: np.ndarray) -> np.ndarray:
 
 
 def routes(graph: CentroidGraph, v: np.ndarray, ratio: float, most: int | None, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of the lists within the distance ratio of each row's nearest."""
-    out_row, out_list = [], []
-    for start in range(0, len(v), 1000):
-        part = v[start : start + 1000]
-        ids, cosines = graph.search(part, beam if most is None else max(beam, most))
+    """(row, list) of the lists within the distance ratio of each row's nearest, the ``most`` nearest of them."""
+    out_row, out_list = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at_once = max(1, min(1000, 20_000_000 // len(graph.c)))
+    waiting = [(np.arange(start, min(start + at_once, len(v))), beam) for start in range(0, len(v), at_once)]
+    while waiting:
+        rows, wide = waiting.pop()
+        ids, cosines = graph.search(v[rows], wide)
         d = _distances(cosines)
         take = (d <= (1 + ratio) * d[:, :1] + 1e-12) & (cosines > -2)
         take[:, 0] = True
         if most is not None:
             take[:, most:] = False
+        elif wide < len(graph.c):
+            full = take.all(axis=1)
+            if full.any():  # there may be more as near
+                waiting.append((rows[full], 2 * wide))
+            rows, ids, take = rows[~full], ids[~full], take[~full]
         r, j = np.nonzero(take)
-        out_row.append(r + start)
+        out_row.append(rows[r])
         out_list.append(ids[r, j])
     return np.concatenate(out_row), np.concatenate(out_list)
 
@@ -123,7 +150,7 @@ def entries_of(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", *, list_size: int = 256, most_lists: int = 2048, sample: int = 20_000, replicas: int = 4, spread: float = 0.08, reach: float = 0.25, beam: int = 256, list_limit: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", *, list_size: int = 256, sample: int = 20_000, replicas: int = 4, spread: float = 0.08, reach: float = 0.25, beam: int = 256, list_limit: int = 2048, query_limit: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row that ``is_query`` (over vec_id)."""
     rows = cut(usable(vectors, vec_id, embedding))
     entries = cut(entries_of(rows, k))
@@ -131,8 +158,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
-    chosen = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()
-    centroids = balanced_centroids(unit(np.array([r["v"] for r in chosen])), int(np.clip(n // list_size, 1, most_lists)))
+    n_lists = int(np.clip(n // list_size, 1, max(LISTS, n**0.5)))
+    chosen = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(max(sample, 8 * n_lists)).toPandas()
+    centroids = balanced_centroids(unit(np.stack(chosen["v"])), n_lists)
     graph = CentroidGraph(centroids)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,31 +172,37 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                r, lists = routes(graph, unit(np.stack(batch["v"])), reach, None, max(beam, len(centroids) // 2))
+                r, lists = routes(graph, unit(np.stack(batch["v"])), reach, None, beam)
                 yield batch.iloc[r].assign(list=lists.astype("int32"))
 
     posted = cut(entries.mapInPandas(post, "v array<double>, ids array<long>, list int"))
     shards = cut(posted.groupBy("list").agg(F.ceil(F.count("*") / list_limit).cast("int").alias("shards")))
     shard = F.pmod(F.xxhash64("v"), F.col("of")).cast("int")
-    posted = posted.join(shards.toDF("list", "of"), "list").select("v", "ids", "list", shard.alias("shard"))
     queries = rows.filter(is_query)
     asked = cut(queries.groupBy("v").agg(F.min("vec_id").alias("asked")))
-    wanted = asked.mapInPandas(route, "v array<double>, asked long, list int").join(shards.toDF("list", "upto"), "list")
-    wanted = wanted.select("v", "asked", "list", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("shard"))
+    wanted = cut(asked.mapInPandas(route, "v array<double>, asked long, list int"))
+    readers = wanted.groupBy("list").agg(F.ceil(F.count("*") / query_limit).cast("int").alias("readers"))
+    parts = cut(shards.join(readers, "list"))
+    shard, reader = F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"), F.pmod(F.xxhash64("v"), F.col("readers")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    posted = posted.join(parts, "list").select("v", "ids", "list", shard.alias("shard"), upto("readers").alias("reader"))
+    wanted = wanted.join(parts, "list").select("v", "asked", "list", upto("shards").alias("shard"), reader.alias("reader"))
 
     def score(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         made = [np.empty(0, int), np.empty(0, int), np.empty(0)]
         if len(q) and len(p):
-            a, b = unit(np.stack(q["v"])), unit(np.stack(p["v"]))
-            s = a @ b.T
-            # each query's k + 1 nearest entries of this shard, and what ties with the last of them
-            last = -np.partition(-s, k, axis=1)[:, k : k + 1] if s.shape[1] > k + 1 else np.full((len(s), 1), -2.0)
-            i, j = np.nonzero(s >= last - 1e-9)
-            made = [i, j, np.clip(np.einsum("nd,nd->n", a[i], b[j]), -1, 1)]
+            a, b, found = unit(np.stack(q["v"])), unit(np.stack(p["v"])), []
+            for start in range(0, len(a), 512):
+                s = a[start : start + 512] @ b.T
+                # each query's k + 1 nearest entries of this shard, and what ties with the last of them
+                last = -np.partition(-s, k, axis=1)[:, k : k + 1] if s.shape[1] > k + 1 else np.full((len(s), 1), -2.0)
+                i, j = np.nonzero(s >= last - 1e-9)
+                found.append((i + start, j, np.clip(np.einsum("nd,nd->n", a[i + start], b[j]), -1, 1)))
+            made = [np.concatenate(x) for x in zip(*found)]
         i, j, cosines = made
         return pd.DataFrame({"asked": q["asked"].to_numpy()[i], "ids": p["ids"].to_numpy()[j], "score": cosines})
 
-    found = wanted.groupBy("list", "shard").cogroup(posted.groupBy("list", "shard")).applyInPandas(score, "asked long, ids array<long>, score double")
+    found = wanted.groupBy("list", "shard", "reader").cogroup(posted.groupBy("list", "shard", "reader")).applyInPandas(score, "asked long, ids array<long>, score double")
     # an entry that several lists hold is found several times
     found = found.groupBy("asked", F.get("ids", F.lit(0)).alias("entry")).agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
     found = found.select("asked", F.explode("ids").alias("vec_id"), "score")
