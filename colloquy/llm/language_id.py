@@ -4,22 +4,29 @@ A text becomes lower-cased letters and single spaces; its 1- to 3-grams are
 hashed to ``DIMS`` counts, damped by a square root, weighed by inverse document
 frequency and normalised. Document frequencies cover every training row; the
 centroids come from a bounded sample of them: the ``per_language`` rows of each
-language with the smallest hashes, ``max_sample`` rows in all. Each language's
-sample is clustered by spherical k-means into ``centroids`` centres. A text gets
-the language of the centre with the largest cosine; it is rejected if that
-cosine is below ``slack`` times the smallest that the centre's language has
-among its own sample, so only texts far from every language go.
+language with the smallest hashes, ``max_sample`` rows in all. Three quarters of
+each language's sample are clustered by spherical k-means into ``centroids``
+centres. A text gets the language of the centre with the largest cosine.
+
+The quarter left out tells how near texts are to their nearest centre. Cosines
+grow with the length, so this is taken by length (powers of two of the n-grams),
+and for a length never higher than for longer texts. A text is rejected if its
+cosine is below ``slack`` times the ``quantile`` of its length.
 
 Defined results: a null text, or one without a letter, is ``und``, score 0 and
 rejected; rows with null language are predicted but never learned from; repeated
-rows count once in the sample; without training rows everything is ``und``; an
-empty table gives no rows; other columns pass through.
+rows count once in the sample; of equally near centres the first counts, by
+language in order; without training rows everything is ``und``; an empty table
+gives no rows; other columns pass through, but for those of the operator's own
+names, which are replaced.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -94,6 +101,27 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+#: Texts are told apart by length up to 2 ** LENGTHS n-grams.
+LENGTHS = 20
+
+
+def _length(counts: np.ndarray) -> int:
+    return min(int(counts.sum()).bit_length(), LENGTHS)
+
+
+def floors_of(lengths: np.ndarray, cosines: np.ndarray, quantile: float, slack: float, least: int = 20) -> np.ndarray:
+    """The smallest cosine that is accepted at each length, from left-out texts; where fewer than ``least`` are near that length, shorter ones count, too."""
+    out = np.zeros(LENGTHS + 1)
+    for length in range(LENGTHS + 1):
+        near = cosines[np.abs(lengths - length) <= 1]
+        shorter = length - 1
+        while len(near) < least and shorter > 0:
+            shorter -= 1
+            near = cosines[(lengths >= shorter) & (lengths <= length + 1)]
+        out[length] = slack * np.quantile(near, quantile) if len(near) else 0.0
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
 class LanguageModel:
     def __init__(self, idf: np.ndarray, centres: np.ndarray, languages: list[str], floors: np.ndarray):
         self.idf, self.centres, self.languages, self.floors = idf, centres, languages, floors
@@ -104,7 +132,7 @@ class LanguageModel:
             return UNDETERMINED, 0.0, True
         cosines = self.centres @ _weigh(counts, self.idf)
         best = int(np.argmax(cosines))
-        return self.languages[best], float(min(max(cosines[best], 0.0), 1.0)), bool(cosines[best] < self.floors[best])
+        return self.languages[best], float(min(max(cosines[best], 0.0), 1.0)), bool(cosines[best] < self.floors[_length(counts)])
 
 
 def training_sample(train: DataFrame, per_language: int, max_sample: int) -> list:
@@ -123,27 +151,32 @@ def training_sample(train: DataFrame, per_language: int, max_sample: int) -> lis
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [ngram_counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"lang": [lang for lang, c in zip(batch["lang"], made) if c is not None], "counts": [c.astype(np.int32) for c in made if c is not None]})
+            yield pd.DataFrame({"lang": [lang for lang, c in zip(batch["lang"], made) if c is not None], "h": [h for h, c in zip(batch["h"], made) if c is not None], "counts": [zlib.compress(c.astype(np.int32).tobytes(), 1) for c in made if c is not None]})
 
-    return chosen.select("lang", "text").mapInPandas(features, "lang string, counts array<int>").orderBy("lang", "counts").collect()
+    return chosen.select("lang", "h", "text").mapInPandas(features, "lang string, h long, counts binary").orderBy("lang", "h", "counts").collect()
 
 
-def fit(train: DataFrame, centroids: int = 4, per_language: int = 400, max_sample: int = 4000, slack: float = 0.25) -> LanguageModel:
+def fit(train: DataFrame, centroids: int = 4, per_language: int = 400, max_sample: int = 4000, quantile: float = 0.01, slack: float = 0.6) -> LanguageModel:
     """A model of the rows of ``train`` (doc_id, text, lang) that have a language."""
     train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(train)
     idf = np.log((1 + n) / (1 + df)) + 0.1  # in nearly every text: little weight, not none
-    by_language: dict[str, list] = {}
+    by_language: dict[str, list[np.ndarray]] = {}
     for row in training_sample(train, per_language, max_sample):
-        by_language.setdefault(row["lang"], []).append(_weigh(np.array(row["counts"]), idf))
-    centres, languages, floors = [], [], []
+        by_language.setdefault(row["lang"], []).append(np.frombuffer(zlib.decompress(row["counts"]), np.int32))
+    if not by_language:
+        return LanguageModel(idf, np.zeros((0, DIMS)), [], np.zeros(LENGTHS + 1))
+    centres, languages, left_out = [], [], []
     for lang, many in sorted(by_language.items()):
-        vectors = np.stack(many)
-        c = _clusters(vectors, centroids)
+        vectors = np.stack([_weigh(c, idf) for c in many])
+        out = np.arange(len(many)) % 4 == 3
+        c = _clusters(vectors[~out], centroids)
         centres.append(c)
         languages += [lang] * len(c)
-        floors += [slack * float(np.max(vectors @ c.T, axis=1).min())] * len(c)
-    return LanguageModel(idf, np.concatenate(centres) if centres else np.zeros((0, DIMS)), languages, np.array(floors))
+        left_out += list(zip(map(_length, compress(many, out)), vectors[out]))
+    all_centres = np.concatenate(centres)
+    lengths, cosines = np.array([n for n, _ in left_out]), np.array([float((all_centres @ v).max()) for _, v in left_out])
+    return LanguageModel(idf, all_centres, languages, floors_of(lengths, cosines, quantile, slack))
 
 
 def predictor(model: LanguageModel):
