@@ -183,17 +183,52 @@ def _sharing(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
     return left[l], right[r]
 
 
+class _Sets:
+    """Sets of shingles of one block, and what two of them share."""
+
+    #: Entries of the dense table, which stands for the sets where many pairs are asked for.
+    DENSE = 32_000_000
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, int)
+        self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.mark = np.zeros(int(self.ids.max(initial=-1)) + 1, bool)
+        several = np.bincount(self.ids) > 1  # no other shingle is shared
+        self.columns = int(several.sum())
+        self.column = np.where(several, np.cumsum(several) - 1, -1)
+        self.table: np.ndarray | None = None
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many shingles the pairs (i, j) share; i in order."""
+        rows, others = np.unique(i), np.unique(j)
+        sparse, dense = self.sizes[j].sum() * 5e-9, len(rows) * len(others) * self.columns * 2e-10
+        if dense < sparse and len(self.sizes) * self.columns <= self.DENSE:
+            if self.table is None:
+                self.table = np.zeros((len(self.sizes), self.columns), np.float32)
+                at = self.column[self.ids]
+                self.table[np.repeat(np.arange(len(self.sizes)), self.sizes)[at >= 0], at[at >= 0]] = 1
+            return (self.table[rows] @ self.table[others].T)[np.searchsorted(rows, i), np.searchsorted(others, j)].astype(np.int64)
+        out = [np.empty(0, np.int64)]
+        for row in rows:
+            with_row = j[i == row]
+            own = self.ids[self.bounds[row] : self.bounds[row + 1]]
+            self.mark[own] = True
+            flat = np.concatenate([self.ids[self.bounds[o] : self.bounds[o + 1]] for o in with_row])
+            out.append(np.add.reduceat(self.mark[flat].astype(np.int64), np.concatenate(([0], np.cumsum(self.sizes[with_row])[:-1]))))
+            self.mark[own] = False
+        return np.concatenate(out)
+
+
 def _links_within(sets: list[np.ndarray], values: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs (i, j) between two lists of places that share a band; same: the lists are one."""
-    sizes = np.array([len(s) for s in sets])
+    held = _Sets(sets)
+    sizes = held.sizes
     # the values are cut to 16 bits, so keys agree where the whole bands do
     keys = band_keys(values)
     if not same:
         left, right = _sharing(keys, left, right)
-    out_i, out_j = [], []
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, int)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    out_i, out_j = [np.empty(0, int)], [np.empty(0, int)]
     columns = np.ascontiguousarray(keys[right].T)
     for start in range(0, len(left), 256):
         rows = left[start : start + 256]
@@ -211,17 +246,12 @@ def _links_within(sets: list[np.ndarray], values: np.ndarray, left: np.ndarray,
                 matched[part] += (values[i[part], done:compared] == values[j[part], done:compared]).sum(axis=1, dtype=np.int32)
             keep = matched >= least
             i, j, matched, done = i[keep], j[keep], matched[keep], compared
-        for row in np.unique(i):  # exact verification, one row against all that are left for it
-            others = j[i == row]
-            mark[ids[bounds[row] : bounds[row + 1]]] = True
-            flat = np.concatenate([ids[bounds[o] : bounds[o + 1]] for o in others])
-            shared = np.add.reduceat(mark[flat].astype(np.int64), np.concatenate(([0], np.cumsum(sizes[others])[:-1])))
-            mark[ids[bounds[row] : bounds[row + 1]]] = False
-            hit = others[shared >= threshold * (sizes[row] + sizes[others] - shared) - 1e-9]
-            out_i.append(np.full(len(hit), row))
-            out_j.append(hit)
-    none = np.empty(0, int)
-    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+        if len(i):  # the exact sets decide
+            shared = held.shared(i, j)
+            hit = shared >= threshold * (sizes[i] + sizes[j] - shared) - 1e-9
+            out_i.append(i[hit])
+            out_j.append(j[hit])
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
