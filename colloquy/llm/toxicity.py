@@ -13,9 +13,11 @@ chosen and weighed by logistic regression on a bounded sample of labelled rows
 
 Defined results: null and empty texts score what a text without any feature
 scores; an id labelled more than once is toxic if any label says so, labels but 0
-and 1 are left out; rows with null ids are never learned from; without both labels the
+and 1 are left out; rows with null ids are never learned from; of an id with several texts one
+counts; features that tell equally much go by name; without both labels the
 score is 0.5 for a text without features and nothing is learned; repeated rows
-score alike; an empty table gives no rows; other columns pass through.
+score alike; an empty table gives no rows; other columns pass through, but for
+those of the operator's own names, which are replaced.
 """
 
 from __future__ import annotations

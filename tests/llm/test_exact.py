@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from colloquy.llm.decontamination import find_contamination, proximity
 from colloquy.llm.line_dedup import dedup_lines
-from colloquy.llm.ngram_join import join_similar, keep_first, least_matches
+from colloquy.llm.ngram_join import connected, join_similar, keep_first, least_matches
 from colloquy.llm.suffix_dedup import dedup_substrings
 from colloquy.llm.token_counts import UNKNOWN, UnigramTrie, count_tokens, piece_scores
 from colloquy.llm.url_filter import URL_RULES, DigestArray, digest, filter_urls
@@ -83,6 +83,41 @@ def test_line_dedup(spark):
     assert [(r.doc_id, r.text, r.n_removed) for r in done] == brute.dedup_lines(rows)
 
 
+def test_line_dedup_of_repeated_rows_equals_its_sql(spark):
+    import duckdb
+
+    from colloquy.llm.queries import oracle_sql
+
+    texts = ["a\nb\nc\nd", "x\na\nb\nc", "\n\n\n", "", None, "q"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (1, texts[1]), (4, None), (None, texts[1]), (7, texts[0])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute("SELECT doc_id, n_lines, n_removed, kept_sha256 FROM (" + oracle_sql()["op3_line_dedup"] + ")").fetchall()
+    done = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = done.selectExpr("doc_id", "n_lines", "n_removed", "sha2(coalesce(text, ''), 256)").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {(r.doc_id, r.n_removed) for r in done.collect()} >= {(None, 0), (0, 3), (1, 4), (7, 4)}
+
+
+def test_components_of_chains_stars_and_hubs(spark):
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(200 + i, 299) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7), (500, 500)]
+    got = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent = {x: x for pair in links for x in pair}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert set(got) == {x for a, b in links for x in (a, b) if a != b}
+    assert len({(root(n), c) for n, c in got.items()}) == len({root(n) for n in got}) == len(set(got.values()))
+
+
+def test_decontamination_beside_a_very_long_word(spark):
+    docs = spark.createDataFrame([(1, "x" * 10_000_000 + " alpha beta gamma " + "pad " * 30)], "doc_id long, text string")
+    done = find_contamination(docs, spark.createDataFrame([(9, "Alpha beta gamma")], "item_id long, text string")).first()
+    assert (done.n_words, done.n_hit, done.item_ids, done.contaminated) == (34, 3, ["9"], True)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, prose(rng, n)) for i, n in enumerate([40, 13, 12, 3, 1, 25])] + [(6, None), (7, "?!"), (7, prose(rng, 15))]
@@ -151,7 +186,7 @@ SCORES = piece_scores(["▁a", "b", "ab", "▁ab", "ba", "▁abba", "é", "c", "
 @given(st.lists(st.text("abcé€𝄞", max_size=9), max_size=30))
 def test_trie_counts(words):
     trie = UnigramTrie(SCORES)
-    marked = ["▁" + w for w in words] + ["▁" + "ab" * 40]
+    marked = ["▁" + w for w in words] + ["▁" + "ab" * 40 + w for w in words[:4]] + ["▁" + "ab" * 40, "é" * 70]
     trie.grow(marked)
     assert [trie.counts[w] for w in marked] == [brute.unigram_count(w, SCORES, min(SCORES.values()) - UNKNOWN) for w in marked]
 

@@ -1,12 +1,18 @@
 """Operators that learn or approximate: held-out accuracy, recall, tolerance."""
 
+import itertools
+import math
 import random
+import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import language_id, mixing, neighbours, toxicity
+from colloquy.llm.queries import op6_neighbours
 
 RNG = random.Random(8)
 LANGUAGES = {
@@ -43,6 +49,43 @@ def test_language_rejects_what_is_far_from_all(spark, speeches):
     assert done[950].rejected
 
 
+def test_language_rejects_long_texts_of_other_scripts(spark, speeches):
+    rng = random.Random(3)
+    far = [(960 + i, "".join(chr(rng.randrange(first, first + 30)) for _ in range(4000)), None) for i, first in enumerate((0x430, 0x5D0, 0x4E00, 0x3B1))]
+    done = {r.doc_id: r for r in language_id.identify(speeches.union(spark.createDataFrame(far, speeches.schema))).collect()}
+    assert all(done[d].rejected for d, _, _ in far)
+    assert not any(r.rejected for d, r in done.items() if d < 900)
+
+
+def test_language_equals_a_plain_version(speeches):
+    rows = [(r.doc_id, r.text, r.lang) for r in speeches.collect()]
+    train = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[1] and r[2]), key=lambda r: r[0])
+
+    def grams(text):
+        codes = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+        codes = [32, *(c for i, c in enumerate(codes) if c != 32 or i == 0 or codes[i - 1] != 32), 32]
+        counts, m = Counter(), [2654435761, 2246822519, 3266489917]
+        for i in range(len(codes)):
+            h = 0
+            for n in range(min(3, len(codes) - i)):
+                h = ((h ^ codes[i + n]) * m[n]) % 2**32
+                h ^= h >> 15
+                counts[(h * m[0]) % 2**32 >> 20] += 1
+        return counts
+
+    df = Counter(g for _, t, _ in train for g in grams(t))
+    weigh = lambda c: {g: math.sqrt(n) * (math.log((1 + len(train)) / (1 + df[g])) + 0.1) for g, n in c.items()}
+    model = language_id.fit(speeches.filter(language_id.fold(F.col("doc_id"), 4) != 2))
+    for _, text, _ in rows:
+        if text and any(map(str.isalpha, text)):
+            v = weigh(grams(text))
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            cosines = [sum(x * float(c[g]) for g, x in v.items()) / norm for c in model.centres]
+            lang, score, _ = model.predict(text)
+            assert score == pytest.approx(max(cosines), abs=1e-4)
+            assert lang in {model.languages[i] for i, c in enumerate(cosines) if c > max(cosines) - 1e-4}
+
+
 def test_language_never_learns_from_held_out_rows(speeches):
     relabelled = speeches.withColumn("lang", F.when(language_id.fold(F.col("doc_id"), 4) == 2, F.lit("zz")).otherwise(F.col("lang")))
     key = lambda r: (r.doc_id, r.lang_pred, r.score)
@@ -105,6 +148,34 @@ def test_viterbi_restores_what_was_hidden(judged):
     assert decoder.restored("plain words only") == []
 
 
+@pytest.fixture(scope="module")
+def characters(judged):
+    plain = judged[0].sparkSession.createDataFrame([(-1, " ".join(FOUL * 200))], judged[0].schema)
+    return toxicity.character_model(judged[0].union(plain))
+
+
+@pytest.mark.parametrize("segment", ["w3", "s$c", "bb", "l1gh", "a.b", "w r e", "$$um", "gg4r", "+*t", "é0x"])
+def test_viterbi_finds_the_best_of_all_paths(characters, segment):
+    decoder = toxicity.Decoder(characters)
+
+    def worth(letters, costs):
+        s = [0, 0, *(0 if c == " " else decoder.index.get(c, toxicity.SYMBOLS - 1) for c in letters), 0]
+        steps = list(zip(s, s[1:], s[2:]))
+        return sum(costs) + characters[steps[-1]] + sum(characters[a, b, c] for a, b, c in steps[:-1] if c or b)
+
+    ways = [([c for c, _ in path if c], [cost for _, cost in path]) for path in itertools.product(*decoder.options(segment))]
+    best = max(worth(*w) for w in ways)
+    assert best == pytest.approx(max(worth(*w) for w in ways if "".join(w[0]) == decoder.decode(segment)))
+
+
+def test_long_segments_are_decoded_in_blocks(characters):
+    long = "wr3tches" * 3000
+    restored = toxicity.Decoder(characters).decode(long)
+    assert len(restored) >= 0.9 * len(long) and restored.count("wretches") > 2900
+    few = toxicity.Decoder(characters, ["=wretches", "wretc"])
+    assert "wretc" in toxicity.features(few, "x" * 2_000_000 + " wr3tches")
+
+
 HIDDEN = ["wrretches", "wrettches", "w,r,e,t,c,h,e,s", "w-r.e-t.c-h.e-s", "wretche$", "wr etches", "wre-tches", "w\tr\te\tt\tc\th\te\ts", "w\nr e  t c h e s", "wretch es", "w retches"]
 
 
@@ -158,6 +229,27 @@ def test_neighbours_recall_and_scores(spark):
         assert all(abs(s - u[q] @ u[i]) < 1e-12 for i, s in ranked.values())
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1/embeddings.parquet").exists(), reason="the test tables are not here")
+def test_neighbours_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [r for r in table.collect() if r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    want = brute_nearest(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float))
+    found = {}
+    for r in op6_neighbours(spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len({x[0] for x in want[q]} & found[q]) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_neighbours_in_shards_and_with_other_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], "x", i, 0.5, 3) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string, asked long, score double, shard int")
+    want = brute_nearest(np.arange(300), np.array([r[1] for r in rows]))
+    # shards and readers of a few rows each, a beam that has to widen, and everything within reach
+    done = neighbours.nearest(table, F.col("vec_id") % 50 == 0, list_size=8, list_limit=5, query_limit=2, beam=2, reach=100.0).collect()
+    assert {(r.query_id, r.rank, r.vec_id) for r in done} == {(q, i + 1, v) for q, many in want.items() for i, (v, _) in enumerate(many)}
+
+
 def test_neighbours_ties_copies_and_broken_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(100)] + [(100, [0.0, 0.0]), (150, None), (200, [nan, 1.0]), (250, [inf, 1.0]), (300, []), (350, [1.0, None]), (None, [1.0, 0.0]), (400, [0.0, 2.0])]
