@@ -126,8 +126,8 @@ def _with_terms(spark, sf):
     b = table(spark, sf, "benchmark").filter("text IS NOT NULL")
     glossaries = b.groupBy(F.floor(F.col("item_id") / 20).alias("g")).agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("t"))
     glossaries = glossaries.select("g", F.transform("t", lambda x: x["text"]).alias("terms"))
-    groups = F.broadcast(b.agg((F.max(F.floor(F.col("item_id") / 20)) + 1).alias("n")))  # one row
-    s = segments(spark, sf).join(groups).withColumn("g", F.pmod("meeting_id", "n"))
+    n = (b.agg(F.max(F.floor(F.col("item_id") / 20))).first()[0] or 0) + 1
+    s = segments(spark, sf).withColumn("g", F.pmod("meeting_id", F.lit(n)))
     return s.join(glossaries, "g", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
