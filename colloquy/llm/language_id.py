@@ -156,7 +156,7 @@ def training_sample(train: DataFrame, per_language: int, max_sample: int) -> lis
     return chosen.select("lang", "h", "text").mapInPandas(features, "lang string, h long, counts binary").orderBy("lang", "h", "counts").collect()
 
 
-def fit(train: DataFrame, centroids: int = 4, per_language: int = 400, max_sample: int = 4000, quantile: float = 0.01, slack: float = 0.6) -> LanguageModel:
+def fit(train: DataFrame, centroids: int = 4, per_language: int = 400, max_sample: int = 4000, quantile: float = 0.01, slack: float = 0.5) -> LanguageModel:
     """A model of the rows of ``train`` (doc_id, text, lang) that have a language."""
     train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(train)
