@@ -31,10 +31,10 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
 from collections.abc import Callable
 
 import public_tokenizers
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +72,8 @@ def latin(binary: Column) -> Column:
     return F.decode(binary, "ISO-8859-1")
 
 
-def _crc(key: str) -> int:
-    return zlib.crc32(key.encode()) % BUCKETS
+def _place(key: str) -> int:
+    return xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS  # Spark's xxhash64
 
 
 def _literal(value: list, kind: str) -> Column:
@@ -82,7 +82,7 @@ def _literal(value: list, kind: str) -> Column:
 
 def _looked_up(buckets: Column, key: Column) -> Column:
     """What a literal of ``BUCKETS`` maps has for a string, else null."""
-    return F.try_element_at(F.get(buckets, F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(BUCKETS)).cast("int")), key)
+    return F.try_element_at(F.get(buckets, F.xxhash64(key).bitwiseAND(BUCKETS - 1).cast("int")), key)
 
 
 class Vocabulary:
@@ -93,27 +93,13 @@ class Vocabulary:
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         for i, t in enumerate(text):
             if t:
-                buckets[_crc(t)][t] = i
+                buckets[_place(t)][t] = i
         self.ids = _literal(buckets, "array<map<string,int>>")
         self.bytes = _literal(text, "array<string>")
 
-    def rank(self, piece: Column) -> Column:
-        """The id of a token, null for other bytes."""
-        return _looked_up(self.ids, piece)
-
-    def fold(self, word: Column) -> Column:
+    def folded(self, word: Column) -> Column:
         """The ids of one piece of text, array<int>."""
-        start = F.regexp_extract_all(latin(F.encode(word, "UTF-8")), F.lit("(?s)."), F.lit(0))
-
-        def step(state: Column, _: Column) -> Column:
-            return F.when(state["done"], state).otherwise(bind(state["parts"], joined))
-
-        def joined(parts: Column) -> Column:
-            pairs = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda x, y: self.rank(F.concat(x, y)))
-            return bind(pairs, lambda ranks: bind(F.array_min(ranks), lambda best: F.when(best.isNull(), _state(parts, True)).otherwise(bind(F.array_position(ranks, best).cast("int"), lambda at: _state(_join(parts, ranks, best, at), False)))))
-
-        pieces = bind(start, lambda parts: F.aggregate(F.sequence(F.lit(1), F.size(parts)), _state(parts, False), step)["parts"])
-        return F.transform(pieces, self.rank)
+        return bind(self.ids, lambda ids: fold(word, ids))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids, binary."""
@@ -121,15 +107,38 @@ class Vocabulary:
         return F.encode(shown, "ISO-8859-1")
 
 
-def _state(parts: Column, done: bool) -> Column:
-    return F.struct(parts.alias("parts"), F.lit(done).alias("done"))
+def fold(word: Column, ids: Column) -> Column:
+    """The ids of one piece of text, array<int>; ``ids`` is a vocabulary's literal, bound once."""
+    rank = lambda piece: _looked_up(ids, piece)
+    start = F.regexp_extract_all(latin(F.encode(word, "UTF-8")), F.lit("(?s)."), F.lit(0))
+
+    # a pair's rank stands at its first part; the last part has none
+    state = lambda parts, ranks, done: F.struct(parts.alias("parts"), ranks.alias("ranks"), F.lit(done).alias("done"))
+    ranked = lambda parts: F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda x, y: rank(F.concat(x, y)))
 
+    def step(s: Column, _: Column) -> Column:
+        parts, ranks = s["parts"], s["ranks"]
+        several = lambda best: F.size(F.filter(ranks, lambda r: r == best)) > 1
+        everywhere = lambda best: bind(_joined(parts, ranks, best), lambda p: state(p, ranked(p), False))
+        once = lambda best: bind(F.array_position(ranks, best).cast("int"), lambda at: bind(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1)), lambda token: one(parts, ranks, at, token)))
+        joined = bind(F.array_min(ranks), lambda best: F.when(best.isNull(), state(parts, ranks, True)).when(several(best), everywhere(best)).otherwise(once(best)))
+        return F.when(s["done"], s).otherwise(joined)
 
-def _join(parts: Column, ranks: Column, best: Column, at: Column) -> Column:
-    """All neighbours of the best rank as one part each, from left to right; ``at`` is the first one's place.
+    def one(parts: Column, ranks: Column, at: Column, token: Column) -> Column:
+        before = F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(F.concat(F.get(parts, at - 2), token))))).otherwise(F.array().cast("array<int>"))
+        after = F.array(rank(F.concat(token, F.get(parts, at + 1))))
+        return state(F.concat(F.slice(parts, F.lit(1), at - 1), F.array(token), F.slice(parts, at + 2, F.size(parts))), F.concat(before, after, F.slice(ranks, at + 2, F.size(parts))), False)
+
+    pieces = bind(start, lambda parts: F.aggregate(F.sequence(F.lit(1), F.size(parts)), state(parts, ranked(parts), False), step)["parts"])
+    return F.transform(pieces, rank)
+
+
+def _joined(parts: Column, ranks: Column, best: Column) -> Column:
+    """All neighbours of the best rank as one part each, from left to right.
 
     Pairs of different parts never overlap. Pairs of equal parts do, in runs: those are joined two by two.
     """
+    at = F.array_position(ranks, best).cast("int")
     first, second = F.element_at(parts, at), F.element_at(parts, at + 1)
     token = F.concat(first, second)
     hit = lambda i: F.coalesce(F.get(ranks, i) == best, F.lit(False))
@@ -202,10 +211,10 @@ def piece_dictionary(docs: DataFrame, vocabulary: Vocabulary, cut_at: str, dicti
             break
         least = row["level"]
     kept = counted.filter(level >= least) if least is not None else counted.limit(0)
-    folded = cut(kept.select("word", F.array_join(vocabulary.fold(F.col("word")).cast("array<string>"), " ").alias("ids")))
+    folded = cut(kept.select("word", F.array_join(vocabulary.folded(F.col("word")).cast("array<string>"), " ").alias("ids")))
     buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
     for row in folded.collect():  # bounded: ``dictionary`` pieces of ``longest`` bytes
-        buckets[_crc(row["word"])][row["word"]] = row["ids"]
+        buckets[_place(row["word"])][row["word"]] = row["ids"]
     return _literal(buckets, "array<map<string,string>>")
 
 
@@ -214,9 +223,12 @@ def encode_texts(docs: DataFrame, path: str = VOCABULARY, text: str = "text", *,
     vocabulary = vocabulary or Vocabulary(read_ranks(path))
     cut_at = pattern(docs.sparkSession)
     words = piece_dictionary(docs, vocabulary, cut_at, dictionary, longest, text)
-    of = lambda w: F.coalesce(_looked_up(words, w), F.array_join(vocabulary.fold(w).cast("array<string>"), " "))
-    block = lambda b: F.split(F.array_join(F.transform(F.regexp_extract_all(b, F.lit(cut_at), F.lit(0)), of), " "), " ").cast("array<int>")
-    ids = F.flatten(F.transform(blocks(F.coalesce(F.col(text), F.lit(""))), block))
+    def block_ids(block: Column, words: Column, ranks: Column) -> Column:
+        of = lambda w: F.coalesce(_looked_up(words, w), F.array_join(fold(w, ranks).cast("array<string>"), " "))
+        return F.split(F.array_join(F.transform(F.regexp_extract_all(block, F.lit(cut_at), F.lit(0)), of), " "), " ").cast("array<int>")
+
+    # literals are bound once: every mention would be a copy in each task
+    ids = bind(words, lambda known: bind(vocabulary.ids, lambda ranks: F.flatten(F.transform(blocks(F.coalesce(F.col(text), F.lit(""))), lambda block: block_ids(block, known, ranks)))))
     return docs.select(*[c for c in docs.columns if c != "token_ids"], ids.alias("token_ids"))
 
 
