@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality, text, times, vectors
 from ..functions.words import FUNCTION_WORDS, HALLUCINATIONS, INCOMPLETE_ENDINGS, PREAMBLES, STOP_WORDS
+from ..operators import aliases
 from .basic import ASR, TOKENS
 from .derived import WITH, segments, table
 from .registry import query
@@ -66,6 +67,16 @@ def str_replace_aliases(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.replace_aliases(F.col("text"), [("the", "ze"), ("thing", "cosa"), ("and", "y")]).alias("text"))
 
 
+@query(rf"""WITH a AS (SELECT item_id, unnest(regexp_extract_all(text, '\p{{L}}+')) AS alias FROM benchmark), v AS (SELECT lower(alias) AS k, min(item_id) AS item FROM a WHERE length(alias) > 3 GROUP BY ALL),
+p AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\p{{L}}+|\P{{L}}+') AS l FROM documents))
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(coalesce('«' || v.item || '»', x), '' ORDER BY i) AS text FROM p LEFT JOIN v ON v.k = lower(p.x) GROUP BY doc_id) r USING (doc_id)""")
+def jn_aliases(spark, sf):
+    """Every word of over three letters of the benchmark as an alias of its first item's number, over whole texts."""
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) > 3)
+    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("«"), F.col("item_id").cast("string"), F.lit("»")).alias("word"), words.alias("aliases"))
+    return aliases.replace_vocabulary(table(spark, sf, "documents").select("doc_id", "text"), terms)
+
+
 @query()
 def str_phonetic_aliases(spark, sf):
     w = segments(spark, sf).select(F.explode(text.words(F.col("text"))).alias("word")).distinct()
