@@ -14,11 +14,6 @@ from .timeline import overlaps
 TECHNICAL = r"(?i)^(?:SPEAKER|HABLANTE|LOCUTOR)(?:[_\s\-]\d+|\d+)?$"
 
 
-def delete_meetings(meetings: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Meetings whose ``meeting_id`` is not among the deleted ones."""
-    return meetings.join(deleted.select("meeting_id"), "meeting_id", "left_anti")
-
-
 def delete_versions(versions: DataFrame, active: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remaining versions, and (meeting_id, version_id) active afterwards.
 

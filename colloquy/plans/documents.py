@@ -11,10 +11,11 @@ from ..functions import minutes, text
 from ..functions.times import hms
 from ..operators import catalog, speakers
 from ..sinks import exports
+from ..sinks.archive import Archive
 from ..sources import meetings as meeting_files
 from ..sources import transcripts
 from ..sources.meetings import clean_aliases
-from ..sources.shared import shared_folder
+from ..sources.shared import cut, shared_folder
 from .basic import HMS, TECHNICAL, TOKENS, VOCABULARY, vocabulary
 from .derived import MEETINGS, WITH, meetings, segments, table
 from .registry import query
@@ -119,9 +120,13 @@ def src_vocab_json(spark, sf):
 
 def saved_meetings(spark, sf) -> DataFrame:
     """The meetings saved to the shared folder, and the files of their folders read back; every run writes its own."""
-    root = f"{shared_folder(spark)}/meetings-{uuid.uuid4().hex}"
-    exports.save_meetings(_meeting_files(spark, sf), root)
-    return meeting_files.archived_files(spark, root)
+    archive = _archive(spark)
+    archive.save(_meeting_files(spark, sf))
+    return archive.files()
+
+
+def _archive(spark) -> Archive:
+    return Archive(spark, f"{shared_folder(spark)}/meetings-{uuid.uuid4().hex}")
 
 
 @query(f"{WITH}, {MEETINGS} SELECT meeting_id::VARCHAR AS id, title, n_segments AS n FROM meetings")
@@ -203,8 +208,13 @@ def snk_json(spark, sf):
 f AS (SELECT meeting_id, folder, base || unnest(['_meeting.json', '_transcript.md', '_transcript.txt', '_params.json']) AS file FROM b UNION ALL SELECT meeting_id, folder, base || '_resumen.txt' FROM b WHERE meeting_id % 2 = 0 UNION ALL SELECT meeting_id, folder, base || '_acta.md' FROM b WHERE meeting_id % 4 IN (0, 1) UNION ALL SELECT meeting_id, folder, unnest(['actas/index.json', 'actas/acta_20231114_221321_es_full_' || ('v1-' || meeting_id)[1:6] || '.md', 'actas/acta_20231114_221322_es_full_' || ('v2-' || meeting_id)[1:6] || '.md']) FROM b WHERE meeting_id % 4 = 1)
 SELECT folder, count(*) AS files, string_agg(file, '|' ORDER BY file) AS names, CASE WHEN meeting_id % 4 = 1 THEN '# Acta ' || meeting_id || ' 1' WHEN meeting_id % 4 = 0 THEN '# Acta ' || meeting_id ELSE '' END AS acta FROM f GROUP BY folder, meeting_id""")
 def snk_save_meeting(spark, sf):
-    """What is in each saved folder, and the minutes in its document."""
-    files = saved_meetings(spark, sf)
+    """What is in each saved folder, and the minutes in its document, after three saves into the same months: the last one replaces folders of the first."""
+    files, archive = _meeting_files(spark, sf), _archive(spark)
+    number = F.regexp_extract("folder", r"Reunion_-(\d+)", 1).cast("long")
+    archive.save(files.filter(number % 2 == 0).withColumn("content", F.lit("{}")))
+    archive.save(files.filter(number % 2 == 1))
+    archive.save(files.filter(number % 2 == 0))
+    files = archive.files()
     acta = meeting_files.read_meetings(files).select("folder", F.coalesce("actaMarkdown", F.lit("")).alias("acta"))
     names = files.groupBy("folder").agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_list("file")), "|").alias("names"))
     return names.join(acta, "folder")
@@ -215,10 +225,16 @@ def snk_file_naming(spark, sf):
     return meetings(spark, sf).select("meeting_id", exports.folder_name(F.col("date"), F.col("title"), F.col("meeting_id")).alias("folder"))
 
 
-@query("SELECT o_orderkey AS meeting_id FROM orders WHERE o_orderkey % 7 <> 3")
+@query(f"{WITH}, {MEETINGS} SELECT meeting_id::VARCHAR AS id, 'deleted' AS phase FROM meetings WHERE meeting_id % 7 <> 3 UNION ALL SELECT meeting_id::VARCHAR, 'purged' FROM meetings WHERE meeting_id % 7 <> 3")
 def snk_delete_meeting(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("meeting_id"))
-    return catalog.delete_meetings(o, o.filter("meeting_id % 7 = 3"))
+    """The meetings that readers find after every seventh is marked as deleted, and after the archive is purged."""
+    archive = _archive(spark)
+    archive.save(_meeting_files(spark, sf))
+    found = meeting_files.read_meetings(archive.files())
+    archive.delete(found.filter(F.col("id").cast("long") % 7 == 3))
+    left = cut(meeting_files.read_meetings(archive.files()).select("id", F.lit("deleted").alias("phase")))
+    archive.purge()
+    return left.union(meeting_files.read_meetings(archive.files()).select("id", F.lit("purged").alias("phase")))
 
 
 @query("WITH l AS (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS newest FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey), a AS (SELECT o_custkey, min(o_orderkey) AS active FROM orders GROUP BY o_custkey) SELECT a.o_custkey AS meeting_id, coalesce(CASE WHEN active % 3 = 0 THEN newest ELSE active END, -1) AS version_id FROM a LEFT JOIN l USING (o_custkey)")

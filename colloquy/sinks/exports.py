@@ -175,8 +175,3 @@ def meeting_files(meetings: DataFrame, participants: DataFrame, segments: DataFr
     parameters = F.struct(F.col("meeting_id").cast("string").alias("meetingId"), "title", F.date_format("date", "yyyy-MM-dd'T'00:00:00").alias("date"), interval_string(F.col("duration_us")).alias("duration"), made.alias("generatedFiles"))
     return files.union(listed.select("meeting_id", "folder", F.concat("base", F.lit("_params.json")).alias("file"), F.to_json(parameters).alias("content")))
 
-
-def save_meetings(files: DataFrame, path: str, month: Column | None = None) -> None:
-    """Writes ``meeting_files`` as an archive, many folders in few files; months that the rows do not touch stay."""
-    month = F.substring("folder", 1, 7) if month is None else month
-    files.withColumn("month", month).repartition("month").sortWithinPartitions("folder", "file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)

@@ -31,11 +31,6 @@ def folder_files(spark: SparkSession, root: str) -> DataFrame:
     return parts
 
 
-def archived_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same of meetings that ``exports.save_meetings`` wrote: many folders in few files."""
-    return spark.read.parquet(path).select("folder", "file", "content")
-
-
 def read_meetings(files: DataFrame) -> DataFrame:
     """Meetings of the folders that ``files`` holds, newest first, with their ``folder``.
 
