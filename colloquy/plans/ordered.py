@@ -187,12 +187,41 @@ def st_live_clean(spark, sf):
     return live.clean_live(_live(spark, sf), terms).select("meeting_id", "seq", "text")
 
 
-@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+@query("WITH e AS (SELECT user_id::VARCHAR AS meeting_id, event_id % 5 AS seg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type FROM events) SELECT meeting_id, seq, seg::VARCHAR AS seg_id, CASE WHEN v = 0 THEN 'appended' ELSE 'updated' END AS change, v AS version, event_type AS text FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, seg ORDER BY seq) - 1 AS v FROM e)")
 def st_upsert(spark, sf):
+    """Every event updates one of five segments of its user, or appends it."""
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("meeting_id"), seq.cast("long").alias("seq"), (F.col("event_id") % 5).cast("string").alias("seg_id"), F.col("event_type").alias("text"))
+    rows = e.withColumns({"start_us": F.col("seq") * 1000, "end_us": F.col("seq") * 1000 + 500})
+    return live.run(rows, "meeting_id", live.Segments()).drop("start_us", "end_us")
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def st_latest(spark, sf):
     e = table(spark, sf, "events")
     return live.latest(e, F.col("user_id"), F.struct("ts", "event_id")).select("user_id", "event_id")
 
 
+ARRIVALS = "a AS (SELECT meeting_id::VARCHAR AS meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY ord * 5 % 8, ord) AS seq, ord, end_us FROM segments)"
+
+
+def _arrivals(spark, sf):
+    """Segments in another order than they were said."""
+    seq = F.row_number().over(W.partitionBy("meeting_id").orderBy(F.col("ord") * 5 % 8, "ord"))
+    return segments(spark, sf).select(F.col("meeting_id").cast("string").alias("meeting_id"), seq.cast("long").alias("seq"), F.concat(F.lit("s"), F.col("ord").cast("string")).alias("seg_id"), F.col("end_us").cast("long").alias("end_us"))
+
+
+@query(f"{WITH}, {ARRIVALS} SELECT meeting_id, seq, 's' || ord AS seg_id, end_us, coalesce(end_us < newest - 10000000, false) AS late FROM (SELECT *, max(end_us) OVER (PARTITION BY meeting_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a)")
+def st_late_segments(spark, sf):
+    return live.run(_arrivals(spark, sf), "meeting_id", live.Arrivals())
+
+
+@query()
+def st_timed_cards(spark, sf):
+    """Cards by the clock's ticks, each there three seconds after it was asked for."""
+    return live.run(_live(spark, sf), "meeting_id", live.TimedCards(latency_us=3_000_000))
+
+
 @query()
 def st_card_emit(spark, sf):
     return live.run(_live(spark, sf), "meeting_id", live.Cards())

@@ -59,10 +59,10 @@ class _Keyed(StatefulProcessor):
         yield pd.DataFrame([(key[0], *m) for m in made], columns=names)
 
 
-def run(rows: DataFrame, key: str, processor: _Keyed, mode: str = "Append") -> DataFrame:
-    """``processor`` over a stream (or a table) by key."""
+def run(rows: DataFrame, key: str, processor: StatefulProcessor, mode: str = "Append", time: str = "None") -> DataFrame:
+    """``processor`` over a stream (or a table) by key; ``time`` is what its timers go by."""
     rows.sparkSession.streams.active  # over a table, too, state needs the session's streaming side begun
-    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.OUT, outputMode=mode, timeMode="None")
+    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.OUT, outputMode=mode, timeMode=time)
 
 
 class Mixer(_Keyed):
@@ -302,6 +302,218 @@ class Cards(_Keyed):
         return (segments, last_end, last_card, n, previous), made
 
 
+class TimedCards(Cards):
+    """``Cards`` that are tried by the clock, too: every ``tick_us`` from a meeting's start, whether or not a segment comes.
+
+    Over a table the clock is where a segment ends. On a stream with
+    ``wall=True`` and processing-time timers it is the time since the meeting's first
+    row, and a meeting without rows for ``idle_us`` is finished: what is left makes a
+    last card under the rule of the stop, and the state goes. A card is asked for
+    when it is tried and there ``latency_us`` later; until then nothing else is
+    tried. A row of seg_id ``start`` begins a new session: segments, cards and
+    what was asked for are forgotten, so a card of the old session never comes.
+    """
+
+    SCHEMA = Cards.SCHEMA + ", clock long, due long, asked long, upto long, window string, began long, heard long"
+
+    def __init__(self, model=first_words, check=card_fault, *, first_us: int = 45 * SECOND, then_us: int = 60 * SECOND, tick_us: int = 5 * SECOND, latency_us: int = 0, wall: bool = False, idle_us: int = 300 * SECOND):
+        super().__init__(model, check)
+        self.first_us, self.then_us, self.tick_us, self.latency_us, self.wall, self.idle_us = first_us, then_us, tick_us, latency_us, wall, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def first(self):
+        return *super().first(), 0, None, None, None, None, None, None
+
+    def step(self, state, rows):
+        m = _Meeting(self, state)
+        for r in rows.itertuples():
+            if r.seg_id == "start":
+                m.restart()
+            elif r.seg_id == "stop":
+                m.finish()
+            elif isinstance(r.text, str) and r.text.strip():
+                if not self.wall:
+                    m.advance(int(r.end_us))
+                m.put((r.seg_id, r.text, int(r.start_us), int(r.end_us)))
+                m.attempt(m.clock)
+                m.settle(m.clock)
+        return m.state(), m.made
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        if not self.wall:
+            yield from super().handleInputRows(key, rows, timerValues)
+            return
+        now = timerValues.getCurrentProcessingTimeInMs() * 1000
+        yield self._live(key, now, lambda m: self.step(m.state(), _rows(rows)), heard=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        yield self._live(key, timerValues.getCurrentProcessingTimeInMs() * 1000, None, heard=False)
+
+    def _live(self, key, now: int, more, heard: bool) -> pd.DataFrame:
+        """What the clock has brought and what the rows bring; sets the next timer, or ends a meeting that has become silent."""
+        m = _Meeting(self, tuple(self.state.get()) if self.state.exists() else self.first())
+        m.began = now if m.began is None else m.began
+        m.heard = now if heard or m.heard is None else m.heard
+        m.advance(now - m.began)
+        made = m.made
+        if more is not None:
+            state, rest = more(m)
+            m, made = _Meeting(self, state), made + rest
+        over = now - m.heard >= self.idle_us
+        if over:
+            m.finish()
+            made = made + m.made
+            self.state.clear()
+        else:
+            self.state.update(m.state())
+        for timer in [t[0] if isinstance(t, (list, tuple)) else t for t in self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        if not over:
+            self.handle.registerTimer((now + self.tick_us) // 1000)
+        return pd.DataFrame([(key[0], *x) for x in made], columns=[c.split()[0] for c in self.OUT.split(", ")])
+
+
+class _Meeting:
+    """One meeting's segments and cards while rows and ticks are handled."""
+
+    def __init__(self, rules: TimedCards, state: tuple):
+        self.rules, self.made = rules, []
+        self.segments = [tuple(s) for s in state[0]]
+        self.last_end, self.last_card, self.n, self.previous = state[1:5]
+        self.clock, self.due, self.asked, self.upto, self.window, self.began, self.heard = state[5:]
+
+    def state(self) -> tuple:
+        return self.segments, self.last_end, self.last_card, self.n, self.previous, self.clock, self.due, self.asked, self.upto, self.window, self.began, self.heard
+
+    def restart(self) -> None:
+        self.segments, self.last_end, self.last_card, self.n, self.previous = [], 0, 0, 0, None
+        self.clock, self.due, self.asked, self.upto, self.window = 0, None, None, None, None
+
+    def put(self, row: tuple) -> None:
+        same = [i for i, s in enumerate(self.segments) if s[0] == row[0]]
+        if same:
+            self.segments[same[-1]] = row
+        elif row[3] > self.last_end:  # what ended before the last card is never summarised
+            self.segments.append(row)
+
+    def advance(self, now: int) -> None:
+        """All ticks up to now; those at which nothing can have changed are skipped."""
+        tick = self.rules.tick_us
+        while True:
+            ready = max(self.due or 0, self.last_card + (self.rules.then_us if self.n else self.rules.first_us), self.clock + 1)
+            at = -(-ready // tick) * tick
+            if at > now or not (self.segments or self.due is not None):
+                break
+            self.clock = at
+            self.settle(at)
+            self.attempt(at)
+        self.settle(now)
+        self.clock = max(self.clock, now)
+
+    def _enough(self, words: int, different: int) -> bool:
+        said = [w for s in self.segments for w in (s[1] or "").split()]
+        return len(said) >= words and len({w.lower() for w in said if len(w) >= 2}) >= different
+
+    def attempt(self, now: int, words: int = 25, different: int = 8, forced: bool = False) -> None:
+        if self.due is not None or not self.segments or not self._enough(words, different):
+            return
+        if forced or now - self.last_card >= (self.rules.then_us if self.n else self.rules.first_us):
+            self.window, self.upto = " ".join(s[1] for s in self.segments), max(s[3] for s in self.segments)
+            self.asked, self.due = now, now + self.rules.latency_us
+
+    def settle(self, now: int) -> None:
+        """Takes the card that was asked for, if it is there by now."""
+        if self.due is None or self.due > now:
+            return
+        for again in range(2):
+            card = self.rules.model(self.window, again)
+            fault = self.rules.check(card, self.window, self.previous, self.last_end, self.upto, self.last_end)
+            if fault is None:
+                self.made.append((self.n, self.last_end, self.upto, card.strip()))
+                self.last_end, self.last_card, self.n, self.previous = self.upto, self.asked, self.n + 1, card
+                self.segments = [s for s in self.segments if s[3] > self.last_end]
+                break
+            if fault not in self.rules.AGAIN:
+                break
+        self.due = self.asked = self.upto = self.window = None
+
+    def finish(self) -> None:
+        self.settle(self.due or 0)
+        self.attempt(self.clock, 10, 4, forced=True)
+        self.settle(self.due or 0)
+
+
+class Segments(StatefulProcessor):
+    """Rows (meeting_id, seq, seg_id, text, start_us, end_us) to changes: the segment with that id is updated, else one is appended.
+
+    Each segment is an entry of its own in a map in state, so an update reads and
+    writes one segment, however many the meeting has. ``version`` counts a segment's changes.
+    """
+
+    OUT = "meeting_id string, seq long, seg_id string, change string, version long, text string, start_us long, end_us long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.segments = handle.getMapState("segments", "seg_id string", "version long, text string, start_us long, end_us long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        made = []
+        for r in _rows(rows).itertuples():
+            known = self.segments.getValue((r.seg_id,))[0] if self.segments.containsKey((r.seg_id,)) else -1
+            row = (known + 1, r.text, int(r.start_us), int(r.end_us))
+            self.segments.updateValue((r.seg_id,), row)
+            made.append((key[0], int(r.seq), r.seg_id, "updated" if known >= 0 else "appended", *row))
+        yield pd.DataFrame(made, columns=[c.split()[0] for c in self.OUT.split(", ")])
+
+
+class Arrivals(StatefulProcessor):
+    """Rows (meeting_id, seq, seg_id, end_us) with ``late``: whether a segment ends more than ``delay_us`` before the latest end so far.
+
+    State is one number a meeting. On a stream with a watermark and event-time
+    timers it goes once the watermark has passed ``forget_us`` beyond that end; rows
+    older than the watermark itself are dropped, and counted, by Spark.
+    """
+
+    OUT = "meeting_id string, seq long, seg_id string, end_us long, late boolean"
+
+    def __init__(self, delay_us: int = 10 * SECOND, forget_us: int | None = None):
+        self.delay_us, self.forget_us = delay_us, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.newest = handle, handle.getValueState("newest", "end_us long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        made = []
+        for r in _rows(rows).itertuples():
+            end = int(r.end_us)
+            made.append((key[0], int(r.seq), r.seg_id, end, newest is not None and end < newest - self.delay_us))
+            newest = end if newest is None else max(newest, end)
+        self.newest.update((newest,))
+        if self.forget_us is not None:
+            for timer in [t[0] if isinstance(t, (list, tuple)) else t for t in self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((newest + self.forget_us) // 1000)
+        yield pd.DataFrame(made, columns=[c.split()[0] for c in self.OUT.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        self.newest.clear()
+        yield pd.DataFrame([], columns=[c.split()[0] for c in self.OUT.split(", ")])
+
+
+def on_time(arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What came in time, and the side output of what came too late."""
+    return arrivals.filter(~F.col("late")), arrivals.filter("late")
+
+
 def latest(segments: DataFrame, key: Column, order: Column) -> DataFrame:
     """The last row of each key: upserts by id within a micro-batch or a table."""
     rows = F.struct(*segments.columns)

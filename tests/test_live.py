@@ -105,3 +105,89 @@ def test_live_segments_are_cleaned(spark):
     rows = [segment(0, "Hola arich", 0, 4), segment(1, "[Música]", 4, 5), segment(2, "a b c d e f g h", 5, 5.5)]
     done = live.clean_live(spark.createDataFrame(rows, SCHEMA), [("arich", "Aritz")]).collect()
     assert [(r.text, r.speaker_id) for r in done] == [("Hola Aritz", "")]
+
+
+def test_timed_cards_come_at_ticks_between_segments(spark):
+    rows = [segment(0, WORDS, 0, 20), segment(1, WORDS, 20, 32), segment(2, "uno", 100, 101), segment(3, WORDS + " dos tres", 101, 118), segment(4, "cuatro cinco seis siete ocho nueve diez once doce trece", 118, 121)]
+    done = live.run(spark.createDataFrame(rows, SCHEMA), "meeting_id", live.TimedCards()).collect()
+    # asked for at the tick of 45 s, before the next segment; the second at 118 + what is new
+    assert [(r.card, r.start_us // S, r.end_us // S) for r in done] == [(0, 0, 32), (1, 32, 121)]
+    assert done[0].text.startswith("alfa beta")
+
+
+def test_nothing_is_tried_while_a_card_is_made(spark):
+    def model(window, again):
+        return " ".join(window.split()[:12]) + "."
+
+    rows = [segment(0, WORDS + " " + " ".join(f"w{i}" for i in range(20)), 0, 46), segment(1, "tarde " + " ".join(f"x{i}" for i in range(40)), 46, 60), segment(2, "fin", 60, 63), segment(3, "fin", 63, 130)]
+    slow = live.TimedCards(model, lambda *_: None, latency_us=16 * S)
+    done = live.run(spark.createDataFrame(rows, SCHEMA), "meeting_id", slow).collect()
+    assert [(r.start_us // S, r.end_us // S) for r in done] == [(0, 46), (46, 63)]
+
+
+def test_a_card_of_an_old_session_never_comes(spark):
+    start = ("m", 1, "start", None, None, None, None, None)
+    rows = [segment(0, WORDS + " " + WORDS, 0, 50), start, segment(2, "hola", 0, 70)]
+    slow = live.TimedCards(latency_us=10 * S)
+    assert live.run(spark.createDataFrame(rows, SCHEMA), "meeting_id", slow).collect() == []
+    kept = live.run(spark.createDataFrame([rows[0], segment(2, "hola", 50, 70)], SCHEMA), "meeting_id", slow).collect()
+    assert [(r.card, r.end_us // S) for r in kept] == [(0, 50)]
+
+
+def _rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _files(path, batches, names):
+    path.mkdir()
+    for i, rows in enumerate(batches):
+        pd.DataFrame(rows, columns=names).to_json(path / f"{i}.json", orient="records", lines=True, date_format="iso")
+
+
+def test_cards_and_the_end_come_by_timers_without_new_rows(spark, tmp_path):
+    import time
+
+    _rocks(spark)
+    _files(tmp_path / "in", [[segment(0, WORDS + " " + WORDS, 0, 3), segment(1, "uno dos tres cuatro cinco seis siete ocho nueve diez", 3, 5, meeting="short")]], [c.split()[0] for c in SCHEMA.split(", ")])
+    stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+    by_clock = live.TimedCards(check=lambda *_: None, first_us=2 * S, tick_us=S, wall=True, idle_us=5 * S)
+    query = live.run(stream, "meeting_id", by_clock, time="ProcessingTime").writeStream.format("memory").queryName("timed_cards").outputMode("append").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("timed_cards").count() < 2:
+            time.sleep(1)
+        done = {r.meeting_id: (r.card, r.end_us // S) for r in spark.table("timed_cards").collect()}
+        ticks = [p for p in query.recentProgress if p["numInputRows"] > 0]
+    finally:
+        query.stop()
+    # the first came by a tick; the other one has too few words for that and came when its meeting had been silent
+    assert done == {"m": (0, 3), "short": (0, 5)} and len(ticks) == 1
+
+
+def test_segments_are_updated_by_id_within_and_across_batches(spark, tmp_path):
+    _rocks(spark)
+    row = lambda seq, seg, said: ("m", seq, seg, said, seq * S, (seq + 1) * S)
+    names = ["meeting_id", "seq", "seg_id", "text", "start_us", "end_us"]
+    _files(tmp_path / "in", [[row(0, "a", "hola"), row(1, "b", "uno"), row(2, "a", "hola a todos")], [row(3, "b", "dos"), row(4, "c", "tres")]], names)
+    schema = "meeting_id string, seq long, seg_id string, text string, start_us long, end_us long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    live.run(stream, "meeting_id", live.Segments()).writeStream.format("memory").queryName("upserts").outputMode("append").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination(120)
+    want = [(0, "a", "appended", 0, "hola"), (1, "b", "appended", 0, "uno"), (2, "a", "updated", 1, "hola a todos"), (3, "b", "updated", 1, "dos"), (4, "c", "appended", 0, "tres")]
+    assert sorted((r.seq, r.seg_id, r.change, r.version, r.text) for r in spark.table("upserts").collect()) == want
+
+
+def test_late_segments_go_to_the_side_and_state_is_forgotten(spark, tmp_path):
+    _rocks(spark)
+    at = lambda seq, seg, end, meeting="m": (meeting, seq, seg, end * S, pd.Timestamp(end, unit="s").isoformat())
+    names = ["meeting_id", "seq", "seg_id", "end_us", "at"]
+    batches = [[at(0, "a", 100), at(1, "b", 95), at(2, "c", 80)], [at(3, "d", 85), at(4, "e", 130)], [at(9, "x", 4000, "other")], [at(10, "y", 4001, "other")], [at(5, "f", 3990), at(11, "z", 1, "other")]]
+    _files(tmp_path / "in", batches, names)
+    stream = spark.readStream.schema("meeting_id string, seq long, seg_id string, end_us long, at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withWatermark("at", "60 seconds")
+    out = live.run(stream, "meeting_id", live.Arrivals(10 * S, 60 * S), time="EventTime")
+    query = out.writeStream.format("memory").queryName("arrivals").outputMode("append").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    timely, late = live.on_time(spark.table("arrivals"))
+    assert sorted(r.seg_id for r in late.collect()) == ["c", "d"]
+    # the first meeting's state is gone by the time of f, and z is older than the watermark
+    assert sorted(r.seg_id for r in timely.collect()) == ["a", "b", "e", "f", "x", "y"]
+    assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) == 1
