@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: A word of the fixed word rule: ASCII letters and digits, and every non-ASCII character.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def orderable(kind: DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(kind, ArrayType):
+        return orderable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def with_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``_k``, a never-null hash of id and text.
 

@@ -36,6 +36,8 @@ from .common import cut
 
 #: Up to so many lists their number is in proportion to the vectors.
 LISTS = 2048
+#: So many vectors are compared with all centroids at once.
+BLOCK = 512
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -51,7 +53,7 @@ def balanced_centroids(vectors: np.ndarray, k: int, rounds: int = 12, weight: fl
     c = vectors[rng.choice(len(vectors), min(k, len(vectors)), replace=False)]
     penalty = np.zeros(len(c))
     for _ in range(rounds):
-        own = np.argmax(vectors @ c.T - penalty, axis=1)
+        own = np.concatenate([np.argmax(vectors[i : i + BLOCK] @ c.T - penalty, axis=1) for i in range(0, len(vectors), BLOCK)])
         sizes = np.bincount(own, minlength=len(c))
         penalty = np.clip(penalty + weight * (sizes * len(c) / len(vectors) - 1), 0, 0.5)
         sums = np.zeros_like(c)
@@ -69,10 +71,10 @@ class CentroidGraph:
         self.c, n = centroids, len(centroids)
         degree = min(degree, n - 1)
         self.links = np.empty((n, degree), np.int64)
-        for start in range(0, n, 1000):
-            near = centroids[start : start + 1000] @ centroids.T
+        for start in range(0, n, BLOCK):
+            near = centroids[start : start + BLOCK] @ centroids.T
             near[np.arange(len(near)), np.arange(start, start + len(near))] = -2
-            self.links[start : start + 1000] = np.argsort(-near, axis=1)[:, :degree]
+            self.links[start : start + BLOCK] = np.argsort(-near, axis=1)[:, :degree]
         self.entries = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(int))
 
     def search(self, v: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, cut, with_key
+from .common import WORD_CLASS, cut, orderable, with_key
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -362,5 +362,7 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     heads = join_similar(docs, **how).select(F.col("class_id").alias("_d"), F.col("class_k").alias("_k2")).distinct()
     kept = keyed.join(heads, (F.col("_k") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     rows = [F.col(c) for c in docs.columns]
-    one = kept.groupBy("_k", F.col("doc_id").alias("_id")).agg(F.min(F.struct(*rows)).alias("row"))
+    # maps have no order, their JSON has
+    order = [c if orderable(docs.schema[c].dataType) else F.to_json(F.struct(c)) for c in docs.columns]
+    one = kept.groupBy("_k", F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*rows), F.struct(*order)).alias("row"))
     return one.select("row.*")

@@ -38,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import with_key
 from .suffixes import Digits, anchors, owned
@@ -239,6 +240,6 @@ def dedup_substrings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     second = survivors(probing(first).mapInArrow(_places_of_pass(depth, digit, True), GROUPED))
     third = repeated_windows(probing(second).mapInArrow(_window_rows(depth), GROUPED))
     known = beside(beside(beside(sized, first, "found", "found_1"), second, "found", "found_2"), third, "starts", "starts")
-    schema = ", ".join([*[f"{h} {docs.schema[c].dataType.simpleString()}" for c, h in zip(own, held)], RESULT])
+    schema = StructType([StructField(h, docs.schema[c].dataType) for c, h in zip(own, held)] + StructType.fromDDL(RESULT).fields)
     done = known.mapInArrow(_cut_out(depth), schema)
     return done.select(*[F.col(h).alias(c) for c, h in zip(own, held)], *made)

@@ -111,8 +111,10 @@ class Decoder:
         self.tokens: dict[str, _Token] = {}
 
     def options(self, segment: str) -> list[list[tuple[str, float]]]:
-        out, run = [], 0
+        """What each character may stand for; a sign that a segment begins with is a letter, as a space would cost nothing there."""
+        out, run, begun = [], 0, False
         for i, c in enumerate(segment):
+            leads, begun = not begun and c in SIGNS and c not in SEPARATORS, begun or c.isalpha() or c in SIGNS
             run = run + 1 if i and segment[i - 1] == c else 0
             if c.isalpha():
                 own = [(c, 0.0 if run < 1 else DOUBLE_COST if run == 1 else TRIPLE_COST)]
@@ -121,7 +123,7 @@ class Decoder:
             own = [(letter, SIGN_COST) for letter in SIGNS.get(c, "")]
             if c in SEPARATORS:
                 own += [("", DROP_COST), (" ", GAP_COST)]
-            out.append(own + [(" ", GAP_COST)] * (c not in SEPARATORS))
+            out.append(own + [(" ", GAP_COST)] * (c not in SEPARATORS and not leads))
         return out
 
     def decode(self, segment: str) -> str:

@@ -94,3 +94,18 @@ def test_nothing_to_compare_with(spark):
     assert find_contamination(docs, none).filter("contaminated").isEmpty()
     assert identify(docs.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").isEmpty()
     assert filter_urls(docs, [], url="text").filter("verdict <> 'allow' OR rule IS NOT NULL").isEmpty()
+
+
+def test_columns_that_cannot_be_compared_or_have_odd_names_pass_through(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.llm.ngram_join import keep_first
+    from colloquy.llm.suffix_dedup import dedup_substrings
+
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, long), (None, None), (3, "")], "doc_id long, text string")
+    docs = docs.withColumns({"m": F.create_map(F.lit("a"), F.col("doc_id")), "odd one": F.struct(F.lit(1).alias("a b"), F.col("doc_id").alias("c.d"))})
+    kept = keep_first(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, (r["m"] or {}).get("a"), r["odd one"]["a b"]) for r in kept.collect()) == [(0, None, 1), (1, 1, 1), (3, 3, 1)]
+    done = dedup_substrings(docs).collect()
+    assert len(done) == 5 and {r["odd one"]["a b"] for r in done} == {1}

@@ -288,3 +288,16 @@ def test_larger_budgets_nest(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     taken = [{r.doc_id for r in mixing.mix_sources(docs, weights=(1, w)).filter("source_size > 0 AND copies > 0").collect() if r.doc_id % 2} for w in (0.2, 0.5)]
     assert taken[0] < taken[1]
+
+
+def test_signs_at_the_beginning_of_a_word_are_letters(spark):
+    """In clean documents a word whose first letter is a sign is flagged as often as the plain word is."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    score = model.scorer()
+    clean = [r["text"] for r in docs.join(labels.filter("toxic = 0 AND quality = 1"), "doc_id").orderBy("doc_id").select("text").limit(200).collect()]
+    clean = [t for t in clean if len(t.split()) > 20 and score(t) < 0.5][:40]
+    flagged = lambda word: sum(score(" ".join([*t.split()[:10], word, *t.split()[10:]])) >= 0.5 for t in clean)
+    for plain, hidden in (("idiot", ("1diot", "1d10t", "!d!ot", "(1d10t)")), ("trash", ("7rash", "7r45h"))):
+        assert flagged(plain) >= 10
+        assert [h for h in hidden if flagged(h) < flagged(plain) - 2] == []

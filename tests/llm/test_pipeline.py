@@ -64,3 +64,12 @@ def test_empty_corpus(spark, corpus, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{corpus[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_second_run_leaves_the_first_result_readable(spark, tmp_path):
+    import corpus_pipeline
+
+    first = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    n = first.count()
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    assert first.count() == n and first.select("text").collect()
