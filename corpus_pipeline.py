@@ -11,6 +11,8 @@ untouched, whatever their names; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +82,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``."""
     shared_checkpoints(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{spark.sparkContext.applicationId}"
+    # a folder for each run: an earlier result may still be read
+    place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{place}/{i}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{i}-{name}")
         docs = spark.read.parquet(f"{place}/{i}-{name}")
     return docs
