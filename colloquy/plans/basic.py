@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import quality, text, times, vectors
-from ..operators import budgets, timeline
+from ..operators import budgets, timeline, windows
 from .derived import FRAMES, MEETINGS, WITH, frames, meetings, segments, spans, table
 from .registry import query
 
@@ -245,13 +245,29 @@ def agg_token_totals(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_partkey") % 100).alias("prompt"), F.sum(F.col("l_suppkey") % 100).alias("completion"), F.count("*").alias("stages"))
 
 
-@query(f"WITH {FRAMES}, g AS (SELECT audio_id, frame % 20 AS slot, frame % 3 AS spk, prob FROM frames), w AS (SELECT audio_id, slot, greatest(count(*), 1) AS weight FROM g GROUP BY ALL), a AS (SELECT audio_id, slot, spk, sum(prob) AS total FROM g GROUP BY ALL) SELECT a.audio_id, a.slot, a.spk, round(total / weight, 9) AS activation, round_even(round(total / weight, 9), 0)::BIGINT AS speakers FROM a JOIN w USING (audio_id, slot)")
+WINDOWED = """n AS (SELECT audio_id, max(frame) + 1 AS n FROM frames GROUP BY audio_id),
+w AS (SELECT audio_id, n, win, round_even((win * 1600)::DOUBLE / 16000 / 0.016875::DOUBLE, 0)::BIGINT AS first FROM (SELECT audio_id, n, unnest(range(n // 6 + 1)) AS win FROM n)),
+p AS (SELECT audio_id, win, first + f AS frame FROM (SELECT *, unnest(range(20)) AS f FROM w) WHERE first + f < ceil((n * 270)::DOUBLE / 16000 / 0.016875::DOUBLE) + 1),
+a AS (SELECT p.audio_id, p.win, p.frame, s, coalesce(prob, 0.0) * CASE WHEN (frame + s + win) % 3 = 0 THEN 1.0 ELSE 0.25 END AS act, (win + s) % 4 - 1 AS speaker FROM (SELECT *, unnest([0, 1, 2]) AS s FROM p) p LEFT JOIN frames USING (audio_id, frame)),
+c AS (SELECT audio_id, frame, count(DISTINCT win) AS weight, sum(act) AS acts FROM a GROUP BY ALL)"""
+
+
+@query(f"WITH {FRAMES}, {WINDOWED} SELECT a.audio_id, a.frame, speaker, round(sum(act) / min(weight), 9) AS activation, min(round_even(round(c.acts / weight, 9), 0))::BIGINT AS speakers FROM a JOIN c USING (audio_id, frame) WHERE speaker >= 0 GROUP BY a.audio_id, a.frame, speaker")
 def agg_frame_overlap_add(spark, sf):
-    g = frames(spark, sf).select("audio_id", (F.col("frame") % 20).alias("slot"), (F.col("frame") % 3).alias("spk"), "prob")
-    w = g.groupBy("audio_id", "slot").agg(F.greatest(F.count("*"), F.lit(1)).alias("weight"))
-    a = g.groupBy("audio_id", "slot", "spk").agg(F.sum("prob").alias("total")).join(w, ["audio_id", "slot"])
-    share = F.col("total") / F.col("weight")
-    return a.select("audio_id", "slot", "spk", F.round(share, 9).alias("activation"), F.bround(F.round(share, 9), 0).cast("long").alias("speakers"))
+    """Windows of 20 frames every tenth of a second, three local speakers in each, of which one may be nobody."""
+    f = frames(spark, sf)
+    n = f.groupBy("audio_id").agg((F.max("frame") + 1).alias("n"))
+    starts = n.select("audio_id", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 6))).alias("window"))
+    first = windows.first_frame(F.col("window") * 1600)
+    cells = starts.select("audio_id", "window", first.alias("first"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("at"))
+    cells = cells.withColumn("frame", F.col("first") + F.col("at")).join(f, ["audio_id", "frame"], "left")
+    act = lambda s: F.coalesce("prob", F.lit(0.0)) * F.when((F.col("frame") + s + F.col("window")) % 3 == 0, 1.0).otherwise(0.25)
+    heard = cells.groupBy("audio_id", "window").agg(F.array_sort(F.collect_list(F.struct("at", F.array(act(0), act(1), act(2)).alias("acts")))).alias("a"))
+    heard = heard.select("audio_id", "window", (F.col("window") * 1600).alias("start_sample"), F.transform("a", lambda x: x["acts"]).alias("frames"))
+    placed = windows.placed_windows(heard, n.select("audio_id", (F.col("n") * 270).alias("samples")))
+    who = starts.select("audio_id", "window", F.array(*[((F.col("window") + s) % 4 - 1).cast("int") for s in range(3)]).alias("speakers"))
+    acts, counts = windows.overlap_add(placed, who)
+    return acts.join(counts, ["audio_id", "frame"]).select("audio_id", "frame", "speaker", F.round("activation", 9).alias("activation"), "speakers")
 
 
 @query(f"{WITH} SELECT meeting_id, ord, array_to_string({TOKENS}, ' ') AS joined, len({TOKENS}) AS n FROM segments WHERE words > 0")

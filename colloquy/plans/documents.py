@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import minutes, text
 from ..functions.times import hms
-from ..operators import catalog, speakers
+from ..operators import catalog, speakers, windows
 from ..sinks import exports
 from ..sinks.archive import Archive
 from ..sources import meetings as meeting_files
@@ -355,6 +355,19 @@ def win_word_windows(spark, sf):
     return d.select("doc_id", F.size(minutes.word_windows(text.count_words(F.col("text")))).cast("long").alias("windows"))
 
 
+SUBTOKENS = """n AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: len(x) > 0), lambda x: (len(x) + 1) // 2) AS c FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, c, len(c) AS n, CASE WHEN len(c) <= 200 THEN 0 ELSE 30 END AS back, 0 AS start FROM n WHERE len(c) > 0)"""
+TAKEN = "least(200, n - start) - 20 * list_filter(range(11), lambda j: least(200, n - start) - 20 * j <= 20 OR list_sum(c[start + 1:start + least(200, n - start) - 20 * j]) + 2 <= 500)[1]"
+
+
+@query(f"WITH RECURSIVE {SUBTOKENS}, r AS (SELECT doc_id, c, n, back, start, {TAKEN} AS take FROM s UNION ALL SELECT doc_id, c, n, back, start, {TAKEN} AS take FROM (SELECT doc_id, c, n, back, start + greatest(1, take - back) AS start FROM r WHERE start + take < n)) SELECT doc_id, start::INT AS start, take::INT AS take FROM r")
+def win_subtoken_windows(spark, sf):
+    """Windows of words that hold 500 subtokens at most, two letters to a subtoken."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL")
+    counts = F.transform(text.words(F.col("text")), lambda w: F.floor((F.length(w) + 1) / 2).cast("int"))
+    return d.select("doc_id", F.explode(windows.subtoken_windows(counts)).alias("w")).select("doc_id", "w.start", "w.take")
+
+
 @query("WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: len(x) > 0)) AS n FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, n, unnest(range(n)) AS i FROM w), l AS (SELECT doc_id, string_agg(((i + least(i // 170 * 170, ceil(greatest(n - 200, 0) / 170)::BIGINT * 170)) % 5)::VARCHAR, '' ORDER BY i) AS labels FROM i GROUP BY doc_id) SELECT doc_id, coalesce(labels, '') AS labels FROM w LEFT JOIN l USING (doc_id)")
 def win_word_labels(spark, sf):
     """Labels of a fake model that depend on word and window, one for each word."""
