@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import cut
 
 
-def resolve_aliases(links: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(id, resolved) for links (id, target): each id's last target; chains halve every round, a cycle ends after ``most_rounds``."""
-    shared_folder(links.sparkSession)
-    state = links.select("id", F.col("target").alias("resolved")).checkpoint()
-    for _ in range(most_rounds):
-        onward = state.select(F.col("id").alias("_id"), F.col("resolved").alias("_next"))
-        step = state.join(onward, state["resolved"] == onward["_id"], "left").select("id", "resolved", "_next").checkpoint()
-        if step.filter("_next IS NOT NULL AND _next <> resolved").isEmpty():
+def resolve_aliases(links: DataFrame) -> DataFrame:
+    """(id, resolved) for links (id, target), one an id: each id's last target; in or before a cycle the cycle's least id.
+
+    What is resolved doubles its reach every round, so after as many rounds as the
+    number of links has binary digits only cycles are left.
+    """
+    state = cut(links.select("id", F.col("target").alias("resolved"), F.col("target").alias("least")))
+    onward = lambda: state.select(F.col("id").alias("_id"), F.col("resolved").alias("_next"), F.col("least").alias("_least"))
+    joined = lambda: state.join(onward(), F.col("resolved") == F.col("_id"), "left")
+    going = F.col("_next").isNotNull() & (F.col("_next") != F.col("resolved"))
+    for _ in range(state.count().bit_length() + 1):
+        step = cut(joined())
+        if step.filter(going).isEmpty():
             break
-        state = step.select("id", F.coalesce("_next", "resolved").alias("resolved"))
-    return state.select("id", "resolved")
+        state = step.select("id", F.coalesce("_next", "resolved").alias("resolved"), F.least("least", "_least").alias("least"))
+    return joined().select("id", F.when(going, F.col("_least")).otherwise(F.col("resolved")).alias("resolved"))
 
 
 def sync_participants(segments: DataFrame, participants: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import quality, text, times, vectors
-from ..operators import budgets, timeline, windows
+from ..operators import budgets, stages, timeline, windows
 from .derived import FRAMES, MEETINGS, WITH, frames, meetings, segments, spans, table
 from .registry import query
 
@@ -240,9 +240,12 @@ def agg_lexical_diversity(spark, sf):
     return t.select("meeting_id", "ord", F.round(d, 6).alias("diversity"), ((F.size("w") >= 15) & (d < 0.25)).alias("low"))
 
 
-@query("SELECT l_orderkey, sum(l_partkey % 100)::BIGINT AS prompt, sum(l_suppkey % 100)::BIGINT AS completion, count(*) AS stages FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, sum(l_partkey % 100)::BIGINT AS prompt, sum(l_suppkey % 100)::BIGINT AS completion, sum(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_linenumber END)::BIGINT AS reasoning, count(*) AS stages FROM lineitem GROUP BY l_orderkey")
 def agg_token_totals(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_partkey") % 100).alias("prompt"), F.sum(F.col("l_suppkey") % 100).alias("completion"), F.count("*").alias("stages"))
+    """Each order's lines are its stages; every third one reports no reasoning tokens."""
+    reasoning = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber"))
+    used = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 100).alias("prompt"), (F.col("l_suppkey") % 100).alias("completion"), reasoning.alias("reasoning"))
+    return stages.token_totals(used, "l_orderkey")
 
 
 WINDOWED = """n AS (SELECT audio_id, max(frame) + 1 AS n FROM frames GROUP BY audio_id),

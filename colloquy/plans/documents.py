@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import minutes, text
 from ..functions.times import hms
-from ..operators import catalog, speakers, windows
+from ..operators import catalog, speakers, stages, windows
 from ..sinks import exports
 from ..sinks.archive import Archive
 from ..sources import meetings as meeting_files
@@ -336,6 +336,25 @@ def str_prompts(spark, sf):
     return lines.select("meeting_id", minutes.prompt(F.lit("Resume."), F.col("meeting_id").cast("string"), F.col("lines")).alias("prompt"))
 
 
+@query()
+def str_prompt_stages(spark, sf):
+    """All prompts of minutes in stages: full ones, chunks, syntheses by level, drafts."""
+    done = stages.minutes_in_stages(meetings(spark, sf), segments(spark, sf), target_tokens=60, target_us=120_000_000, synthesis_tokens=80)
+    return done.select("meeting_id", "stage", "level", "ord", "prompt", "prompt_tokens", "completion_tokens")
+
+
+@query("SELECT doc_id, 'Continúa.' || chr(10) || chr(10) || array_to_string(l[greatest(len(l) - 14, 1):], chr(10)) AS prompt FROM (SELECT doc_id, string_split_regex(replace(text, '. ', '.' || chr(10)), '\r\n|\r|\n') AS l FROM documents)")
+def str_prompt_continuation(spark, sf):
+    """For documents that broke off, a line for each sentence."""
+    partial = F.replace("text", F.lit(". "), F.lit(".\n"))
+    return table(spark, sf, "documents").select("doc_id", minutes.continuation_prompt(F.lit("Continúa."), partial).alias("prompt"))
+
+
+@query(f"{WITH} SELECT meeting_id, ord, '<|im_start|>system' || chr(10) || 'Resume.' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || trim(text, E' \\n\\t\\r') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM segments")
+def str_prompt_live(spark, sf):
+    return segments(spark, sf).select("meeting_id", "ord", minutes.live_prompt(F.lit(" Resume. "), F.col("text")).alias("prompt"))
+
+
 BARE = r"CASE WHEN regexp_replace(w, '[.,?!:;\-]+$', '') = '' THEN w ELSE regexp_replace(w, '[.,?!:;\-]+$', '') END"
 LEAD = r"length(regexp_extract(b, '^\P{L}*'))"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import minutes, text
 from ..operators import timeline
 from ..operators.ranking import placed
 from .basic import TOKENS, VOCABULARY, vocabulary
@@ -136,10 +136,14 @@ def lim_aliases6(spark, sf):
     return vocabulary(spark, sf).select("item_id", F.size(F.slice(F.filter("aliases", lambda a: F.length(a) >= 2), 1, 6)).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, array_to_string(l[greatest(len(l) - 14, 1):], chr(10)) AS tail FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+ENDED = r"replace(replace(text, ' de', chr(13) || ' de'), ' the', chr(13) || chr(10) || ' the')"
+
+
+@query(rf"SELECT doc_id, array_to_string(l[greatest(len(l) - 14, 1):], chr(10)) AS tail FROM (SELECT doc_id, string_split_regex({ENDED}, '\r\n|\r|\n') AS l FROM documents)")
 def lim_tail_lines(spark, sf):
-    lines = F.split("text", "\n")
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(lines, F.greatest(F.size(lines) - 14, F.lit(1)), 15), "\n").alias("tail"))
+    """Of texts whose lines end in all three ways."""
+    ended = F.replace(F.replace("text", F.lit(" de"), F.lit("\r de")), F.lit(" the"), F.lit("\r\n the"))
+    return table(spark, sf, "documents").select("doc_id", minutes.tail_lines(ended).alias("tail"))
 
 
 CLEAN = r"list_distinct(list_filter(list_transform({0}, lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{Nd}}\s]', '', 'g')), lambda x: length(x) >= 3 AND x NOT IN ({1})))"
