@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import signal
-from ..operators import catalog, clustering, folds
+from ..operators import audio, catalog, clustering, folds
 from ..streaming import live
 from .derived import FRAMES, WITH, frames, segments, spans, table
 from .registry import query
@@ -116,24 +116,42 @@ def ml_plda(spark, sf):
     return clustering.cluster_meetings(_voiced(spark, sf), lambda x: clustering.agglomerate(clustering.unit_rows(plda.project(x)), 1.0))
 
 
-def _signals(spark, sf):
-    wave = F.transform(F.sequence(F.lit(0), F.lit(799)), lambda i: F.sin(i * F.col("vec_id") * 0.001) * 0.5)
-    return table(spark, sf, "embeddings").select("vec_id", wave.alias("samples"))
+RATES, TIMES = (8_000, 16_000, 32_000), 300
+
+
+def _recordings(spark, sf):
+    """16-bit WAV files of the vectors' components, repeated: three rates, one channel or two."""
+    number = lambda c: F.pmod(F.floor(c * 10_000), F.lit(65_536)).cast("int")
+    little = lambda c: F.concat(F.lpad(F.hex(number(c) % 256), 2, "0"), F.lpad(F.hex(F.floor(number(c) / 256)), 2, "0"))
+    e = table(spark, sf, "embeddings")
+    data = F.unhex(F.repeat(F.array_join(F.transform(F.col("embedding").cast("array<double>"), little), ""), TIMES))
+    size = 64 * TIMES * 2
+    heads = [struct.pack("<4sI8sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVEfmt ", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16, b"data", size) for rate in RATES for channels in (1, 2)]
+    head = F.get(F.array(*[F.lit(h) for h in heads]), (F.col("vec_id") % len(heads)).cast("int"))
+    return e.select(F.col("vec_id").alias("audio_id"), F.concat(head, data).alias("content"))
 
 
 @query()
 def sig_fbank(spark, sf):
-    m = _signals(spark, sf).select("vec_id", signal.filterbank("samples").alias("mel"))
-    return m.select("vec_id", F.size("mel").alias("frames"), F.round(F.get(F.get("mel", F.lit(0)), F.lit(0)), 4).alias("first"))
+    """The first value and the frames of every chunk of features, over recordings in blocks."""
+    bank = audio.filterbank_seconds(audio.decode_blocks(_recordings(spark, sf), 1, overlap=signal.FRAME - signal.HOP))
+    done = audio.normalised_chunks(bank)
+    return done.select(F.col("audio_id").alias("vec_id"), "chunk", "frames", F.round(F.get(F.get("mels", F.lit(0)), F.lit(0)), 4).alias("first"))
+
+
+DECODED = """r AS (SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 10000)) AS v, [8000, 8000, 16000, 16000, 32000, 32000][(vec_id % 6 + 1)::INT] AS rate, vec_id % 2 + 1 AS channels FROM embeddings),
+n AS (SELECT *, 19200 // channels AS n, rate / 16000.0::DOUBLE AS ratio FROM r),
+k AS (SELECT *, unnest(range(floor(n / ratio)::BIGINT)) AS k FROM n),
+p AS (SELECT *, floor(k * ratio)::BIGINT AS low, least(floor(k * ratio)::BIGINT + 1, n - 1) AS high FROM k),
+x AS (SELECT vec_id, k, k * ratio - low AS part, CASE WHEN channels = 1 THEN v[low % 64 + 1] ELSE (v[2 * low % 64 + 1] + v[(2 * low + 1) % 64 + 1]) / 2 END / 32768 AS a, CASE WHEN channels = 1 THEN v[high % 64 + 1] ELSE (v[2 * high % 64 + 1] + v[(2 * high + 1) % 64 + 1]) / 2 END / 32768 AS b FROM p)"""
 
 
-@query("SELECT vec_id, 400 AS n FROM embeddings")
+@query(f"WITH {DECODED} SELECT vec_id, k // 16000 AS block, count(*) AS n, sum((a + (b - a) * part) * (1 + k % 16000 % 7)) AS weighed FROM x GROUP BY ALL")
 def src_audio_decode(spark, sf):
-    """16-bit WAV files made of tones, decoded to 16 kHz mono."""
-    data = F.encode(F.repeat(F.lit("abcd"), 400), "US-ASCII")
-    head = struct.pack("<4sI8sIHHIIHH4sI", b"RIFF", 36 + 1600, b"WAVEfmt ", 16, 1, 1, 32_000, 64_000, 2, 16, b"data", 1600)
-    files = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit(head), data).alias("content"))
-    return files.select("vec_id", F.size(signal.wav_samples("content")).alias("n"))
+    """Recordings of several rates and channels in blocks of a second: each block's samples, weighed by their places."""
+    blocks = audio.decode_blocks(_recordings(spark, sf), 1)
+    weighed = F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * (1 + i % 7)), F.lit(0.0), lambda s, x: s + x)
+    return blocks.select(F.col("audio_id").alias("vec_id"), "block", F.size("samples").cast("long").alias("n"), weighed.alias("weighed"))
 
 
 # Streams, replayed over tables: the same processors as on a stream

@@ -72,38 +72,68 @@ class Mixer(_Keyed):
     missing counts as silence. A row of source ``flush`` sends all whole chunks and one last, partial one.
     """
 
-    SCHEMA = "mic array<double>, sys array<double>, n long"
+    SCHEMA = "mic binary, sys binary, n long"
     OUT = "meeting_id string, chunk long, samples array<double>, dominant string, mic_rms double, sys_rms double"
 
     def first(self):
-        return [], [], 0
+        return b"", b"", 0
 
     def step(self, state, rows):
-        mic, sys, n = list(state[0]), list(state[1]), state[2]
+        mic, sys, n = _Ring(state[0]), _Ring(state[1]), state[2]
         made = []
 
         def ready() -> bool:
-            return min(len(mic), len(sys)) >= CHUNK or max(len(mic), len(sys)) >= 3 * CHUNK
+            return min(mic.n, sys.n) >= CHUNK or max(mic.n, sys.n) >= 3 * CHUNK
 
         def send() -> None:
             nonlocal n
-            a, b = (np.array((q[:CHUNK] + [0.0] * CHUNK)[:CHUNK]) for q in (mic, sys))
-            del mic[:CHUNK], sys[:CHUNK]
+            a, b = mic.take(CHUNK), sys.take(CHUNK)
             both = a + b
             loud = np.abs(both) > 0.90
-            both = np.clip(np.where(loud, np.sign(both) * (0.90 + 0.10 * np.tanh((np.abs(both) - 0.90) / 0.10)), both), -1, 1)
+            if loud.any():
+                both = np.where(loud, np.sign(both) * (0.90 + 0.10 * np.tanh((np.abs(both) - 0.90) / 0.10)), both)
+            both = np.clip(both, -1, 1)
             left, right = np.sqrt((a * a).mean()), np.sqrt((b * b).mean())
-            made.append((n, both.tolist(), "mic" if left >= right else "sys", float(left), float(right)))
+            made.append((n, both, "mic" if left >= right else "sys", float(left), float(right)))
             n += 1
 
-        for r in rows.itertuples():
-            if r.source != "flush":
-                (mic if r.source == "mic" else sys).extend(float(x) for x in r.samples)
+        for source, samples in zip(rows["source"], rows["samples"]) if len(rows) else ():
+            if source != "flush":
+                (mic if source == "mic" else sys).put(samples)
             while ready():
                 send()
-            if r.source == "flush" and (mic or sys):
+            if source == "flush" and (mic.n or sys.n):
                 send()
-        return (mic, sys, n), made
+        return (mic.packed(), sys.packed(), n), made
+
+
+class _Ring:
+    """Samples that wait, as blocks; packed as bytes in state."""
+
+    def __init__(self, packed: bytes):
+        self.blocks, self.n = [], 0
+        self.put(np.frombuffer(bytes(packed), "<f8"))
+
+    def put(self, samples) -> None:
+        block = np.asarray(samples, "<f8")
+        if len(block):
+            self.blocks.append(block)
+            self.n += len(block)
+
+    def take(self, size: int) -> np.ndarray:
+        """The first samples; what is missing is silence."""
+        out, at = np.zeros(size), 0
+        while self.blocks and at < size:
+            part = self.blocks[0][: size - at]
+            out[at : at + len(part)] = part
+            at += len(part)
+            rest = self.blocks[0][len(part) :]
+            self.blocks[:1] = [rest] if len(rest) else []
+        self.n -= at
+        return out
+
+    def packed(self) -> bytes:
+        return np.concatenate(self.blocks).tobytes() if self.blocks else b""
 
 
 class SpeechSessions(_Keyed):

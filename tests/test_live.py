@@ -191,3 +191,35 @@ def test_late_segments_go_to_the_side_and_state_is_forgotten(spark, tmp_path):
     # the first meeting's state is gone by the time of f, and z is older than the watermark
     assert sorted(r.seg_id for r in timely.collect()) == ["a", "b", "e", "f", "x", "y"]
     assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) == 1
+
+
+def test_mixer_equals_lists_of_samples_in_any_batches():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [("flush" if i % 17 == 16 else str(rng.choice(["mic", "sys"])), rng.uniform(-0.9, 0.9, int(rng.integers(0, 2500)))) for i in range(80)]
+    mic, sys, want = [], [], []
+
+    def send():
+        a, b = (np.array((q[:1600] + [0.0] * 1600)[:1600]) for q in (mic, sys))
+        del mic[:1600], sys[:1600]
+        both = a + b
+        both = np.where(np.abs(both) > 0.9, np.sign(both) * (0.9 + 0.1 * np.tanh((np.abs(both) - 0.9) / 0.1)), both)
+        want.append((len(want), np.clip(both, -1, 1), (a * a).mean() ** 0.5, (b * b).mean() ** 0.5))
+
+    for source, samples in rows:
+        if source != "flush":
+            (mic if source == "mic" else sys).extend(samples.tolist())
+        while min(len(mic), len(sys)) >= 1600 or max(len(mic), len(sys)) >= 4800:
+            send()
+        if source == "flush" and (mic or sys):
+            send()
+    for size in (1, 7, 80):
+        mixer, state, got = live.Mixer(), live.Mixer().first(), []
+        for i in range(0, len(rows), size):
+            part = pd.DataFrame(rows[i : i + size], columns=["source", "samples"])
+            state, made = mixer.step(state, part)
+            got += made
+        assert len(got) == len(want) > 20
+        for g, w in zip(got, want):
+            assert g[0] == w[0] and np.allclose(g[1], w[1]) and g[2] == ("mic" if w[2] >= w[3] else "sys") and np.isclose(g[3], w[2]) and np.isclose(g[4], w[3])
