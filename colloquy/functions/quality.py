@@ -44,33 +44,38 @@ def _loop(w: Column) -> Column:
     n_words = F.size(w)
 
     def thrice(n: int) -> Column:
-        here = lambda i: (F.slice(w, i + 1, n) == F.slice(w, i + n + 1, n)) & (F.slice(w, i + 1, n) == F.slice(w, i + 2 * n + 1, n))
+        # most places differ in the first word already
+        here = lambda i: (_at(w, i) == _at(w, i + n)) & (F.slice(w, i + 1, n) == F.slice(w, i + n + 1, n)) & (F.slice(w, i + 1, n) == F.slice(w, i + 2 * n + 1, n))
         starts = F.filter(F.sequence(F.lit(0), F.greatest(n_words - 3 * n, F.lit(0))), here)
         return F.when(n_words >= 3 * n, F.get(starts, F.lit(0)))
 
-    def fault_of(n: int):
-        return lambda start: _fault("NgramRepetitionLoop", _repeats(w, start, n))
+    def fault_of(n: int) -> Column:
+        return let(thrice(n), lambda start: F.when(start.isNotNull(), _fault("NgramRepetitionLoop", _repeats(w, start, n))))
 
     four = lambda i: (_at(w, i) == _at(w, i + 1)) & (_at(w, i) == _at(w, i + 2)) & (_at(w, i) == _at(w, i + 3))
     single = F.exists(F.sequence(F.lit(0), F.greatest(n_words - 4, F.lit(0))), lambda i: F.coalesce(four(i), F.lit(False)))
     out = F.when(n_words < 4, F.lit(None).cast(FAULT)).when(single, _fault("NgramRepetitionLoop", F.lit(4)))
-    for n in range(2, 6):
-        out = out.when(thrice(n).isNotNull(), let(thrice(n), fault_of(n)))
     diversity = F.size(F.array_distinct(w)) / n_words
-    return out.when((n_words >= 15) & (diversity < 0.25), _fault("NgramRepetitionLoop", diversity))
+    poor = F.when((n_words >= 15) & (diversity < 0.25), _fault("NgramRepetitionLoop", diversity))
+    return out.otherwise(F.coalesce(*[fault_of(n) for n in range(2, 6)], poor))
 
 
 def lexical_diversity(tokens: Column) -> Column:
     return F.try_divide(F.size(F.array_distinct(F.transform(tokens, lambda x: F.lower(x)))), F.size(tokens))
 
 
-def vocabulary_echo(tokens: Column, terms: Column) -> Column:
+def glossary_words(terms: Column) -> Column:
+    """The words of a glossary's terms in order; compute them once for each glossary, not for each text."""
+    return F.filter(F.flatten(F.transform(terms, lambda t: F.split(F.lower(t), r'[ \t\r\n,.;:!?()\[\]"«»]+'))), lambda x: F.length(x) >= 2)
+
+
+def vocabulary_echo(tokens: Column, terms: Column, glossary: Column | None = None) -> Column:
     """A fault if the glossary was read out rather than speech; else null.
 
-    The order match is a greedy scan that never starts over: the first word that
+    ``glossary``: the terms' ``glossary_words``, if they are known already. The order match is a greedy scan that never starts over: the first word that
     no later glossary word equals ends it.
     """
-    glossary = F.filter(F.flatten(F.transform(terms, lambda t: F.split(F.lower(t), r'[ \t\r\n,.;:!?()\[\]"«»]+'))), lambda x: F.length(x) >= 2)
+    glossary = glossary_words(terms) if glossary is None else glossary
     given = F.struct(F.transform(tokens, lambda x: F.lower(x)).alias("w"), glossary.alias("glossary"), F.size(terms).alias("terms"))
     return let(given, lambda x: _echo(x["w"], x["glossary"], x["terms"]))
 
@@ -93,13 +98,13 @@ def _echo(w: Column, glossary: Column, n_terms: Column) -> Column:
     return F.when(by_share, _fault("VocabularyEchoing", share)).when(by_order, _fault("VocabularyEchoing", in_order))
 
 
-def detect_anomaly(text: Column, seconds: Column, terms: Column | None = None) -> Column:
+def detect_anomaly(text: Column, seconds: Column, terms: Column | None = None, glossary: Column | None = None) -> Column:
     """The first fault of rate, loop and echo; null for none."""
 
     def first(tokens: Column) -> Column:
         checks = [speech_rate(F.size(tokens), seconds), ngram_loop(tokens)]
         if terms is not None:
-            checks.append(F.when(F.size(terms) > 0, vocabulary_echo(tokens, terms)))
+            checks.append(F.when(F.size(terms) > 0, vocabulary_echo(tokens, terms, glossary)))
         return F.when(F.size(tokens) > 0, F.coalesce(*checks))
 
     return let(asr_words(text), first)

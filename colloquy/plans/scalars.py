@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import quality, text, times, vectors
 from ..functions.words import FUNCTION_WORDS, HALLUCINATIONS, INCOMPLETE_ENDINGS, PREAMBLES, STOP_WORDS
 from ..operators import aliases
+from ..sources.shared import cut
 from .basic import ASR, TOKENS
 from .derived import WITH, segments, table
 from .registry import query
@@ -137,9 +138,10 @@ def _with_terms(spark, sf):
     b = table(spark, sf, "benchmark").filter("text IS NOT NULL")
     glossaries = b.groupBy(F.floor(F.col("item_id") / 20).alias("g")).agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("t"))
     glossaries = glossaries.select("g", F.transform("t", lambda x: x["text"]).alias("terms"))
+    glossaries = cut(glossaries.withColumn("glossary", quality.glossary_words(F.col("terms"))))  # parsed once, not for each segment
     n = (b.agg(F.max(F.floor(F.col("item_id") / 20))).first()[0] or 0) + 1
     s = segments(spark, sf).withColumn("g", F.pmod("meeting_id", F.lit(n)))
-    return s.join(glossaries, "g", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    return s.join(glossaries, "g", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("terms", "glossary")})
 
 
 TERMS = "gl AS (SELECT item_id // 20 AS g, list(text ORDER BY item_id, text) AS terms FROM benchmark WHERE text IS NOT NULL GROUP BY ALL), gs AS (SELECT s.*, coalesce(gl.terms, []) AS terms FROM (SELECT *, meeting_id % (SELECT max(item_id // 20) + 1 FROM benchmark) AS g FROM segments) s LEFT JOIN gl USING (g))"
@@ -152,13 +154,13 @@ gf AS (SELECT meeting_id, ord, CASE WHEN len(w) >= 5 AND len(g) > 0 AND share >=
 
 @query(f"{WITH}, {TERMS}, {ECHO} SELECT meeting_id, ord, CASE WHEN echo IS NOT NULL THEN 'VocabularyEchoing' END AS type, round(echo, 6) AS metric FROM gf")
 def qa_vocab_echo(spark, sf):
-    s = _with_terms(spark, sf).select("meeting_id", "ord", quality.vocabulary_echo(text.asr_words(F.col("text")), F.col("terms")).alias("fault"))
+    s = _with_terms(spark, sf).select("meeting_id", "ord", quality.vocabulary_echo(text.asr_words(F.col("text")), F.col("terms"), F.col("glossary")).alias("fault"))
     return s.select("meeting_id", "ord", "fault.type", F.round("fault.metric", 6).alias("metric"))
 
 
 @query(f"{WITH}, {TERMS}, {ECHO}, w AS (SELECT meeting_id, ord, list_transform({ASR}, lambda x: lower(x)) AS w, words * (CASE ord % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.1 ELSE 0.4 END)::DOUBLE AS s FROM segments) SELECT meeting_id, ord, CASE WHEN len(w) = 0 THEN NULL WHEN (s < 0.5 AND len(w) >= 3) OR (s < 1 AND len(w) >= 6) OR (s >= 1 AND len(w) / s > 8 AND len(w) >= 10) THEN 'SpeechRateExceeded' WHEN ({LOOP}) IS NOT NULL THEN 'NgramRepetitionLoop' WHEN echo IS NOT NULL THEN 'VocabularyEchoing' END AS type FROM w JOIN gf USING (meeting_id, ord)")
 def qa_detect_anomaly(spark, sf):
-    return _with_terms(spark, sf).select("meeting_id", "ord", quality.detect_anomaly(F.col("text"), _seconds(), F.col("terms"))["type"].alias("type"))
+    return _with_terms(spark, sf).select("meeting_id", "ord", quality.detect_anomaly(F.col("text"), _seconds(), F.col("terms"), F.col("glossary"))["type"].alias("type"))
 
 
 FAULTY = f"(len(w) > 0 AND ((s < 0.5 AND len(w) >= 3) OR (s < 1 AND len(w) >= 6) OR (s >= 1 AND len(w) / s > 8 AND len(w) >= 10) OR ({LOOP}) IS NOT NULL))"
