@@ -42,24 +42,45 @@ from .common import cut
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BUCKETS = 1 << 16
+#: Ids, with those of bytes that are no tokens, are below this.
+ID_BITS = 20
+ID_LIMIT = 1 << ID_BITS
+#: In pieces of more parts all occurrences of a pair are joined at once.
+LONG = 32
+#: Spreads pairs over buckets.
+PAIR_SHIFT = 7
+#: Where an entry of the fold holds a rank; below there is room for a place.
+RANK_BITS = 42
 BLOCK = 4000
 
 
 def read_ranks(path: str = VOCABULARY) -> list[bytes]:
-    """The tokens of a rank file by id; checks that each is what its own bytes are encoded as, by joins of rising rank."""
+    """The tokens of a rank file by id."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
+    return tokens
+
+
+def last_joins(tokens: list[bytes]) -> dict[tuple[bytes, bytes], int]:
+    """Which two parts each token's own bytes end in before they are the token; checks that joins of rising rank lead there.
+
+    With that property no other two parts ever stand where they make up the token:
+    what happens within its bytes is what happens when they are encoded alone.
+    """
+    ranks, out = {t: i for i, t in enumerate(tokens) if t}, {}
     for token in ranks:
         parts, last = [token[i : i + 1] for i in range(len(token))], -1
         while len(parts) > 1:
             rank, i = min((ranks.get(parts[i] + parts[i + 1], len(tokens)), i) for i in range(len(parts) - 1))
             if not last <= rank < len(tokens):
                 raise ValueError(f"token {token!r} is not what its bytes are encoded as by joins of rising rank")
+            if len(parts) == 2:
+                out[parts[0], parts[1]] = rank
             parts[i : i + 2], last = [parts[i] + parts[i + 1]], rank
-    return tokens
+    return out
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -85,21 +106,35 @@ def _looked_up(buckets: Column, key: Column) -> Column:
     return F.try_element_at(F.get(buckets, F.xxhash64(key).bitwiseAND(BUCKETS - 1).cast("int")), key)
 
 
+def _joined_id(joins: Column, first: Column, second: Column) -> Column:
+    """The id of the token that two parts join to, else null."""
+    bucket = F.shiftleft(first, PAIR_SHIFT).bitwiseXOR(second).bitwiseAND(BUCKETS - 1).cast("int")
+    return F.try_element_at(F.get(joins, bucket), F.shiftleft(first, ID_BITS).bitwiseOR(second).cast("string"))
+
+
 class Vocabulary:
-    """Literals of a rank file: ids by bytes, bytes by id."""
+    """Literals of a rank file: joined ids by pairs of ids, bytes by id."""
 
     def __init__(self, tokens: list[bytes]):
-        text = [t.decode("latin-1") for t in tokens]
+        self.n = len(tokens)
+        if self.n + 256 > ID_LIMIT:
+            raise ValueError(f"a vocabulary of more than {ID_LIMIT - 256} tokens")
+        ids = {t: i for i, t in enumerate(tokens) if t}
+        # bytes that are no tokens get numbers beyond all ids
+        self.alone = [ids.setdefault(bytes([i]), self.n + i) for i in range(256)]
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for i, t in enumerate(text):
-            if t:
-                buckets[_place(t)][t] = i
-        self.ids = _literal(buckets, "array<map<string,int>>")
-        self.bytes = _literal(text, "array<string>")
+        for pair, joined in last_joins(tokens).items():
+            first, second = (ids[part] for part in pair)
+            buckets[(first << PAIR_SHIFT ^ second) % BUCKETS][str(first << ID_BITS | second)] = joined
+        self.joins = _literal(buckets, "array<map<string,bigint>>")
+        self.bytes = _literal([t.decode("latin-1") for t in tokens], "array<string>")
+
+    def fold(self, word: Column, joins: Column) -> Column:
+        return fold(word, joins, self.alone, self.n)
 
     def folded(self, word: Column) -> Column:
-        """The ids of one piece of text, array<int>."""
-        return bind(self.ids, lambda ids: fold(word, ids))
+        """The ids of one piece of text, array<bigint>."""
+        return bind(self.joins, lambda joins: self.fold(word, joins))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids, binary."""
@@ -107,41 +142,50 @@ class Vocabulary:
         return F.encode(shown, "ISO-8859-1")
 
 
-def fold(word: Column, ids: Column) -> Column:
-    """The ids of one piece of text, array<int>; ``ids`` is a vocabulary's literal, bound once."""
-    rank = lambda piece: _looked_up(ids, piece)
-    start = F.regexp_extract_all(latin(F.encode(word, "UTF-8")), F.lit("(?s)."), F.lit(0))
+def fold(word: Column, joins: Column, alone: list[int], n: int) -> Column:
+    """The ids of one piece of text, array<bigint>; ``joins`` is a vocabulary's literal, bound once, ``alone`` the bytes' ids, of which those from ``n`` on are no tokens."""
+    chars = F.when(F.octet_length(word) > 0, F.split(latin(F.encode(word, "UTF-8")), "")).otherwise(F.array().cast("array<string>"))
+    start = F.transform(chars, lambda c: F.get(F.lit(alone).cast("array<bigint>"), F.ascii(c)))
 
-    # a pair's rank stands at its first part; the last part has none
-    state = lambda parts, ranks, done: F.struct(parts.alias("parts"), ranks.alias("ranks"), F.lit(done).alias("done"))
-    ranked = lambda parts: F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda x, y: rank(F.concat(x, y)))
+    # a part's entry is what it and its next one join to (or ID_LIMIT) in the high bits, its own id in the low ones
+    own = lambda entry: entry.bitwiseAND(ID_LIMIT - 1)
+    goal = lambda entry: F.shiftright(entry, RANK_BITS)
+    entry = lambda x, y: F.shiftleft(F.coalesce(_joined_id(joins, x, y), F.lit(ID_LIMIT).cast("bigint")), RANK_BITS).bitwiseOR(x)
+    entries = lambda parts: F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), entry)
 
     def step(s: Column, _: Column) -> Column:
-        parts, ranks = s["parts"], s["ranks"]
-        several = lambda best: F.size(F.filter(ranks, lambda r: r == best)) > 1
-        everywhere = lambda best: bind(_joined(parts, ranks, best), lambda p: state(p, ranked(p), False))
-        once = lambda best: bind(F.array_position(ranks, best).cast("int"), lambda at: bind(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1)), lambda token: one(parts, ranks, at, token)))
-        joined = bind(F.array_min(ranks), lambda best: F.when(best.isNull(), state(parts, ranks, True)).when(several(best), everywhere(best)).otherwise(once(best)))
-        return F.when(s["done"], s).otherwise(joined)
+        """Joins the least rank's first pair, which one number holds, rank and place.
+
+        Bit operations and passes over the array, as the JVM's array_position, slice,
+        concat and checked sums cost several times that where they are interpreted.
+        """
+        least = F.array_min(F.transform(s, lambda e, i: e.bitwiseAND(-1 << RANK_BITS).bitwiseOR(i.cast("bigint"))))
+        return bind(least, lambda m: F.when(m >= ID_LIMIT << RANK_BITS, s).otherwise(joined(s, goal(m), m.bitwiseAND((1 << RANK_BITS) - 1).cast("int"))))
+
+    def joined(s: Column, token: Column, at: Column) -> Column:
+        several = (F.size(s) > LONG) & (F.size(F.filter(s, lambda e: goal(e) == token)) > 1)
+        everywhere = bind(F.transform(s, own), lambda parts: bind(_joined(parts, F.transform(s, goal), token, at), entries))
+        return F.when(several, everywhere).otherwise(bind(at - 1, lambda before: bind(at + 1, lambda after: once(s, token, before, after))))
+
+    def once(s: Column, token: Column, before: Column, after: Column) -> Column:
+        def changed(e: Column, i: Column) -> Column:
+            far = F.when(i > after, e).when(i < before, e)
+            return far.when(i == before, entry(own(e), token)).when(i < after, entry(token, own(F.get(s, after + 1))))
 
-    def one(parts: Column, ranks: Column, at: Column, token: Column) -> Column:
-        before = F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(F.concat(F.get(parts, at - 2), token))))).otherwise(F.array().cast("array<int>"))
-        after = F.array(rank(F.concat(token, F.get(parts, at + 1))))
-        return state(F.concat(F.slice(parts, F.lit(1), at - 1), F.array(token), F.slice(parts, at + 2, F.size(parts))), F.concat(before, after, F.slice(ranks, at + 2, F.size(parts))), False)
+        return F.filter(F.transform(s, changed), lambda e: e.isNotNull())
 
-    pieces = bind(start, lambda parts: F.aggregate(F.sequence(F.lit(1), F.size(parts)), state(parts, ranked(parts), False), step)["parts"])
-    return F.transform(pieces, rank)
+    folded = lambda parts: F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), entries(parts), step)
+    pieces = F.transform(bind(start, folded), own)
+    return pieces if max(alone) < n else F.filter(pieces, lambda i: i < n)
 
 
-def _joined(parts: Column, ranks: Column, best: Column) -> Column:
-    """All neighbours of the best rank as one part each, from left to right.
+def _joined(parts: Column, ranks: Column, token: Column, at: Column) -> Column:
+    """All neighbours that join to ``token``, of which the first are at ``at``, as one part each, from left to right.
 
     Pairs of different parts never overlap. Pairs of equal parts do, in runs: those are joined two by two.
     """
-    at = F.array_position(ranks, best).cast("int")
-    first, second = F.element_at(parts, at), F.element_at(parts, at + 1)
-    token = F.concat(first, second)
-    hit = lambda i: F.coalesce(F.get(ranks, i) == best, F.lit(False))
+    first, second = F.get(parts, at), F.get(parts, at + 1)
+    hit = lambda i: F.coalesce(F.get(ranks, i) == token, F.lit(False))
     apart = F.filter(F.transform(parts, lambda x, i: F.when(hit(i), token).when((i == 0) | ~hit(i - 1), x)), lambda x: x.isNotNull())
     places = lambda edge: F.filter(F.transform(parts, lambda x, i: F.when((x == first) & edge(i), i)), lambda i: i.isNotNull())
     other = lambda i: F.coalesce(F.get(parts, i) != first, F.lit(True))
@@ -223,12 +267,12 @@ def encode_texts(docs: DataFrame, path: str = VOCABULARY, text: str = "text", *,
     vocabulary = vocabulary or Vocabulary(read_ranks(path))
     cut_at = pattern(docs.sparkSession)
     words = piece_dictionary(docs, vocabulary, cut_at, dictionary, longest, text)
-    def block_ids(block: Column, words: Column, ranks: Column) -> Column:
-        of = lambda w: F.coalesce(_looked_up(words, w), F.array_join(fold(w, ranks).cast("array<string>"), " "))
+    def block_ids(block: Column, words: Column, joins: Column) -> Column:
+        of = lambda w: F.coalesce(_looked_up(words, w), F.array_join(vocabulary.fold(w, joins).cast("array<string>"), " "))
         return F.split(F.array_join(F.transform(F.regexp_extract_all(block, F.lit(cut_at), F.lit(0)), of), " "), " ").cast("array<int>")
 
     # literals are bound once: every mention would be a copy in each task
-    ids = bind(words, lambda known: bind(vocabulary.ids, lambda ranks: F.flatten(F.transform(blocks(F.coalesce(F.col(text), F.lit(""))), lambda block: block_ids(block, known, ranks)))))
+    ids = bind(words, lambda known: bind(vocabulary.joins, lambda joins: F.flatten(F.transform(blocks(F.coalesce(F.col(text), F.lit(""))), lambda block: block_ids(block, known, joins)))))
     return docs.select(*[c for c in docs.columns if c != "token_ids"], ids.alias("token_ids"))
 
 

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from colloquy.llm.byte_bpe import Vocabulary, blocks, decode_ids, encode_texts, pattern, read_ranks, round_trip
+from colloquy.llm.byte_bpe import Vocabulary, blocks, decode_ids, encode_texts, last_joins, pattern, read_ranks, round_trip
 from colloquy.llm.filter_audit import RemovalPolynomial, audit_filters, mask_counts
 from colloquy.llm.hard_negatives import mine
 
@@ -78,7 +78,7 @@ def test_bpe_refuses_ranks_that_do_not_rise(tmp_path):
     path = tmp_path / "ranks"
     path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
     with pytest.raises(ValueError, match="rising rank"):
-        read_ranks(str(path))
+        last_joins(read_ranks(str(path)))
 
 
 def failed(text, is_copy):
