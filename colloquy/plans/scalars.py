@@ -240,10 +240,17 @@ def js_chat_response(spark, sf):
     return out.select("event_id", "r.id", "r.content", "r.truncated", "r.total")
 
 
-@query("SELECT event_id, lower(event_type) = 'error' AS truncated, event_id % 7 + event_id % 11 AS total FROM events")
+@query("SELECT event_id, coalesce(lower(event_type) = 'error', false) AS truncated, CASE WHEN event_id % 3 = 0 THEN event_id % 5 ELSE event_id % 7 + event_id % 11 END AS total FROM events")
 def js_usage_flags(spark, sf):
+    """Responses that end in ``LENGTH`` or else, every third one with a total of its own."""
+    from ..sources.chat import parse_chat
+
     e = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", (F.lower("event_type") == "error").alias("truncated"), F.coalesce(F.lit(None).cast("long"), e % 7 + e % 11).alias("total"))
+    finish = F.when(F.lower("event_type") == "error", "LENGTH").otherwise("stop")
+    own = F.when(e % 3 == 0, F.format_string(',"total_tokens":%d', e % 5)).otherwise("")
+    usage = F.concat(F.format_string('"prompt_tokens":%d,"completion_tokens":%d', e % 7, e % 11), own)
+    body = F.concat(F.lit('{"choices":[{"finish_reason":"'), finish, F.lit('","message":{"content":"x"}}],"usage":{'), usage, F.lit("}}"))
+    return table(spark, sf, "events").select("event_id", parse_chat(body).alias("r")).select("event_id", "r.truncated", "r.total")
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1]::DOUBLE END AS x FROM embeddings")
