@@ -29,6 +29,8 @@ HEAD = 1 << 16
 SECOND = RATE // HOP
 #: Features of a chunk: ten seconds, as many frames as lie wholly in them.
 CHUNK = 998
+#: About so many samples or features are handed on by a task at a time, however many rows a batch has.
+PIECE = 1 << 21
 HEADER = "format int, channels int, rate int, bits int, data_at long, data_size long"
 
 
@@ -77,6 +79,12 @@ def _header(head: Column) -> Column:
     return made(head)
 
 
+def _pieces(batch: pd.DataFrame, sizes: pd.Series) -> Iterator[pd.DataFrame]:
+    """The batch's rows in turn, about ``PIECE`` of what they make at a time."""
+    for _, part in batch.groupby((sizes.cumsum() - sizes) // PIECE, sort=False):
+        yield part
+
+
 def decode_blocks(files: DataFrame, seconds: int = 60, overlap: int = 0) -> DataFrame:
     """(audio_id, block, first, total, samples): files (audio_id, content) as 16 kHz mono in blocks of so many seconds.
 
@@ -99,14 +107,15 @@ def decode_blocks(files: DataFrame, seconds: int = 60, overlap: int = 0) -> Data
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = []
-            for r in batch.itertuples():
-                mono = frames_of(bytes(r.data), r.format, r.bits, r.channels)
-                at = (r.first + np.arange(r.count)) * r.ratio
-                low = np.floor(at).astype(np.int64)
-                a, b = mono[low - r.begin], mono[np.minimum(low + 1, r.n - 1) - r.begin]
-                made.append((a + (b - a) * (at - low)).astype(np.float32))
-            yield batch[["audio_id", "block", "first", "total"]].assign(samples=made)
+            for part in _pieces(batch, batch["count"]):
+                made = []
+                for r in part.itertuples():
+                    mono = frames_of(bytes(r.data), r.format, r.bits, r.channels)
+                    at = (r.first + np.arange(r.count)) * r.ratio
+                    low = np.floor(at).astype(np.int64)
+                    a, b = mono[low - r.begin], mono[np.minimum(low + 1, r.n - 1) - r.begin]
+                    made.append((a + (b - a) * (at - low)).astype(np.float32))
+                yield part[["audio_id", "block", "first", "total"]].assign(samples=made)
 
     kind = files.schema["audio_id"].dataType.simpleString()
     # from here on a block is a row of its own, wherever its file was read
@@ -140,13 +149,16 @@ def normalised_chunks(seconds: DataFrame) -> DataFrame:
     ten = W.partitionBy("audio_id").orderBy("second").rowsBetween(0, 9)
     held = seconds.select("audio_id", F.col("second").alias("chunk"), F.slice(F.flatten(F.collect_list("mels").over(ten)), 1, CHUNK).alias("mels"))
 
-    @F.pandas_udf("array<array<double>>")
-    def normalised(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = []
-            for mels in batch:
-                x = np.stack([np.asarray(m, float) for m in mels])
-                made.append(list(np.concatenate((x, np.zeros((CHUNK - len(x), MELS)))) - x.mean(axis=0)))
-            yield pd.Series(made)
-
-    return held.select("audio_id", "chunk", F.size("mels").alias("frames"), normalised("mels").alias("mels"))
+            # a chunk goes out at its full size, however short it came in
+            for part in _pieces(batch, pd.Series(CHUNK * MELS, batch.index)):
+                made, frames = [], []
+                for mels in part["mels"]:
+                    x = np.stack([np.asarray(m, float) for m in mels])
+                    frames.append(len(x))
+                    made.append(list(np.concatenate((x, np.zeros((CHUNK - len(x), MELS)))) - x.mean(axis=0)))
+                yield pd.DataFrame({"audio_id": part["audio_id"], "chunk": part["chunk"], "frames": frames, "mels": made})
+
+    kind = seconds.schema["audio_id"].dataType.simpleString()
+    return held.mapInPandas(normalised, f"audio_id {kind}, chunk long, frames int, mels array<array<double>>")

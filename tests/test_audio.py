@@ -5,6 +5,7 @@ import struct
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from colloquy.functions import signal
@@ -89,3 +90,20 @@ def test_headers_are_those_of_the_standard_library(spark):
     with wave.open(raw, "wb") as f:
         f.setnchannels(2), f.setsampwidth(2), f.setframerate(12_345), f.writeframes(b"\1\2\3\4" * 9)
     assert audio.read_header(raw.getvalue()) == (1, 2, 12_345, 16, 44, 36)
+
+
+def test_a_large_batch_is_handed_on_in_pieces(spark, monkeypatch):
+    """A batch of many short rows makes far more than it is, so its rows go out a few at a time."""
+    made = []
+    files = spark.createDataFrame([("a", b"")], "audio_id string, content binary")
+    seconds = spark.createDataFrame([], "audio_id string, second long, mels array<array<double>>")
+    monkeypatch.setattr(type(files), "mapInPandas", lambda self, f, schema: made.append(f) or self)
+    audio.decode_blocks(files, 1)
+    audio.normalised_chunks(seconds)
+    decode, normalised = made
+    one = {"audio_id": "a", "block": 0, "first": 0, "total": 16_000, "count": 16_000, "begin": 0, "n": 16_000, "ratio": 1.0, "format": 1, "bits": 16, "channels": 1, "data": bytes(32_000)}
+    parts = list(decode(iter([pd.DataFrame([one] * 1_000)])))
+    assert sum(map(len, parts)) == 1_000 and max(sum(map(len, p["samples"])) for p in parts) <= audio.PIECE + 16_000
+    short = pd.DataFrame({"audio_id": "a", "chunk": range(100), "mels": [[np.ones(80)]] * 100})
+    parts = list(normalised(iter([short])))
+    assert sum(map(len, parts)) == 100 and max(len(p) * 998 * 80 for p in parts) <= audio.PIECE + 998 * 80
