@@ -480,7 +480,8 @@ class Segments(StatefulProcessor):
     """Rows (meeting_id, seq, seg_id, text, start_us, end_us) to changes: the segment with that id is updated, else one is appended.
 
     Each segment is an entry of its own in a map in state, so an update reads and
-    writes one segment, however many the meeting has. ``version`` counts a segment's changes.
+    writes one segment, however many the meeting has; within a micro-batch each segment is
+    read and written once, however often it changes. ``version`` counts a segment's changes.
     """
 
     OUT = "meeting_id string, seq long, seg_id string, change string, version long, text string, start_us long, end_us long"
@@ -492,12 +493,17 @@ class Segments(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
-        made = []
-        for r in _rows(rows).itertuples():
-            known = self.segments.getValue((r.seg_id,))[0] if self.segments.containsKey((r.seg_id,)) else -1
-            row = (known + 1, r.text, int(r.start_us), int(r.end_us))
-            self.segments.updateValue((r.seg_id,), row)
-            made.append((key[0], int(r.seq), r.seg_id, "updated" if known >= 0 else "appended", *row))
+        rows = _rows(rows)
+        seen, held, made, changed = self.segments.exists(), {}, [], {}
+        for seq, seg_id, text, start, end in zip(*(rows[c].tolist() for c in ("seq", "seg_id", "text", "start_us", "end_us"))) if len(rows) else ():
+            if seg_id not in held:
+                held[seg_id] = self.segments.getValue((seg_id,))[0] if seen and self.segments.containsKey((seg_id,)) else -1
+            known = held[seg_id]
+            held[seg_id] = known + 1
+            changed[seg_id] = row = (known + 1, text, int(start), int(end))
+            made.append((key[0], int(seq), seg_id, "updated" if known >= 0 else "appended", *row))
+        for seg_id, row in changed.items():
+            self.segments.updateValue((seg_id,), row)
         yield pd.DataFrame(made, columns=[c.split()[0] for c in self.OUT.split(", ")])
 
 

@@ -176,6 +176,24 @@ def test_segments_are_updated_by_id_within_and_across_batches(spark, tmp_path):
     assert sorted((r.seq, r.seg_id, r.change, r.version, r.text) for r in spark.table("upserts").collect()) == want
 
 
+def test_a_batch_reads_and_writes_each_segment_once():
+    calls, kept = [], {}
+
+    class Held:
+        exists = lambda self: bool(kept)
+        containsKey = lambda self, k: calls.append("contains") or k in kept
+        getValue = lambda self, k: calls.append("get") or kept[k]
+        updateValue = lambda self, k, v: calls.append("update") or kept.update({k: v})
+
+    work = live.Segments()
+    work.segments = Held()
+    rows = lambda ids: pd.DataFrame({"seq": range(len(ids)), "seg_id": ids, "text": [f"t{i}" for i in range(len(ids))], "start_us": 0, "end_us": 1})
+    first = pd.concat(work.handleInputRows(("m",), iter([rows(["a", "b"] * 50)]), None))
+    assert calls == ["update"] * 2 and first["version"].tolist() == [i // 2 for i in range(100)] and kept[("a",)] == (49, "t98", 0, 1)
+    then = pd.concat(work.handleInputRows(("m",), iter([rows(["b", "c", "b"])]), None))
+    assert then["version"].tolist() == [50, 0, 51] and then["change"].tolist() == ["updated", "appended", "updated"] and len(calls) == 7
+
+
 def test_late_segments_go_to_the_side_and_state_is_forgotten(spark, tmp_path):
     _rocks(spark)
     at = lambda seq, seg, end, meeting="m": (meeting, seq, seg, end * S, pd.Timestamp(end, unit="s").isoformat())
