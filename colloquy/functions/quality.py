@@ -113,17 +113,18 @@ def detect_anomaly(text: Column, seconds: Column, terms: Column | None = None, g
 def live_anomaly(text: Column, seconds: Column, official: Column) -> Column:
     """Whether a live result is a burst or a spilled glossary."""
 
-    def judge(tokens: Column) -> Column:
+    def judge(tokens: Column, known: Column) -> Column:
         n_words = F.size(tokens)
         burst = (n_words > 4) & (seconds > 0.05) & (F.try_divide(n_words, seconds) > 6.0)
-        known = F.transform(official, lambda x: F.lower(x))
         hits = F.transform(tokens, lambda x: F.array_contains(known, F.regexp_replace(F.lower(x), r"[^\p{L}\p{Nd}]", "")))
         zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("all"))
         step = lambda s, hit: F.struct(F.when(hit, s["run"] + 1).otherwise(0).alias("run"), F.greatest(s["best"], F.when(hit, s["run"] + 1).otherwise(0)).alias("best"), (s["all"] + hit.cast("int")).alias("all"))
         spill = let(F.aggregate(hits, zero, step), lambda r: (F.try_divide(r["all"], n_words) >= 0.85) & (r["best"] >= 4))
-        return burst | ((n_words >= 4) & (F.size(official) >= 4) & spill)
+        return burst | ((n_words >= 4) & (F.size(known) >= 4) & spill)
 
-    return F.coalesce(let(words(text), judge), F.lit(False))
+    # what is known is made once a text, not once for each of its words
+    bound = let(F.struct(words(text).alias("tokens"), F.transform(official, lambda x: F.lower(x)).alias("known")), lambda x: judge(x["tokens"], x["known"]))
+    return F.coalesce(bound, F.lit(False))
 
 
 def recovered(heard: Column, again: Column, seconds: Column, terms: Column) -> Column:

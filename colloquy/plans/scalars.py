@@ -138,10 +138,11 @@ def _with_terms(spark, sf):
     b = table(spark, sf, "benchmark").filter("text IS NOT NULL")
     glossaries = b.groupBy(F.floor(F.col("item_id") / 20).alias("g")).agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("t"))
     glossaries = glossaries.select("g", F.transform("t", lambda x: x["text"]).alias("terms"))
-    glossaries = cut(glossaries.withColumn("glossary", quality.glossary_words(F.col("terms"))))  # parsed once, not for each segment
+    known = F.array_distinct(F.flatten(F.transform("terms", lambda t: text.words(F.lower(t)))))
+    glossaries = cut(glossaries.withColumns({"glossary": quality.glossary_words(F.col("terms")), "known": known}))  # parsed once, not for each segment
     n = (b.agg(F.max(F.floor(F.col("item_id") / 20))).first()[0] or 0) + 1
     s = segments(spark, sf).withColumn("g", F.pmod("meeting_id", F.lit(n)))
-    return s.join(glossaries, "g", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("terms", "glossary")})
+    return s.join(glossaries, "g", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("terms", "glossary", "known")})
 
 
 TERMS = "gl AS (SELECT item_id // 20 AS g, list(text ORDER BY item_id, text) AS terms FROM benchmark WHERE text IS NOT NULL GROUP BY ALL), gs AS (SELECT s.*, coalesce(gl.terms, []) AS terms FROM (SELECT *, meeting_id % (SELECT max(item_id // 20) + 1 FROM benchmark) AS g FROM segments) s LEFT JOIN gl USING (g))"
@@ -179,8 +180,7 @@ def qa_region_recovery(spark, sf):
 
 @query(rf"{WITH}, {TERMS}, w AS (SELECT meeting_id, ord, {TOKENS} AS w, list_distinct(flatten(list_transform(terms, lambda t: list_filter(string_split_regex(lower(t), '\s+'), lambda x: len(x) > 0)))) AS known, words * (CASE ord % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.1 ELSE 0.4 END)::DOUBLE AS s FROM gs), h AS (SELECT meeting_id, ord, s, len(w) AS n, len(known) AS k, array_to_string(list_transform(w, lambda x: CASE WHEN list_contains(known, regexp_replace(lower(x), '[^\p{{L}}\p{{Nd}}]', '', 'g')) THEN '1' ELSE '0' END), '') AS hits FROM w) SELECT meeting_id, ord, (n > 4 AND s > 0.05 AND n / s > 6) OR (n >= 4 AND k >= 4 AND length(replace(hits, '0', '')) / n >= 0.85 AND contains(hits, '1111')) AS anomalous FROM h")
 def qa_live_anomaly(spark, sf):
-    known = F.array_distinct(F.flatten(F.transform("terms", lambda t: text.words(F.lower(t)))))
-    return _with_terms(spark, sf).select("meeting_id", "ord", quality.live_anomaly(F.col("text"), _seconds(), known).alias("anomalous"))
+    return _with_terms(spark, sf).select("meeting_id", "ord", quality.live_anomaly(F.col("text"), _seconds(), F.col("known")).alias("anomalous"))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Text quality, clean-up of generated texts, and signals."""
 
 import io
+import time
 import wave
 
 import numpy as np
@@ -107,3 +108,13 @@ def test_wav():
         f.setnchannels(2), f.setsampwidth(2), f.setframerate(32_000)
         f.writeframes(np.array([[0, 3276], [3276, 3276]] * 100, "<i2").tobytes())
     assert np.allclose(signal.decode_wav(raw.getvalue()), 1638 / 32768)
+
+
+def test_a_glossary_is_lowered_once_a_text(spark):
+    said, known = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2_000)), lambda i: F.concat(F.lit("no"), i.cast("string"))), " "), F.transform(F.sequence(F.lit(1), F.lit(4_000)), lambda i: F.concat(F.lit("Sí"), i.cast("string")))
+    rows = spark.range(3, numPartitions=1).select(said.alias("text"), known.alias("known")).persist()
+    rows.count()
+    began = time.perf_counter()
+    assert [r[0] for r in rows.select(quality.live_anomaly(F.col("text"), F.lit(1e9), F.col("known"))).collect()] == [False] * 3
+    # for each of 2,000 words the 4,000 others were lowered anew
+    assert time.perf_counter() - began < 2
