@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import words as lists
 
 SPACE = r"(?U)\s+"
+# What ``SPACE`` matches, character by character.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -23,7 +25,8 @@ def none_or_blank(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; no pattern looks through what is between."""
+    return F.btrim(x, F.lit(SPACES))
 
 
 def words(x: Column) -> Column:

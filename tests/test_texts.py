@@ -118,3 +118,17 @@ def test_a_glossary_is_lowered_once_a_text(spark):
     assert [r[0] for r in rows.select(quality.live_anomaly(F.col("text"), F.lit(1e9), F.col("known"))).collect()] == [False] * 3
     # for each of 2,000 words the 4,000 others were lowered anew
     assert time.perf_counter() - began < 2
+
+
+def test_strip_is_that_of_the_pattern_without_one(spark):
+    marks = [chr(i) for i in range(1, 0x3100)] + [" ", "", "﻿", "　\n"]
+    rows = spark.createDataFrame([(f"{c}{c}a{c}b{c} ",) for c in marks] + [(c,) for c in marks] + [(None,)], "x string")
+    assert rows.filter(~text.strip(F.col("x")).eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert "regexp" not in str(text.strip(F.col("x")))
+
+
+def test_whole_sentences_of_long_pieces_and_mentions_in_any_case(spark):
+    long = "palabra " * 500
+    assert one(spark, f"{long}fin. Y luego etc.", minutes.whole_sentences(F.col("x"))) == f"{long}fin."
+    assert one(spark, f"{long}prof. resto", minutes.whole_sentences(F.col("x"))) == ""
+    assert one(spark, "Se presenta el nuevo plan de trabajo para ACME.", minutes.sanitize_summary(F.col("x"), F.lit("antes"), "Acme")) == "Se presenta el nuevo plan de trabajo ."
