@@ -312,6 +312,14 @@ def _compare(n: int, threshold: float, tolerance: float):
     return compare
 
 
+def _same_id(a: Column, b: Column) -> Column:
+    """Whether ids agree, null ids too; a condition beside the key of a join, which deals rows out by that key alone.
+
+    So rows are grouped by key and id where the join left them, without another shuffle.
+    """
+    return F.coalesce(a == b, a.isNull() & b.isNull())
+
+
 def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, _k, class_id, class_k, n_links) of every document; ``_k`` as in with_key.
 
@@ -328,9 +336,9 @@ def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     first = members.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "_k")).alias("first"), F.count("*").alias("times"))
     # the class's number is drawn before the rows are written, so it stays what it is
     heads = cut(first.select("c1", "c2", "times", F.col("first.doc_id").alias("doc_id"), F.col("first._k").alias("_k"), F.monotonically_increasing_id().alias("node")))
-    chosen = sketches.select("doc_id", "_k", "n", "bands", "values").dropDuplicates(["doc_id", "_k"])
-    same = (F.col("s._k") == F.col("h._k")) & F.col("s.doc_id").eqNullSafe(F.col("h.doc_id"))
-    classes = cut(chosen.alias("s").join(heads.alias("h"), same).select("h.doc_id", "h._k", "h.node", "h.times", "h.c1", "h.c2", "s.n", "s.bands", "s.values"))
+    same = (F.col("s._k") == F.col("h._k")) & _same_id(F.col("s.doc_id"), F.col("h.doc_id"))
+    chosen = sketches.alias("s").join(heads.alias("h"), same).select("h.doc_id", "h._k", "h.node", "h.times", "h.c1", "h.c2", "s.n", "s.bands", "s.values")
+    classes = cut(chosen.dropDuplicates(["doc_id", "_k"]))
 
     clusters = candidate_clusters(classes)
     weights = clusters.join(classes.select("node", "n"), "node").groupBy("component").agg(F.ceil(F.sum(F.col("n") + ROW_SHINGLES) / BLOCK_SHINGLES).cast("int").alias("blocks"))
@@ -359,8 +367,10 @@ def join_similar(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class: its first document's."""
     keyed = with_key(docs)
-    heads = join_similar(docs, **how).select(F.col("class_id").alias("_d"), F.col("class_k").alias("_k2")).distinct()
-    kept = keyed.join(heads, (F.col("_k") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    joined = join_similar(docs, **how)
+    first = (F.col("_k") == F.col("class_k")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    heads = joined.filter(first).select(F.col("class_id").alias("_d"), F.col("class_k").alias("_k2"))
+    kept = keyed.join(heads, (F.col("_k") == F.col("_k2")) & _same_id(F.col("doc_id"), F.col("_d")), "left_semi")
     rows = [F.col(c) for c in docs.columns]
     # maps have no order, their JSON has
     order = [c if orderable(docs.schema[c].dataType) else F.to_json(F.struct(c)) for c in docs.columns]

@@ -109,3 +109,12 @@ def test_columns_that_cannot_be_compared_or_have_odd_names_pass_through(spark):
     assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, (r["m"] or {}).get("a"), r["odd one"]["a b"]) for r in kept.collect()) == [(0, None, 1), (1, 1, 1), (3, 3, 1)]
     done = dedup_substrings(docs).collect()
     assert len(done) == 5 and {r["odd one"]["a b"] for r in done} == {1}
+
+
+def test_kept_texts_are_shuffled_once(spark, capsys):
+    rows = [(1, "a b c d e f", {"x": 1}), (1, "a b c d e f", {"x": 1}), (None, "a b c d e f", None), (None, "g h", None), (2, None, None)]
+    kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>"))
+    kept.explain(mode="formatted")
+    sections = capsys.readouterr().out.split("\n\n")
+    assert len([s for s in sections if ") Exchange\n" in s and ("text#" in s or "Ordering#" in s)]) == 1
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == [(False, 2, ""), (True, 0, "a b c d e f"), (True, 0, "g h")]
