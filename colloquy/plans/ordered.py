@@ -192,10 +192,12 @@ def st_utterance(spark, sf):
 @query()
 def st_two_stream_mix(spark, sf):
     e = table(spark, sf, "events")
-    order = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    # events are dealt out by the streams' key and put in order before they get samples
+    e = e.select(F.col("user_id").cast("string").alias("meeting_id"), "ts", "event_id", "value")
+    e = e.withColumn("seq", F.row_number().over(W.partitionBy("meeting_id").orderBy("ts", "event_id")))
     source = F.when(F.col("event_id") % 2 == 0, "mic").otherwise("sys")
-    rows = e.select(F.col("user_id").cast("string").alias("meeting_id"), order.alias("seq"), source.alias("source"), F.array_repeat(F.col("value") / 1000, 800).alias("samples"))
-    out = live.run(rows, "meeting_id", live.Mixer())
+    rows = e.select("meeting_id", "seq", source.alias("source"), F.array_repeat(F.col("value") / 1000, 800).alias("samples"))
+    out = live.run(rows, "meeting_id", live.MixedLevels())
     return out.select("meeting_id", "chunk", "dominant", F.round("mic_rms", 6).alias("mic_rms"), F.round("sys_rms", 6).alias("sys_rms"))
 
 

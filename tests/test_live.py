@@ -1,5 +1,6 @@
 """Live operators: over tables, and the same on a stream in several micro-batches."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,23 @@ def test_mixer_equals_lists_of_samples_in_any_batches():
         assert len(got) == len(want) > 20
         for g, w in zip(got, want):
             assert g[0] == w[0] and np.allclose(g[1], w[1]) and g[2] == ("mic" if w[2] >= w[3] else "sys") and np.isclose(g[3], w[2]) and np.isclose(g[4], w[3])
+
+
+def test_mixed_levels_are_those_of_the_mixer():
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"source": rng.choice(["mic", "sys"], 40), "samples": [np.full(800, v) for v in rng.uniform(-1, 1, 40)]})
+    whole, short = live.Mixer(), live.MixedLevels()
+    (state, made), (same, levels) = whole.step(whole.first(), rows), short.step(short.first(), rows)
+    assert made and same == state and levels == [(n, *rest) for n, _, *rest in made]
+
+
+def test_mixed_events_are_dealt_out_before_they_get_samples(spark, tmp_path, capsys):
+    from colloquy.plans.ordered import st_two_stream_mix
+
+    spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, id % 3 AS user_id, 100.0D AS value FROM range(12)").write.parquet(f"{tmp_path}/events.parquet")
+    done = st_two_stream_mix(spark, str(tmp_path))
+    done.explain(mode="formatted")
+    shown = capsys.readouterr().out.split("\n\n")
+    dealt = [s for s in shown if ") Exchange\n" in s]
+    assert len(dealt) == 1 and "samples" not in dealt[0]
+    assert sorted(tuple(r) for r in done.collect()) == [(str(u), 0, "mic", 0.1, 0.1) for u in range(3)]
