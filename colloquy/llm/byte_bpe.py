@@ -154,13 +154,12 @@ def fold(word: Column, joins: Column, alone: list[int], n: int) -> Column:
     entries = lambda parts: F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), entry)
 
     def step(s: Column, _: Column) -> Column:
-        """Joins the least rank's first pair, which one number holds, rank and place.
+        """Joins the least rank's first pair, whose entry is the array's least.
 
-        Bit operations and passes over the array, as the JVM's array_position, slice,
-        concat and checked sums cost several times that where they are interpreted.
+        A token is joined from one pair only (``last_joins``), so entries of one rank are equal and the first of them is the leftmost.
         """
-        least = F.array_min(F.transform(s, lambda e, i: e.bitwiseAND(-1 << RANK_BITS).bitwiseOR(i.cast("bigint"))))
-        return bind(least, lambda m: F.when(m >= ID_LIMIT << RANK_BITS, s).otherwise(joined(s, goal(m), m.bitwiseAND((1 << RANK_BITS) - 1).cast("int"))))
+        at = lambda m: F.array_position(s, m).cast("int") - 1
+        return bind(F.array_min(s), lambda m: F.when(m >= ID_LIMIT << RANK_BITS, s).otherwise(bind(at(m), lambda i: joined(s, goal(m), i))))
 
     def joined(s: Column, token: Column, at: Column) -> Column:
         several = (F.size(s) > LONG) & (F.size(F.filter(s, lambda e: goal(e) == token)) > 1)
