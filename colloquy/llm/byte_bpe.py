@@ -1,18 +1,17 @@
-"""Byte-level byte-pair encoding and decoding by higher-order functions.
+"""Byte-level byte-pair encoding in Arrow batches, and decoding.
 
-A text is cut into pieces by the tokenizer's pattern. A piece is an array of its
-bytes, each a string of one Latin-1 character, and a fold joins neighbours: in
-every step the pair of the lowest rank, wherever it occurs, from left to right.
-Ranks are one literal in the plan, a map in ``BUCKETS`` buckets, as a map's
-lookup goes through its keys.
+A text is cut into pieces by the tokenizer's pattern, in the JVM; the pieces'
+lengths go beside the text to Arrow batches, where its bytes are dealt to the
+pieces again. Equal pieces of a batch are one entry of a dictionary, and a fold
+over the bytes of all new entries joins neighbours: in every step the pair of
+the lowest rank of each piece, the leftmost of equal ones. Pieces of more than
+``LONG`` bytes take their pairs from a heap instead.
 
-Distinct pieces of the whole corpus are counted, and those that occur most (up
-to ``dictionary`` of at most ``longest`` bytes) are folded once; their ids are a
-map of bounded size that every task holds. All others are folded where they
-stand, so no text, piece or count is left out, and no text is shuffled.
+A task remembers up to ``dictionary`` pieces of at most ``longest`` bytes and
+forgets them all when there are more; what is not remembered is folded again. No
+text, piece or count goes through the driver or a shuffle, and the table is read once.
 
-Joining all occurrences of a pair at once gives what one at a time gives, as long
-as every token's own bytes are encoded as this token by joins of rising rank;
+A token's own bytes have to be encoded as this token by joins of rising rank;
 ``read_ranks`` refuses a vocabulary without this property. Unicode letters,
 numbers and white space are those of the tiktoken library: what the JVM's tables
 lack or have beyond them is added to or taken from the pattern.
@@ -20,37 +19,37 @@ lack or have beyond them is added to or taken from the pattern.
 Decoding looks up each id's bytes and concatenates them. Ids that the vocabulary
 lacks have no bytes.
 
-Defined results: null and empty texts have no tokens; repeated rows count alike;
-an empty table gives no rows; other columns pass through, but for those of the
-operator's own names, which are replaced. A text is handled in blocks of about
-``BLOCK`` characters that end before white space, which no piece crosses. A piece
-of n bytes that takes s different joins costs n * s steps.
+Defined results: null and empty texts have no tokens; what is no UTF-8 counts as
+U+FFFD; repeated rows count alike; an empty table gives no rows; other columns
+pass through, but for those of the operator's own names, which are replaced. A
+text is cut in blocks of about ``BLOCK`` characters that end before white space,
+which no piece crosses.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
-
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-BUCKETS = 1 << 16
 #: Ids, with those of bytes that are no tokens, are below this.
-ID_BITS = 20
-ID_LIMIT = 1 << ID_BITS
-#: In pieces of more parts all occurrences of a pair are joined at once.
-LONG = 32
-#: Spreads pairs over buckets.
-PAIR_SHIFT = 7
-#: Where an entry of the fold holds a rank; below there is room for a place.
-RANK_BITS = 42
+ID_LIMIT = 1 << 20
+#: Where a pair's first id begins in its key.
+PAIR_BITS = 32
+#: Pieces of up to so many bytes are folded together, a piece a row.
+LONG = 64
+#: Entries of such a table at most.
+CELLS = 1 << 20
+#: So many bytes of texts are encoded at a time, or one text.
+BYTES = 1 << 22
 BLOCK = 4000
 
 
@@ -83,37 +82,105 @@ def last_joins(tokens: list[bytes]) -> dict[tuple[bytes, bytes], int]:
     return out
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def latin(binary: Column) -> Column:
-    """Bytes as a string of as many Latin-1 characters."""
-    return F.decode(binary, "ISO-8859-1")
-
-
-def _place(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS  # Spark's xxhash64
-
-
 def _literal(value: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-def _looked_up(buckets: Column, key: Column) -> Column:
-    """What a literal of ``BUCKETS`` maps has for a string, else null."""
-    return F.try_element_at(F.get(buckets, F.xxhash64(key).bitwiseAND(BUCKETS - 1).cast("int")), key)
-
-
-def _joined_id(joins: Column, first: Column, second: Column) -> Column:
-    """The id of the token that two parts join to, else null."""
-    bucket = F.shiftleft(first, PAIR_SHIFT).bitwiseXOR(second).bitwiseAND(BUCKETS - 1).cast("int")
-    return F.try_element_at(F.get(joins, bucket), F.shiftleft(first, ID_BITS).bitwiseOR(second).cast("string"))
+class Joins:
+    """Which id two ids join to, and the fold of pieces; travels to tasks as arrays."""
+
+    def __init__(self, joins: dict[int, int], alone: list[int], n: int):
+        self.keys = np.array(sorted(joins), np.int64)  # first id, second id
+        self.values = np.array([joins[k] for k in self.keys.tolist()], np.int64)
+        self.alone, self.n = np.array(alone, np.int64), n
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Ids of the tokens that parts join to, else ``ID_LIMIT``."""
+        out = np.full(first.shape, ID_LIMIT)
+        if len(self.keys):
+            key = first << PAIR_BITS | second
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            np.copyto(out, self.values[at], where=self.keys[at] == key)
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of pieces, each as int32 in a string of bytes."""
+        out = [b""] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        start, end = np.searchsorted(sizes[order], [1, LONG + 1])
+        while start < end:
+            # pieces of about one length, so that little is padding
+            width = int(sizes[order[start]]) * 5 // 4 + 1
+            rows = order[start : min(start + CELLS // width, int(np.searchsorted(sizes[order], width, side="right")), end)]
+            for i, ids in zip(rows.tolist(), self._short([words[i] for i in rows.tolist()], sizes[rows])):
+                out[i] = ids
+            start += len(rows)
+        if end < len(words):
+            pairs = dict(zip(self.keys.tolist(), self.values.tolist()))
+            for i in order[end:].tolist():
+                out[i] = self._bytes_of(np.array(self._long(self.alone[np.frombuffer(words[i], np.uint8)].tolist(), pairs)))
+        return out
+
+    def _bytes_of(self, ids: np.ndarray) -> bytes:
+        return ids[ids < self.n].astype(np.int32).tobytes()  # bytes that are no tokens have no id
+
+    def _short(self, words: list[bytes], sizes: np.ndarray) -> Iterator[bytes]:
+        """A fold: each step joins in every row the pair of the least rank, the leftmost of equal ones."""
+        width = int(sizes.max())
+        places = np.arange(width)
+        held = places < sizes[:, None]
+        parts = np.full(held.shape, ID_LIMIT)
+        parts[held] = self.alone[np.frombuffer(b"".join(words), np.uint8)]
+        goals = np.full(held.shape, ID_LIMIT)  # what a part and its next one join to
+        pairs = held[:, 1:]
+        goals[:, :-1][pairs] = self.of(parts[:, :-1][pairs], parts[:, 1:][pairs])
+        done, left = parts.copy(), np.arange(len(words))
+        while True:
+            at = goals.argmin(axis=1)
+            least = goals[np.arange(len(left)), at]
+            go = least < ID_LIMIT
+            if not go.all():
+                done[left[~go], : parts.shape[1]] = parts[~go]
+                done[left[~go], parts.shape[1] :] = ID_LIMIT
+                left, parts, goals, at, least = left[go], parts[go], goals[go], at[go], least[go]
+            if not len(left):
+                break
+            rows, places = np.arange(len(left)), places[: parts.shape[1] - 1]
+            parts[rows, at] = least
+            parts = np.take_along_axis(parts, places + (places > at[:, None]), axis=1)
+            goals = np.take_along_axis(goals, places + (places >= at[:, None]), axis=1)
+            after, before = at + 1 < len(places), at > 0
+            for r, c in ((rows[after], at[after]), (rows[before], at[before] - 1)):
+                goals[r, c] = self.of(parts[r, c], parts[r, c + 1])
+        kept = done < self.n
+        flat = memoryview(done[kept].astype(np.int32).tobytes())
+        ends = 4 * np.cumsum(kept.sum(axis=1))
+        return (bytes(flat[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))
+
+    def _long(self, parts: list[int], pairs: dict[int, int]) -> list[int]:
+        """Joins in a linked list; a heap gives the least rank, the leftmost of equal ones."""
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        goal = lambda i: pairs.get(parts[i] << PAIR_BITS | parts[after[i]]) if i >= 0 and after[i] < n else None
+        heap = [(token, i) for i in range(n) if (token := goal(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            token, i = heapq.heappop(heap)
+            if parts[i] is None or goal(i) != token:
+                continue  # one of the two is part of another token by now
+            gone = after[i]
+            parts[i], parts[gone], after[i] = token, None, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for at in (before[i], i):
+                if (token := goal(at)) is not None:
+                    heapq.heappush(heap, (token, at))
+        return [part for part in parts if part is not None]
 
 
 class Vocabulary:
-    """Literals of a rank file: joined ids by pairs of ids, bytes by id."""
+    """A rank file: joined ids by pairs of ids, and a literal of bytes by id."""
 
     def __init__(self, tokens: list[bytes]):
         self.n = len(tokens)
@@ -121,85 +188,16 @@ class Vocabulary:
             raise ValueError(f"a vocabulary of more than {ID_LIMIT - 256} tokens")
         ids = {t: i for i, t in enumerate(tokens) if t}
         # bytes that are no tokens get numbers beyond all ids
-        self.alone = [ids.setdefault(bytes([i]), self.n + i) for i in range(256)]
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for pair, joined in last_joins(tokens).items():
-            first, second = (ids[part] for part in pair)
-            buckets[(first << PAIR_SHIFT ^ second) % BUCKETS][str(first << ID_BITS | second)] = joined
-        self.joins = _literal(buckets, "array<map<string,bigint>>")
+        alone = [ids.setdefault(bytes([i]), self.n + i) for i in range(256)]
+        self.joins = Joins({ids[a] << PAIR_BITS | ids[b]: joined for (a, b), joined in last_joins(tokens).items()}, alone, self.n)
         self.bytes = _literal([t.decode("latin-1") for t in tokens], "array<string>")
 
-    def fold(self, word: Column, joins: Column) -> Column:
-        return fold(word, joins, self.alone, self.n)
-
-    def folded(self, word: Column) -> Column:
-        """The ids of one piece of text, array<bigint>."""
-        return bind(self.joins, lambda joins: self.fold(word, joins))
-
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids, binary."""
         shown = F.array_join(F.transform(ids, lambda i: F.get(self.bytes, i)), "")
         return F.encode(shown, "ISO-8859-1")
 
 
-def fold(word: Column, joins: Column, alone: list[int], n: int) -> Column:
-    """The ids of one piece of text, array<bigint>; ``joins`` is a vocabulary's literal, bound once, ``alone`` the bytes' ids, of which those from ``n`` on are no tokens."""
-    chars = F.when(F.octet_length(word) > 0, F.split(latin(F.encode(word, "UTF-8")), "")).otherwise(F.array().cast("array<string>"))
-    start = F.transform(chars, lambda c: F.get(F.lit(alone).cast("array<bigint>"), F.ascii(c)))
-
-    # a part's entry is what it and its next one join to (or ID_LIMIT) in the high bits, its own id in the low ones
-    own = lambda entry: entry.bitwiseAND(ID_LIMIT - 1)
-    goal = lambda entry: F.shiftright(entry, RANK_BITS)
-    entry = lambda x, y: F.shiftleft(F.coalesce(_joined_id(joins, x, y), F.lit(ID_LIMIT).cast("bigint")), RANK_BITS).bitwiseOR(x)
-    entries = lambda parts: F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), entry)
-
-    def step(s: Column, _: Column) -> Column:
-        """Joins the least rank's first pair, whose entry is the array's least.
-
-        A token is joined from one pair only (``last_joins``), so entries of one rank are equal and the first of them is the leftmost.
-        """
-        at = lambda m: F.array_position(s, m).cast("int") - 1
-        return bind(F.array_min(s), lambda m: F.when(m >= ID_LIMIT << RANK_BITS, s).otherwise(bind(at(m), lambda i: joined(s, goal(m), i))))
-
-    def joined(s: Column, token: Column, at: Column) -> Column:
-        several = (F.size(s) > LONG) & (F.size(F.filter(s, lambda e: goal(e) == token)) > 1)
-        everywhere = bind(F.transform(s, own), lambda parts: bind(_joined(parts, F.transform(s, goal), token, at), entries))
-        return F.when(several, everywhere).otherwise(bind(at - 1, lambda before: bind(at + 1, lambda after: once(s, token, before, after))))
-
-    def once(s: Column, token: Column, before: Column, after: Column) -> Column:
-        def changed(e: Column, i: Column) -> Column:
-            far = F.when(i > after, e).when(i < before, e)
-            return far.when(i == before, entry(own(e), token)).when(i < after, entry(token, own(F.get(s, after + 1))))
-
-        return F.filter(F.transform(s, changed), lambda e: e.isNotNull())
-
-    folded = lambda parts: F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), entries(parts), step)
-    pieces = F.transform(bind(start, folded), own)
-    return pieces if max(alone) < n else F.filter(pieces, lambda i: i < n)
-
-
-def _joined(parts: Column, ranks: Column, token: Column, at: Column) -> Column:
-    """All neighbours that join to ``token``, of which the first are at ``at``, as one part each, from left to right.
-
-    Pairs of different parts never overlap. Pairs of equal parts do, in runs: those are joined two by two.
-    """
-    first, second = F.get(parts, at), F.get(parts, at + 1)
-    hit = lambda i: F.coalesce(F.get(ranks, i) == token, F.lit(False))
-    apart = F.filter(F.transform(parts, lambda x, i: F.when(hit(i), token).when((i == 0) | ~hit(i - 1), x)), lambda x: x.isNotNull())
-    places = lambda edge: F.filter(F.transform(parts, lambda x, i: F.when((x == first) & edge(i), i)), lambda i: i.isNotNull())
-    other = lambda i: F.coalesce(F.get(parts, i) != first, F.lit(True))
-    runs = F.arrays_zip(places(lambda i: other(i - 1)).alias("a"), places(lambda i: other(i + 1)).alias("b"))
-
-    def made(runs: Column) -> Column:
-        end = lambda k: F.when(k == 0, 0).otherwise(F.get(runs, k - 1)["b"] + 1)
-        size = lambda r: r["b"] - r["a"] + 1
-        run = lambda r, k: F.concat(F.slice(parts, end(k) + 1, r["a"] - end(k)), F.array_repeat(token, F.floor(size(r) / 2).cast("int")), F.array_repeat(first, size(r) % 2))
-        tail = F.slice(parts, end(F.size(runs)) + 1, F.size(parts))
-        return F.concat(F.flatten(F.transform(runs, run)), tail)
-
-    return F.when(first == second, bind(runs, made)).otherwise(apart)
-
-
 def _ranges(points: list[int]) -> str:
     """Inside of a character class with these code points."""
     out, start = [], None
@@ -237,41 +235,60 @@ def blocks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{BLOCK}}}\s*+\S++|.+"), F.lit(0))
 
 
-def piece_dictionary(docs: DataFrame, vocabulary: Vocabulary, cut_at: str, dictionary: int, longest: int, text: str = "text") -> Column:
-    """A literal, ``BUCKETS`` maps of the most frequent pieces to their ids in a string.
-
-    All pieces are counted. The count from which on pieces are kept is the least
-    that at most ``dictionary`` pieces of at most ``longest`` bytes reach.
-    """
-    pieces = docs.select(F.explode(blocks(F.col(text))).alias("block")).select(F.explode(F.regexp_extract_all("block", F.lit(cut_at), F.lit(0))).alias("word"))
-    counted = cut(pieces.groupBy("word").count().filter((F.col("count") > 1) & (F.octet_length("word") <= longest)))
-    # counts up to 1000 one by one, larger ones by powers of 1.01: some three thousand rows at most
-    level = F.when(F.col("count") <= 1000, F.col("count")).otherwise(1000 + F.floor(F.log(F.col("count") / 1000) / F.log(F.lit(1.01)))).cast("int")
-    left, least = dictionary, None
-    for row in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
-        left -= row["n"]
-        if left < 0:
-            break
-        least = row["level"]
-    kept = counted.filter(level >= least) if least is not None else counted.limit(0)
-    folded = cut(kept.select("word", F.array_join(vocabulary.folded(F.col("word")).cast("array<string>"), " ").alias("ids")))
-    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-    for row in folded.collect():  # bounded: ``dictionary`` pieces of ``longest`` bytes
-        buckets[_place(row["word"])][row["word"]] = row["ids"]
-    return _literal(buckets, "array<map<string,string>>")
+def piece_lengths(text: Column, cut_at: str) -> Column:
+    """How many bytes each piece of a text has, array<int>; pieces leave nothing out."""
+    lengths = lambda block: F.transform(F.regexp_extract_all(block, F.lit(cut_at), F.lit(0)), lambda piece: F.octet_length(piece))
+    return F.flatten(F.transform(blocks(text), lengths))
+
+
+def _encoder(joins: Joins, dictionary: int, longest: int):
+    """A function of columns, a text and the lengths of its pieces, to ids."""
+
+    def ids_of(pieces: pa.Array, known: dict[bytes, bytes]) -> pa.ListArray:
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in known]
+        known.update(zip(new, joins.encode(new)))
+        of = list(map(known.__getitem__, words))
+        starts = np.concatenate(([0], np.cumsum([len(ids) // 4 for ids in of]))).astype(np.int32)
+        if len(known) > dictionary:
+            known.clear()
+        else:
+            for w in new:
+                if len(w) > longest:
+                    del known[w]
+        return pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(of), np.int32))).take(coded.indices)
+
+    @F.arrow_udf("array<int>")
+    def encoded(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known: dict[bytes, bytes] = {}
+        for texts, lengths in batches:
+            texts = texts.cast(pa.large_binary())
+            data = texts.buffers()[2]
+            # where each text's bytes begin, and its pieces
+            begins = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            at, sizes = lengths.offsets.to_numpy(), lengths.values.to_numpy()
+            done, a = [], 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(begins, begins[a] + BYTES, side="right")) - 1)
+                places = begins[a] + np.concatenate(([0], np.cumsum(sizes[at[a] : at[b]], dtype=np.int64)))
+                if places[-1] != begins[b]:
+                    raise ValueError("the pieces are not the whole texts")
+                ids = ids_of(pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), data]), known)
+                ends = ids.offsets.to_numpy()
+                done.append(pa.ListArray.from_arrays(ends[at[a : b + 1] - at[a]], ids.values))
+                a = b
+            yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
+
+    return encoded
 
 
 def encode_texts(docs: DataFrame, path: str = VOCABULARY, text: str = "text", *, dictionary: int = 200_000, longest: int = 64, vocabulary: Vocabulary | None = None) -> DataFrame:
     """All columns of ``docs`` and token_ids, array<int>."""
     vocabulary = vocabulary or Vocabulary(read_ranks(path))
-    cut_at = pattern(docs.sparkSession)
-    words = piece_dictionary(docs, vocabulary, cut_at, dictionary, longest, text)
-    def block_ids(block: Column, words: Column, joins: Column) -> Column:
-        of = lambda w: F.coalesce(_looked_up(words, w), F.array_join(vocabulary.fold(w, joins).cast("array<string>"), " "))
-        return F.split(F.array_join(F.transform(F.regexp_extract_all(block, F.lit(cut_at), F.lit(0)), of), " "), " ").cast("array<int>")
-
-    # literals are bound once: every mention would be a copy in each task
-    ids = bind(words, lambda known: bind(vocabulary.joins, lambda joins: F.flatten(F.transform(blocks(F.coalesce(F.col(text), F.lit(""))), lambda block: block_ids(block, known, joins)))))
+    encoded = _encoder(vocabulary.joins, dictionary, longest)
+    valid = F.make_valid_utf8(F.coalesce(F.col(text), F.lit("")))
+    ids = encoded(valid, piece_lengths(valid, pattern(docs.sparkSession)))
     return docs.select(*[c for c in docs.columns if c != "token_ids"], ids.alias("token_ids"))
 
 

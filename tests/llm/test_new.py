@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from array import array
 from fractions import Fraction
 
 import public_tokenizers
@@ -81,6 +82,40 @@ def test_bpe_refuses_ranks_that_do_not_rise(tmp_path):
         last_joins(read_ranks(str(path)))
 
 
+def test_bpe_reads_the_table_once_and_keeps_no_dictionary_of_it_in_the_plan(spark, tokens):
+    reads = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        reads.add(1)
+        return i, f"zq{i}xv same words {'and ' * 50}"
+
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(range(500), 3).map(row), "doc_id long, text string")
+    sizes = []
+    for docs in (texts, spark.createDataFrame([(0, "a b")], "doc_id long, text string")):
+        encoded = encode_texts(docs, vocabulary=Vocabulary(tokens), dictionary=1000)
+        assert encoded.select("token_ids").collect()
+        sizes.append(len(encoded._jdf.queryExecution().optimizedPlan().toString()))
+    assert reads.value == 500
+    assert abs(sizes[0] - sizes[1]) < 1000
+
+
+def test_bpe_folds_pieces_of_every_length_as_the_tokenizer_library(spark, tokens, plain):
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"aeinorst xyz0\xc3\xa9\xff") for _ in range(n)) for n in range(1, 140) for _ in range(20)]
+    words += [b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    words += [part * n for part in (b"x", b"ab", b"aab", b"=") for n in (1, 2, 3, 31, 32, 33, 63, 64, 65, 66, 500)]
+    joins = Vocabulary(tokens).joins
+    for word, ids in zip(words, joins.encode(words), strict=True):
+        assert array("i", ids).tolist() == plain._core_bpe.encode_single_piece(word), word
+    assert joins.encode([b""]) == [b""] and joins.encode([]) == []
+
+
+def test_bpe_takes_what_is_no_utf8_as_replacement_characters(spark, plain):
+    docs = spark.createDataFrame([(1, bytearray(b"ab \xff\xfe cd\xc3")), (2, bytearray(b"fine"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw AS string) AS text")
+    for r in encode_texts(docs).drop("text").collect():
+        assert plain.decode(r["token_ids"]) == {1: "ab \ufffd\ufffd cd\ufffd", 2: "fine"}[r["doc_id"]]
+
+
 def failed(text, is_copy):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     return "".join(f for f, bad in zip("ABCDE", (len(words) < 50, 100 * len(set(words)) < 65 * len(words), 100 * sum("A" <= c <= "Z" for c in text) > 5 * len(text), bool(re.search(r"[#$%&*|]", text)), is_copy)) if bad)
