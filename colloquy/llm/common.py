@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -42,6 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """As ``cut``, for the rounds of a loop of joins: what is read again has the size of its files.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join's is the
+    product of its sides', so its digits would treble with each round, until they fill the
+    driver. Files are not compressed, lest many rows pass for few that can be broadcast.
+    """
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "none").parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def orderable(kind: DataType) -> bool:
     """Whether values of a type can be compared."""
     if isinstance(kind, ArrayType):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, cut, orderable, with_key
+from .common import WORD_CLASS, cut, orderable, rewritten, with_key
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -137,7 +137,7 @@ def connected(links: DataFrame) -> DataFrame:
     on the order is drawn anew each time, which leaves a constant share of the
     nodes on average, however long the chains and whatever the hubs.
     """
-    edges, levels = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
+    edges, levels = rewritten(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
     while not edges.isEmpty():
 
         def place(node: str) -> Column:
@@ -146,17 +146,17 @@ def connected(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         near = both.groupBy("a").agg(F.min(place("b")).alias("near"))
         least = F.least("near", place("a"))
-        joined = cut(near.select(F.col("a").alias("node"), (least if len(levels) < 2 else least["node"]).alias("component")))
+        joined = rewritten(near.select(F.col("a").alias("node"), (least if len(levels) < 2 else least["node"]).alias("component")))
         ends = [joined.select(F.col("node").alias(end), F.col("component").alias(f"new_{end}")) for end in ("a", "b")]
         moved = edges.join(ends[0], "a").join(ends[1], "b").filter("new_a <> new_b")
-        edges = cut(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
+        edges = rewritten(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
         levels.append(joined)
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = levels.pop()
     while levels:
         upper = labels.select(F.col("node").alias("component"), F.col("component").alias("upper"))
-        labels = cut(levels.pop().join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component")))
+        labels = rewritten(levels.pop().join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component")))
     return labels
 
 

@@ -112,6 +112,13 @@ def test_components_of_chains_stars_and_hubs(spark):
     assert len({(root(n), c) for n, c in got.items()}) == len({root(n) for n in got}) == len(set(got.values()))
 
 
+def test_rounds_of_components_do_not_multiply_the_estimated_size(spark):
+    links = [(i * 7 % 41, (i + 1) * 7 % 41) for i in range(40)]
+    done = connected(spark.createDataFrame(links, "a long, b long"))
+    assert done.count() == 41 and done.select("component").distinct().count() == 1
+    assert done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**30
+
+
 def test_decontamination_beside_a_very_long_word(spark):
     docs = spark.createDataFrame([(1, "x" * 10_000_000 + " alpha beta gamma " + "pad " * 30)], "doc_id long, text string")
     done = find_contamination(docs, spark.createDataFrame([(9, "Alpha beta gamma")], "item_id long, text string")).first()
