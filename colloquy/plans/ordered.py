@@ -191,13 +191,19 @@ def st_utterance(spark, sf):
 
 @query()
 def st_two_stream_mix(spark, sf):
+    """Mixed chunks of every user's events, 800 samples each; a flush behind the last event sends one last chunk of what waits."""
     e = table(spark, sf, "events")
     # events are dealt out by the streams' key and put in order before they get samples
     e = e.select(F.col("user_id").cast("string").alias("meeting_id"), "ts", "event_id", "value")
-    e = e.withColumn("seq", F.row_number().over(W.partitionBy("meeting_id").orderBy("ts", "event_id")))
+    order = W.partitionBy("meeting_id").orderBy("ts", "event_id")
+    e = e.withColumns({"seq": F.row_number().over(order), "last": F.lead(F.lit(False), 1, True).over(order)})
     source = F.when(F.col("event_id") % 2 == 0, "mic").otherwise("sys")
-    rows = e.select("meeting_id", "seq", source.alias("source"), F.array_repeat(F.col("value") / 1000, 800).alias("samples"))
-    out = live.run(rows, "meeting_id", live.MixedLevels())
+    sources = F.when(F.col("last"), F.array(source, F.lit("flush"))).otherwise(F.array(source))
+    e = e.select("meeting_id", "seq", "value", F.explode(sources).alias("source"))
+    flush = F.col("source") == "flush"
+    samples = F.when(flush, F.array().cast("array<double>")).otherwise(F.array_repeat(F.col("value") / 1000, 800))
+    rows = e.select("meeting_id", (F.col("seq") + flush.cast("int")).alias("seq"), "source", samples.alias("samples"))
+    out = live.run(rows, "meeting_id", live.Mixer())
     return out.select("meeting_id", "chunk", "dominant", F.round("mic_rms", 6).alias("mic_rms"), F.round("sys_rms", 6).alias("sys_rms"))
 
 

@@ -262,3 +262,20 @@ def test_mixed_events_are_dealt_out_before_they_get_samples(spark, tmp_path, cap
     dealt = [s for s in shown if ") Exchange\n" in s]
     assert len(dealt) == 1 and "samples" not in dealt[0]
     assert sorted(tuple(r) for r in done.collect()) == [(str(u), 0, "mic", 0.1, 0.1) for u in range(3)]
+
+
+def test_mixed_events_are_flushed_and_handed_on_with_their_samples(spark, tmp_path, monkeypatch):
+    from colloquy.plans.ordered import st_two_stream_mix
+
+    handed, run = [], live.run
+    monkeypatch.setattr(live, "run", lambda *a, **k: handed.append(run(*a, **k)) or handed[-1])
+    # of the first user three events, of the second one, of the third seven of the microphone; a flush sends one last chunk
+    rows = [(0, 0), (1, 0), (2, 0), (5, 1)] + [(i, 2) for i in range(6, 20, 2)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "user_id", "600.0D AS value")
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    done = sorted(tuple(r) for r in st_two_stream_mix(spark, str(tmp_path)).collect())
+    half = round(0.6 / 2**0.5, 6)
+    assert done == [("0", 0, "mic", 0.6, half), ("1", 0, "sys", 0.0, half), ("2", 0, "mic", 0.6, 0.0), ("2", 1, "mic", 0.6, 0.0)]
+    mixed = {(r.meeting_id, r.chunk): r.samples for r in handed[0].collect()}
+    assert len(mixed) == 4 and {len(x) for x in mixed.values()} == {1600}
+    assert 0.9 < mixed["0", 0][0] < 1 and mixed["0", 0][-1] == mixed["2", 0][0] == 0.6
